@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIELDS = "drugs array<string>, reactions array<string>, severity string"
+OBJECTS = "array<struct<drugs: array<string>, reactions: array<string>, severity: string>>"
 STRICT = {"allowSingleQuotes": "false"}
 
 
@@ -13,54 +13,63 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def _object(text: Column) -> Column:
-    """The three fields of a JSON object, null where the text is not one object.
+def _objects(text: Column) -> Column:
+    """The text read as the inside of a JSON list: one element if it is exactly one object.
 
-    The test wraps the text as a list: it must read as a list of one map. That turns down
-    broken text, which as a struct would give nulls, and text after the object, which the
-    reader would otherwise ignore.
+    Broken text gives null, and so does text after the object, which the reader would pass
+    over without the brackets.
     """
-    wrapped = F.concat(F.lit("["), text, F.lit("]"))
-    items = F.from_json(wrapped, "array<map<string,string>>", STRICT)
-    whole = text.rlike(r"(?s)^\{.*\}$") & (F.size(items) == 1) & F.get(items, F.lit(0)).isNotNull()
-    return F.when(whole, F.from_json(text, FIELDS, STRICT))
+    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), OBJECTS, STRICT)
 
 
 def _listed(raw: Column, field: str) -> Column:
     """Items of the first ``"field": [...]`` in the text, null where there is none."""
-    pattern = rf'"{field}"\s*:\s*\[([^\]]*)\]'
-    body = F.when(raw.rlike(pattern), F.regexp_extract(raw, pattern, 1))
+    body = F.get(F.regexp_extract_all(raw, F.lit(rf'"{field}"\s*:\s*\[([^\]]*)\]'), F.lit(1)), F.lit(0))
     items = F.transform(
         F.split(body, ","), lambda v: F.btrim(F.btrim(_strip(v), F.lit('"')), F.lit("'"))
     )
     return F.filter(items, lambda v: v != "")
 
 
-def parse_output(raw: Column) -> Column:
-    """Struct (drugs, reactions, severity, method), null where nothing can be read.
+def parse_outputs(df: DataFrame, raw: str = "raw", out: str = "output") -> DataFrame:
+    """Add a struct (drugs, reactions, severity, method), null where nothing can be read.
 
     Tried in turn: the text without a code fence as one JSON object; the stretch from the
     first to the last brace; the single fields by pattern. A field that is not a list
     counts as an empty list. ``severity`` stays null where an object does not give it.
+
+    Each step is a column of its own, so that no text is parsed twice and the later steps
+    run only on rows the earlier ones could not read. The result leaves through ``inline``
+    of one entry: filters on it then stay above, instead of being pushed down with a copy
+    of all the steps.
     """
-    bare = F.regexp_replace(_strip(raw), r"(?U)^```(?:json)?\s*", "")
-    direct = _object(_strip(F.regexp_replace(bare, r"(?U)\s*```$", "")))
-    block = _object(F.regexp_extract(raw, r"(?s)(\{.*\})", 1))
-    drugs, reactions = _listed(raw, "drugs"), _listed(raw, "reactions")
-    severity = F.regexp_extract(raw, r'"severity"\s*:\s*"(serious|non-serious|unknown)"', 1)
-    none = F.array().cast("array<string>")
-
-    def result(d: Column, r: Column, s: Column, method: str) -> Column:
-        return F.struct(
-            F.coalesce(d, none).alias("drugs"), F.coalesce(r, none).alias("reactions"),
-            s.alias("severity"), F.lit(method).alias("method"),
-        )
-
-    def from_object(o: Column) -> Column:
-        return F.when(o.isNotNull(), result(o["drugs"], o["reactions"], o["severity"], "json"))
-
-    by_field = F.when(
-        drugs.isNotNull() | reactions.isNotNull(),
-        result(drugs, reactions, F.when(severity == "", "unknown").otherwise(severity), "regex_fallback"),
+    text = F.col(raw)
+    bare = F.regexp_replace(_strip(text), r"(?U)^```(?:json)?\s*", "")
+    steps = df.withColumn("_bare", _strip(F.regexp_replace(bare, r"(?U)\s*```$", "")))
+    steps = steps.withColumn("_direct", F.when(F.col("_bare").startswith("{"), _objects(F.col("_bare"))))
+    direct = F.size("_direct") == 1
+    block = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    steps = steps.withColumn("_block", F.when(F.coalesce(direct, F.lit(False)), None).otherwise(block))
+    steps = steps.withColumn("_inner", F.when(F.col("_block") != "", _objects(F.col("_block"))))
+    steps = steps.withColumn(
+        "_object",
+        F.when(direct, F.get("_direct", F.lit(0))).when(F.size("_inner") == 1, F.get("_inner", F.lit(0))),
+    )
+    unread = F.col("_object").isNull()
+    severity = F.regexp_extract(text, r'"severity"\s*:\s*"(serious|non-serious|unknown)"', 1)
+    steps = steps.withColumn(
+        "_fields",
+        F.when(unread, F.struct(
+            _listed(text, "drugs").alias("drugs"), _listed(text, "reactions").alias("reactions"),
+            F.coalesce(F.nullif(severity, F.lit("")), F.lit("unknown")).alias("severity"),
+        )),
     )
-    return F.coalesce(from_object(direct), from_object(block), by_field)
+
+    def result(source: str, method: str) -> Column:
+        none = F.array().cast("array<string>")
+        lists = [F.coalesce(f"{source}.{c}", none).alias(c) for c in ("drugs", "reactions")]
+        return F.struct(*lists, F.col(f"{source}.severity"), F.lit(method).alias("method"))
+
+    listed = F.col("_fields.drugs").isNotNull() | F.col("_fields.reactions").isNotNull()
+    found = F.when(~unread, result("_object", "json")).when(listed, result("_fields", "regex_fallback"))
+    return steps.select(*df.columns, F.inline(F.array(F.struct(found.alias(out)))))

@@ -24,9 +24,7 @@ def clean_html(text: Column, markup: Sequence[tuple[str, str]] = MARKUP) -> Colu
     """Replace markup in order, squeeze, and take off one pair of surrounding quotes."""
     for pattern, replacement in markup:
         text = F.regexp_replace(text, "(?iU)" + pattern, replacement)
-    text = squeeze(text)
-    quoted = text.startswith('"') & text.endswith('"')
-    return F.when(quoted, F.trim(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
+    return F.trim(F.regexp_replace(squeeze(text), '^"(?:(.*)")?$', "$1"))
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:

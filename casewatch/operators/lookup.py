@@ -1,8 +1,14 @@
-"""Per-report joins: reactions to mapped terms, drug and term pairs to stored signals."""
+"""Per-report joins: reactions to mapped terms, drug and term pairs to stored signals.
+
+Both take one row per report, spread its short lists into rows, join those, and gather them
+again by report id. All other columns ride along instead of being joined back, so whatever
+produced the reports runs once. Where the joined table is small enough to be broadcast the
+reports stay in place: no shuffle at all if they are already partitioned by id.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewatch.operators.dedupe import keep_first
@@ -10,25 +16,40 @@ from casewatch.operators.dedupe import keep_first
 SIGNAL_FIELDS = ["drug", "reaction", "prr", "ror", "chi2", "n_cases", "masking_warning"]
 
 
+def _spread(key: Column, id_col: str) -> Column:
+    """The join key, or one of its own for a row without: nulls would all meet in one task."""
+    return F.coalesce(key, F.concat(F.lit("\u0000"), F.col(id_col).cast("string")))
+
+
+def _gather(rows: DataFrame, id_col: str, keep: list[str], item: Column, found: Column, out: str) -> DataFrame:
+    """One row per id: the columns to keep, and the items of its rows in order."""
+    rest = [c for c in keep if c != id_col]
+    grouped = rows.groupBy(id_col).agg(
+        F.first(F.struct(*rest)).alias("_rest"),
+        F.sort_array(F.collect_list(F.when(found, item))).alias(out),
+    )
+    return grouped.select(id_col, "_rest.*", out)
+
+
 def map_terms(
     df: DataFrame, term_map: DataFrame, id_col: str = "report_id", reactions: str = "reactions",
     text: str = "text",
 ) -> DataFrame:
-    """Per report: ``meddra_pts`` and ``mapping_scores`` in the order of its reactions.
+    """Add ``meddra_pts`` and ``mapping_scores`` in the order of the report's reactions.
 
     ``term_map`` (text, mapped_term, similarity) has one row per text. A reaction it lacks
-    keeps its own text with score 0. Reports without reactions are not in the result.
+    keeps its own text with score 0. Report ids are unique.
     """
-    spoken = df.select(id_col, F.posexplode(reactions).alias("_pos", "_text"))
-    mapped = spoken.join(
-        term_map.select(F.col(text).alias("_text"), "mapped_term", "similarity"), "_text", "left"
-    )
+    spoken = df.select("*", F.posexplode_outer(reactions).alias("_pos", "_text"))
+    known = term_map.select(F.col(text).alias("_key"), "mapped_term", "similarity")
+    mapped = spoken.withColumn("_key", _spread(F.col("_text"), id_col)).join(known, "_key", "left")
     item = F.struct(
         "_pos", F.coalesce("mapped_term", "_text").alias("pt"),
         F.coalesce("similarity", F.lit(0.0)).alias("score"),
     )
-    return mapped.groupBy(id_col).agg(F.sort_array(F.collect_list(item)).alias("_items")).select(
-        id_col, F.col("_items.pt").alias("meddra_pts"), F.col("_items.score").alias("mapping_scores")
+    gathered = _gather(mapped, id_col, df.columns, item, F.col("_pos").isNotNull(), "_items")
+    return gathered.select(
+        *df.columns, F.col("_items.pt").alias("meddra_pts"), F.col("_items.score").alias("mapping_scores")
     )
 
 
@@ -36,26 +57,27 @@ def signal_lookup(
     df: DataFrame, signals: DataFrame, id_col: str = "report_id", drugs: str = "drugs",
     terms: str = "meddra_pts",
 ) -> DataFrame:
-    """Per report with a hit: ``prr_signals`` for its drugs x terms, drug by drug.
+    """Add ``prr_signals``: the signals among a report's drugs x terms, drug by drug.
 
     Names compare without case, repeats are kept, only signals count, scores round to 3
-    places. The pairs of one report are as many as its two short lists make; reports are
-    unique, so the regrouping never collects more than that.
+    places. Report ids are unique, so gathering collects no more than the pairs of two
+    short lists.
     """
     stored = keep_first(
         signals.withColumns({"_d": F.lower("drug"), "_t": F.lower("reaction")}), ["_d", "_t"],
         [F.col("drug"), F.col("reaction")],
-    ).where("is_signal").select(
-        "_d", "_t", "drug", "reaction",
-        *(F.round(c, 3).alias(c) for c in ("prr", "ror", "chi2")), "n_cases", "masking_warning",
+    ).where("is_signal")
+    hit = F.struct(
+        "drug", "reaction", *(F.round(c, 3).alias(c) for c in ("prr", "ror", "chi2")), "n_cases",
+        "masking_warning",
     )
+    stored = stored.select("_d", "_t", hit.alias("_hit"))
     pairs = (
-        df.select(id_col, F.posexplode(drugs).alias("_i", "_drug"), F.col(terms).alias("_terms"))
-        .select(id_col, "_i", F.lower("_drug").alias("_d"), F.posexplode("_terms").alias("_j", "_term"))
-        .select(id_col, "_i", "_j", "_d", F.lower("_term").alias("_t"))
-    )
-    hits = pairs.join(stored, ["_d", "_t"]).groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.struct("_i", "_j", *SIGNAL_FIELDS))).alias("_hits")
+        df.select("*", F.posexplode_outer(drugs).alias("_i", "_drug"))
+        .select("*", F.posexplode_outer(terms).alias("_j", "_term"))
+        .withColumns({"_d": F.lower("_drug"), "_t": _spread(F.lower("_term"), id_col)})
     )
-    fields = lambda h: F.struct(*[h[c].alias(c) for c in SIGNAL_FIELDS])
-    return hits.select(id_col, F.transform("_hits", fields).alias("prr_signals"))
+    looked_up = pairs.join(stored, ["_d", "_t"], "left")
+    item = F.struct("_i", "_j", "_hit")
+    gathered = _gather(looked_up, id_col, df.columns, item, F.col("_hit").isNotNull(), "_found")
+    return gathered.select(*df.columns, F.col("_found._hit").alias("prr_signals"))

@@ -26,11 +26,20 @@ def target_reviews(raw: DataFrame, targets: Sequence[str] = K.TARGET_DRUGS) -> D
 
 
 def readable_reviews(df: DataFrame, min_words: int = K.MIN_REVIEW_WORDS) -> DataFrame:
-    """Cleaned text and word count; keeps text of more than ``min_words`` words."""
+    """Cleaned text and word count; keeps text of more than ``min_words`` words.
+
+    A plain filter would be pushed below the cleaning and repeat it for the condition, so
+    each row makes a list of one cleaned entry, which the condition empties.
+    """
     text = first_col(df, K.REVIEW_TEXT_COLUMNS, required=True)
-    cleaned = df.withColumn("review_text_clean", X.clean_html(F.col(text).cast("string")))
-    counted = cleaned.withColumn("word_count", X.word_count(F.col("review_text_clean")))
-    return counted.where((F.length("review_text_clean") > 0) & (F.col("word_count") > min_words))
+    entries = F.transform(
+        F.array(X.clean_html(F.col(text).cast("string"))),
+        lambda t: F.struct(t.alias("review_text_clean"), X.word_count(t).alias("word_count")),
+    )
+    kept = F.filter(
+        entries, lambda e: (e["review_text_clean"] != "") & (e["word_count"] > min_words)
+    )
+    return df.select("*", F.inline(kept))
 
 
 def build_reviews(

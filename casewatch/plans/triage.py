@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewatch import constants as K
-from casewatch.functions.parsing import parse_output
+from casewatch.functions.parsing import parse_outputs
 from casewatch.functions.scoring import extraction_confidence, signal_flag
 from casewatch.operators.dedupe import keep_first
 from casewatch.operators.lookup import map_terms, signal_lookup
@@ -36,7 +36,7 @@ def score_outputs(
     The vocabulary part of the confidence is an expression over the drug array; nothing is
     exploded or regrouped.
     """
-    read = outputs.withColumn("_out", parse_output(F.col(raw)))
+    read = parse_outputs(outputs, raw, "_out")
     none = F.array().cast("array<string>")
     parts = read.select(
         *outputs.columns, F.col("_out").isNotNull().alias("parsed"),
@@ -81,10 +81,12 @@ def route_attempts(
     so a report never gathers more than ``max_attempts`` rows.
     """
     allowed = scored.where(F.col("attempt").between(1, max_attempts))
-    if "cached" not in allowed.columns:
-        allowed = allowed.withColumn("cached", F.lit(False))
-    one_each = keep_first(allowed, [id_col, "attempt"])
-    fields = ["attempt", "confidence", "drugs", "reactions", "severity", "parsed", "cached"]
+    extra = {"cached": F.lit(False), "drug_norm": F.lit(None).cast("string")}
+    allowed = allowed.withColumns({c: v for c, v in extra.items() if c not in allowed.columns})
+    fields = [
+        "attempt", "confidence", "drugs", "reactions", "severity", "drug_norm", "parsed", "cached",
+    ]
+    one_each = keep_first(allowed.select(id_col, *fields), [id_col, "attempt"])
     tries = one_each.groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("_tries")
     )
@@ -98,7 +100,7 @@ def route_attempts(
         .when(F.size("_tries") >= max_attempts, "flag_human").otherwise("extract")
     )
     return decided.select(
-        id_col, route.alias("route"), *(F.col(f"_final.{f}").alias(f) for f in fields[:5]),
+        id_col, route.alias("route"), *(F.col(f"_final.{f}").alias(f) for f in fields[:6]),
         F.flatten(F.transform(used, _attempt_trace)).alias("agent_trace"),
     )
 
@@ -117,25 +119,13 @@ def triage(
     routed = route_attempts(
         score_outputs(outputs, vocabulary), id_col, min_confidence, max_attempts
     ).where("route != 'extract'")
-    mapping = routed.where("route = 'map_terms'")
-    terms = map_terms(mapping, term_map, id_col)
-    with_terms = mapping.select(id_col, "drugs").join(terms, id_col)
-    hits = signal_lookup(with_terms, signals, id_col)
-    joined = routed.join(terms, id_col, "left").join(hits, id_col, "left")
-    if "drug_norm" in outputs.columns:
-        # drug_norm belongs to the report; the smallest value makes the choice repeatable
-        drug = outputs.groupBy(id_col).agg(F.min("drug_norm").alias("drug_norm"))
-        joined = joined.join(drug, id_col, "left")
-    else:
-        joined = joined.withColumn("drug_norm", F.lit(None).cast("string"))
-
-    strings, numbers = F.array().cast("array<string>"), F.array().cast("array<double>")
-    found = joined.withColumns({
-        "meddra_pts": F.coalesce("meddra_pts", strings),
-        "mapping_scores": F.coalesce("mapping_scores", numbers),
-        "prr_signals": F.coalesce(F.col("prr_signals").cast(SIGNAL_TYPE), F.array().cast(SIGNAL_TYPE)),
-    })
     flagged = F.col("route") == "flag_human"
+    # flagged reports are not mapped: their lists stay empty through both joins
+    none = F.array().cast("array<string>")
+    ready = routed.withColumn("_reactions", F.when(flagged, none).otherwise(F.col("reactions")))
+    terms = map_terms(ready, term_map, id_col, "_reactions")
+    found = signal_lookup(terms, signals, id_col)
+
     prrs = F.col("prr_signals.prr")
     flag = signal_flag(prrs)
     any_input = (F.size("drugs") > 0) & (F.size("meddra_pts") > 0)

@@ -450,7 +450,7 @@ oracle("conf_hist", f"""WITH {PARSED}
 oracle("flag_dist", TRIAGE + " SELECT signal_flag, count(*) AS n FROM results GROUP BY signal_flag", *TRIAGE_VIEWS)
 oracle("recent_results", TRIAGE + """
     SELECT * FROM (SELECT review_id, signal_flag, (length(review_id) + len(string_split(agent_trace, '|')))::INT AS processed_at FROM results
-                   ORDER BY processed_at DESC, review_id LIMIT 200) WHERE signal_flag = 'noise'""", *TRIAGE_VIEWS)
+                   ORDER BY processed_at DESC, review_id LIMIT 200) WHERE signal_flag = 'low'""", *TRIAGE_VIEWS)
 oracle("trace_steps", TRIAGE + """
     SELECT review_id, step::INT AS step, split_part(entry, ':', 1) AS stage, entry
     FROM (SELECT review_id, unnest(string_split(agent_trace, '|')) AS entry,
@@ -510,8 +510,12 @@ oracle("row_checks", """
 
 # --- files and incremental jobs: the rows written are the rows read back ------------------
 
-oracle("src_quarters", """SELECT * FROM (VALUES ('2024Q4', 'DEMO', 'DEMO24Q4.txt'), ('2024Q4', 'DRUG', 'DRUG24Q4.txt'),
-    ('2024Q4', 'OUTC', 'OUTC24Q4.txt'), ('2025Q1', 'DEMO', 'demo25q1.TXT'), ('2025Q1', 'REAC', 'REAC25Q1.txt')) t(quarter, file_type, name)""")
+oracle("src_quarters", """
+    SELECT '2024Q4 DEMO DEMO24Q4.txt' AS table_name, count(*) AS n FROM demo_raw WHERE coalesce(fda_dt < '1998', FALSE)
+    UNION ALL SELECT '2025Q1 DEMO demo25q1.TXT', count(*) FROM demo_raw WHERE NOT coalesce(fda_dt < '1998', FALSE)
+    UNION ALL SELECT '2024Q4 DRUG DRUG24Q4.txt', count(*) FROM drug_raw
+    UNION ALL SELECT '2025Q1 REAC REAC25Q1.txt', count(*) FROM reac_raw
+    UNION ALL SELECT '2024Q4 OUTC OUTC24Q4.txt', count(*) FROM outc_raw""", "demo_raw", "drug_raw", "reac_raw", "outc_raw")
 oracle("src_dollar_csv", "SELECT caseid, age, sex, fda_dt FROM demo_raw", "demo_raw")
 oracle("union_quarters", "SELECT caseid, caseversion, fda_dt, CASE WHEN fda_dt < '1998' THEN sex END AS sex FROM demo_raw", "demo_raw")
 oracle("src_reviews", """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from casewatch.functions import cases as C
 from casewatch.functions import text as X
-from casewatch.functions.parsing import parse_output
+from casewatch.functions.parsing import parse_outputs
 from casewatch.functions.scoring import signal_flag as flag_of
 from casewatch.operators import dedupe, lookup, names, nearest, pairs, texts
 from casewatch.plans import evaluate, ingest, reports, reviews, triage
@@ -134,10 +134,8 @@ def signal_lookup(spark, d):
 
 @query
 def signal_flag(spark, d):
-    hits = _looked_up(spark, d)
-    prrs = F.coalesce("prr_signals.prr", F.array().cast("array<double>"))
-    flags = _report_lists(spark, d).join(hits, "p_partkey", "left")
-    return flags.select("p_partkey", flag_of(prrs, high=1.6, medium=1.3).alias("signal_flag"))
+    prrs = F.col("prr_signals.prr")
+    return _looked_up(spark, d).select("p_partkey", flag_of(prrs, high=1.6, medium=1.3).alias("signal_flag"))
 
 
 # --- case reports ------------------------------------------------------------------------
@@ -389,7 +387,7 @@ def _flat(results: DataFrame) -> DataFrame:
 
 @query
 def parse_output_rows(spark, d):
-    parsed = view(spark, d, "outputs").withColumn("o", parse_output(F.col("raw")))
+    parsed = parse_outputs(view(spark, d, "outputs"), "raw", "o")
     return parsed.select(
         "report_id", "attempt", F.array_join("o.drugs", "|").alias("drugs"),
         F.array_join("o.reactions", "|").alias("reactions"), F.col("o.severity").alias("severity"),
@@ -438,7 +436,7 @@ def flag_dist(spark, d):
 @query
 def recent_results(spark, d):
     dated = _results(spark, d).withColumn("processed_at", F.length("review_id") + F.size("agent_trace"))
-    return reports.recent_results(dated, flag="noise").select("review_id", "signal_flag", "processed_at")
+    return reports.recent_results(dated, flag="low").select("review_id", "signal_flag", "processed_at")
 
 
 @query
@@ -521,8 +519,11 @@ def _write_quarters(spark, d) -> str:
 
 @query
 def src_quarters(spark, d):
-    found = readers.quarters(spark, _write_quarters(spark, d))
-    return found.select("quarter", "file_type", F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
+    found = readers.discover_quarters(spark, _write_quarters(spark, d))
+    return readers.table_counts({
+        f"{quarter} {kind} {path.rsplit('/', 1)[-1]}": readers.read_dollar(spark, path)
+        for quarter, files in found.items() for kind, path in files.items()
+    })
 
 
 @query
