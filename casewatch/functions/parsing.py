@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewatch.functions.text import strip
+
 OBJECTS = "array<struct<drugs: array<string>, reactions: array<string>, severity: string>>"
 STRICT = {"allowSingleQuotes": "false"}
 
 
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+def _without_fence(text: Column) -> Column:
+    """Stripped text without a code fence around it."""
+    text = strip(text)
+    opened = F.when(
+        text.startswith("```"), F.regexp_replace(text, r"(?U)^```(?:json)?\s*", "")
+    ).otherwise(text)
+    return strip(F.when(
+        opened.endswith("```"), F.regexp_replace(opened, r"(?U)\s*```$", "")
+    ).otherwise(opened))
 
 
 def _objects(text: Column) -> Column:
@@ -26,7 +35,7 @@ def _listed(raw: Column, field: str) -> Column:
     """Items of the first ``"field": [...]`` in the text, null where there is none."""
     body = F.get(F.regexp_extract_all(raw, F.lit(rf'"{field}"\s*:\s*\[([^\]]*)\]'), F.lit(1)), F.lit(0))
     items = F.transform(
-        F.split(body, ","), lambda v: F.btrim(F.btrim(_strip(v), F.lit('"')), F.lit("'"))
+        F.split(body, ","), lambda v: F.btrim(F.btrim(strip(v), F.lit('"')), F.lit("'"))
     )
     return F.filter(items, lambda v: v != "")
 
@@ -44,8 +53,7 @@ def parse_outputs(df: DataFrame, raw: str = "raw", out: str = "output") -> DataF
     of all the steps.
     """
     text = F.col(raw)
-    bare = F.regexp_replace(_strip(text), r"(?U)^```(?:json)?\s*", "")
-    steps = df.withColumn("_bare", _strip(F.regexp_replace(bare, r"(?U)\s*```$", "")))
+    steps = df.withColumn("_bare", _without_fence(text))
     steps = steps.withColumn("_direct", F.when(F.col("_bare").startswith("{"), _objects(F.col("_bare"))))
     direct = F.size("_direct") == 1
     block = F.regexp_extract(text, r"(?s)(\{.*\})", 1)

@@ -12,9 +12,18 @@ from pyspark.sql import functions as F
 from casewatch.constants import EVENT_STEMS, MARKUP, SALT_WORDS, TARGET_DRUGS
 
 # White space as Unicode defines it, plus the four separator control characters.
+BLANK_CHARS = "".join(
+    chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                     0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.btrim(text, F.lit(BLANK_CHARS))
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space become one space, ends trimmed."""
     return F.trim(F.regexp_replace(text, BLANKS, " "))
@@ -23,7 +32,9 @@ def squeeze(text: Column) -> Column:
 def clean_html(text: Column, markup: Sequence[tuple[str, str]] = MARKUP) -> Column:
     """Replace markup in order, squeeze, and take off one pair of surrounding quotes."""
     for pattern, replacement in markup:
-        text = F.regexp_replace(text, "(?iU)" + pattern, replacement)
+        # Unicode classes cost time, so only where the pattern has one
+        flags = "(?iU)" if "\\s" in pattern else "(?i)"
+        text = F.regexp_replace(text, flags + pattern, replacement)
     return F.trim(F.regexp_replace(squeeze(text), '^"(?:(.*)")?$', "$1"))
 
 

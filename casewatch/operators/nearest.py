@@ -12,6 +12,8 @@ from casewatch.operators.best import BLOCK_ROWS, MAX_BROADCAST_ROWS, best_partne
 
 # Similarities held at once while a batch of queries meets the catalog.
 CELLS = 8_000_000
+# Largest catalog that is broadcast, in bytes of its vectors.
+MAX_BROADCAST_BYTES = 256 << 20
 
 
 def nearest_term(
@@ -31,6 +33,9 @@ def nearest_term(
     )
     text_type = queries.schema[text].dataType
     term_type = catalog.schema[term].dataType
+    width = entries.select(F.size("_vec").alias("n")).first()
+    if width is not None:
+        max_catalog_rows = min(max_catalog_rows, MAX_BROADCAST_BYTES // (8 * max(1, width["n"])))
     schema = T.StructType([
         T.StructField(text, text_type), T.StructField("_score", T.DoubleType()),
         T.StructField("_place", term_type),

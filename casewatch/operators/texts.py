@@ -1,8 +1,9 @@
-"""Mentions of dictionary terms in text, and the hook for scoring text by a user's function."""
+"""Mentions of dictionary terms in text, and hooks for a user's scoring and embedding functions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import re
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,53 +12,52 @@ from pyspark.sql import functions as F
 MENTIONS = "array<struct<entity_text: string, entity_label: string, start_char: int, end_char: int>>"
 
 
+def _any_of(terms: Iterable[str]) -> str:
+    """Pattern for any of the terms, the longest first, with shared beginnings matched once."""
+    rest: dict[str, list[str]] = {}
+    whole = False
+    for term in terms:
+        if term:
+            rest.setdefault(term[0], []).append(term[1:])
+        else:
+            whole = True
+    ways = [re.escape(head) + _any_of(tails) for head, tails in rest.items()]
+    if whole:
+        ways.append(r"(?!(?<=\w)\w)")  # a term that ends in a word character ends the word
+    return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+
+
 def mentions(
     df: DataFrame, terms: Sequence[tuple[str, str]], id_col: str = "review_id",
     text_col: str = "review_text",
 ) -> DataFrame:
     """All mentions of (term, label) entries: id, text as written, label, start, end (exclusive).
 
-    Whole words, any case, left to right without overlap, longest term first. One pass over
-    the text whatever the number of terms: each word looks up the terms that begin with it.
+    Whole words, any case, left to right without overlap, longest term first; of two entries
+    for a term the first counts. One pass over the text, whatever the number of terms.
     Positions of every match are beyond the built-in functions, hence the Arrow function.
     """
-    import re
-
-    word = re.compile(r"\w+")
-    by_head: dict[str, list[tuple[str, str]]] = {}
-    for term, label in sorted(terms, key=lambda t: -len(t[0])):
-        head = word.match(term.lower())
-        if head is None:
-            raise ValueError(f"term must start with a word character: {term!r}")
-        by_head.setdefault(head.group(), []).append((term.lower(), label))
+    labels = {term.lower(): label for term, label in reversed(terms)}
+    pattern = r"(?<!\w)" + _any_of(labels)
 
     @F.pandas_udf(MENTIONS)
     def find(texts: pd.Series) -> pd.Series:
         import re
 
-        words = re.compile(r"\w+")
+        finder = re.compile(pattern).finditer
 
         def scan(text: str | None) -> list[dict]:
-            out, free = [], 0
             lowered = (text or "").lower()
             if len(lowered) != len(text or ""):
                 # rare letters change length when lowered; keep positions of the original
                 lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-            for head in words.finditer(lowered):
-                start = head.start()
-                if start < free:
-                    continue
-                for term, label in by_head.get(head.group(), ()):
-                    end = start + len(term)
-                    cut = end < len(lowered) and words.match(lowered[end - 1]) and words.match(lowered[end])
-                    if lowered.startswith(term, start) and not cut:
-                        out.append({
-                            "entity_text": text[start:end], "entity_label": label,
-                            "start_char": start, "end_char": end,
-                        })
-                        free = end
-                        break
-            return out
+            return [
+                {
+                    "entity_text": text[m.start() : m.end()], "entity_label": labels[m.group()],
+                    "start_char": m.start(), "end_char": m.end(),
+                }
+                for m in finder(lowered)
+            ]
 
         return texts.map(scan)
 
@@ -86,3 +86,16 @@ def score_texts(
 
     scored = unique.mapInPandas(run, f"_hash string, {out} string")
     return hashed.join(scored, "_hash", "left").drop("_hash")
+
+
+def embed_texts(
+    df: DataFrame, embed: Callable[[list[str]], list[list[float]]], text_col: str = "text"
+) -> DataFrame:
+    """(text, embedding) for each distinct text, embedded in Arrow batches."""
+    unique = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"text": batch["text"], "embedding": list(embed(batch["text"].tolist()))})
+
+    return unique.mapInPandas(run, "text string, embedding array<double>")

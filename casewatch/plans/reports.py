@@ -34,14 +34,17 @@ def top_signals(signals: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
+def _shown(signals: DataFrame, drugs: Sequence[str], min_prr: float, only_signals: bool) -> DataFrame:
+    kept = signals.where(F.col("drug").isin(list(drugs)) & (F.col("prr") >= min_prr))
+    return kept.where("is_signal") if only_signals else kept
+
+
 def filter_signals(
     signals: DataFrame, drugs: Sequence[str], min_prr: float = K.MIN_PRR, only_signals: bool = True
 ) -> DataFrame:
     """Signals of chosen drugs from a PRR upwards, strongest first."""
-    kept = signals.where(F.col("drug").isin(list(drugs)) & (F.col("prr") >= min_prr))
-    if only_signals:
-        kept = kept.where("is_signal")
-    return kept.select("drug", "reaction", "prr", "n_cases", "is_signal", "masking_warning").orderBy(
+    shown = _shown(signals, drugs, min_prr, only_signals)
+    return shown.select("drug", "reaction", "prr", "n_cases", "is_signal", "masking_warning").orderBy(
         F.col("prr").desc(), "drug", "reaction"
     )
 
@@ -52,41 +55,44 @@ def heatmap(
 ) -> DataFrame:
     """Largest PRR by reaction (rows) and drug (columns) for the most reported reactions.
 
-    The drug list is given, so the pivot needs no pass to find its columns. Cells without a
-    pair are 0, as is the whole column of a drug with no row left.
+    The drug list is given, so no pass is needed to find the columns. One grouping by
+    reaction gives the cells and the weight the top is taken by. Cells without a pair are
+    0, as is the whole column of a drug with no row left.
     """
-    shown = filter_signals(signals, drugs, min_prr, only_signals)
-    top = (
-        shown.groupBy("reaction").agg(F.sum("n_cases").alias("_n"))
-        .orderBy(F.col("_n").desc(), "reaction").limit(top_n).select("reaction")
-    )
-    return (
-        shown.join(top, "reaction", "left_semi").groupBy("reaction")
-        .pivot("drug", list(drugs)).agg(F.max("prr")).fillna(0.0)
+    cells = [
+        F.coalesce(F.max(F.when(F.col("drug") == d, F.col("prr"))), F.lit(0.0)).alias(d) for d in drugs
+    ]
+    rows = _shown(signals, drugs, min_prr, only_signals).groupBy("reaction").agg(
+        F.sum("n_cases").alias("_n"), *cells
     )
+    return rows.orderBy(F.col("_n").desc(), "reaction").limit(top_n).drop("_n")
 
 
 def controls(
     signals: DataFrame, pairs: Sequence[tuple[str, str]] = K.POSITIVE_CONTROLS,
     optional: Sequence[str] = K.OPTIONAL_CONTROLS, min_prr: float = K.MIN_PRR, any_case: bool = False,
 ) -> DataFrame:
-    """Known pairs looked up: ``status`` judges by PRR, ``signal_status`` by the signal decision."""
+    """Known pairs looked up: ``status`` judges by PRR, ``signal_status`` by the signal decision.
+
+    The pairs are an argument, so their broadcast is as small as that list; it leaves only
+    the matching signals for the outer join.
+    """
     spark = signals.sparkSession
-    known = spark.createDataFrame(list(pairs), "drug string, reaction string")
-    stored = signals.select(
-        "drug", "reaction", "prr", "ror", "chi2", "n_cases", "is_signal", "masking_warning"
-    )
     fold = F.lower if any_case else F.col
-    left = known.select("drug", "reaction", fold("drug").alias("_d"), fold("reaction").alias("_r"))
-    right = stored.withColumns({"_d": fold("drug"), "_r": fold("reaction")}).drop("drug", "reaction")
-    joined = right.join(F.broadcast(left), ["_d", "_r"], "right")  # as many rows as known pairs
+    known = spark.createDataFrame(list(pairs), "drug string, reaction string").withColumns(
+        {"_d": fold("drug"), "_r": fold("reaction")}
+    )
+    stored = signals.select(
+        fold("drug").alias("_d"), fold("reaction").alias("_r"),
+        "prr", "ror", "chi2", "n_cases", "is_signal", "masking_warning",
+    ).join(F.broadcast(known.select("_d", "_r")), ["_d", "_r"], "left_semi")
     found = F.col("prr").isNotNull()
     status = (
         F.when(~found, "NOT FOUND").when(F.col("prr") >= min_prr, "PASS")
         .when(F.col("drug").isin(list(optional)), "WEAK").otherwise("FAIL")
     )
     flag = F.coalesce("is_signal", F.lit(False))
-    return joined.select(
+    return known.join(stored, ["_d", "_r"], "left").select(
         "drug", "reaction", "prr", "ror", "chi2", "n_cases", flag.alias("is_signal"),
         "masking_warning", found.alias("found"), status.alias("status"),
         F.when(flag, "PASS").otherwise("FAIL").alias("signal_status"),

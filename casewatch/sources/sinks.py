@@ -62,3 +62,9 @@ def append_version(df: DataFrame, path: str, version: int) -> None:
 def current_rows(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The latest version of every key: last write wins, no batch rewrites older ones."""
     return keep_first(table, keys, [F.col("version").desc()]).drop("version")
+
+
+def next_version(table: DataFrame | None) -> int:
+    """The number of the next batch of a versioned table."""
+    last = None if table is None else table.agg(F.max("version")).first()[0]
+    return 0 if last is None else last + 1

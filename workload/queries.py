@@ -12,7 +12,7 @@ from casewatch.functions import text as X
 from casewatch.functions.parsing import parse_outputs
 from casewatch.functions.scoring import signal_flag as flag_of
 from casewatch.operators import dedupe, lookup, names, nearest, pairs, texts
-from casewatch.plans import evaluate, ingest, reports, reviews, triage
+from casewatch.plans import evaluate, flows, ingest, reports, reviews, triage
 from casewatch.session import scratch, tune
 from casewatch.sources import readers, sinks
 from casewatch.streaming import stages, triage_stream
@@ -453,6 +453,31 @@ def nearest_term(spark, d):
     return nearest.nearest_term(asked, catalog)
 
 
+@query
+def term_map(spark, d):
+    """Reaction texts of the outputs mapped to part names by their letter counts."""
+    def embed(batch):
+        return [[float(t.lower().count(c)) for c in "abdegilnort"] for t in batch]
+
+    catalog = texts.embed_texts(table(spark, d, "part").select(F.col("p_name").alias("text")), embed)
+    return flows.term_map(view(spark, d, "outputs"), catalog.withColumnRenamed("text", "term"), embed, BRANDS)
+
+
+@query
+def triage_batch(spark, d):
+    """All event-mentioning reviews scored by a stand-in for a model, retried, and triaged."""
+    def score(batch, attempt):
+        good = '{"drugs": ["Brand#3"], "reactions": ["old bolt", "red gear"], "severity": "serious"}'
+        return [good if (len(t) + attempt) % 5 < 2 else "nothing" for t in batch]
+
+    terms = sinks.replace_table(view(spark, d, "term_map"), scratch(spark, "term_map"))
+    done = flows.triage_flow(
+        spark, view(spark, d, "reviews"), scratch(spark, "batch"), score, _signals(spark, d, **LOW),
+        lambda outputs: terms, BRANDS, limit=None,
+    )
+    return _flat(done).select("review_id", "drug_norm", "meddra_pts", "prr_signals", "signal_flag", "needs_human_review", "agent_trace")
+
+
 @query
 def latency_stats(spark, d):
     return reports.latency_stats(view(spark, d, "latencies"), digits=3)
