@@ -131,7 +131,13 @@ def fuzzy_match(
         column, F.col("generic_name").alias("drugname_norm"), F.col("rxcui").alias("rxnorm_rxcui"),
         F.lit(100.0).alias("match_score"),
     )
-    open_names = unique.join(exact, "_full", "left_anti")
+    # Names are few bytes but much work each: a set number of partitions, which adaptive
+    # execution does not merge by size as it would those of the joins above.
+    spread = max(
+        int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+        names.sparkSession.sparkContext.defaultParallelism,
+    )
+    open_names = unique.join(exact, "_full", "left_anti").repartition(spread, column)
 
     schema = T.StructType([
         T.StructField(column, T.StringType()), T.StructField("generic_name", T.StringType()),

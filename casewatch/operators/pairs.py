@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewatch import constants as K
@@ -10,7 +10,7 @@ from casewatch.functions.scoring import disproportionality
 
 # A case with more terms than this on one side is cut into tiles of this size.
 TILE_TERMS = 2_000
-# At most this many cases per side are cut, which bounds the broadcast list of them.
+# At most this many cases are cut, which bounds the broadcast list of them.
 MAX_TILED_CASES = 100_000
 
 
@@ -24,16 +24,23 @@ def term_counts(terms: DataFrame, term: str, out: str) -> DataFrame:
     return terms.groupBy(term).agg(F.count(F.lit(1)).alias(out))
 
 
-def _large_cases(terms: DataFrame, case: str, size: int, out: str) -> DataFrame:
-    """The largest cases above ``size`` and how many tiles each is cut into.
+def _large_cases(drugs: DataFrame, reactions: DataFrame, case: str, size: int) -> DataFrame:
+    """The largest cases above ``size`` terms on a side, and the tiles per side they are cut into.
 
     Which cases are listed changes only how the work is split, never the pairs, so the
     limit is a bound on the broadcast and loses nothing.
     """
-    return (
-        terms.groupBy(case).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
-        .orderBy(F.col("_n").desc()).limit(MAX_TILED_CASES)
-        .select(case, F.ceil(F.col("_n") / size).cast("int").alias(out))
+    sides = drugs.select(case, F.lit(1).alias("_d"), F.lit(0).alias("_r")).unionAll(
+        reactions.select(case, F.lit(0), F.lit(1))
+    )
+    counts = sides.groupBy(case).agg(F.sum("_d").alias("_nd"), F.sum("_r").alias("_nr"))
+    most = F.greatest("_nd", "_nr")
+
+    def tiles(n: str) -> Column:
+        return F.greatest(F.ceil(F.col(n) / size), F.lit(1)).cast("int")
+
+    return counts.where(most > size).orderBy(most.desc()).limit(MAX_TILED_CASES).select(
+        case, tiles("_nd").alias("_d_tiles"), tiles("_nr").alias("_r_tiles")
     )
 
 
@@ -47,12 +54,7 @@ def co_occurrence(
     and each (drug tile, reaction tile) joins on its own, so their pairs spread over tasks;
     all other cases have the one tile (0, 0).
     """
-    d_large = _large_cases(drugs, case, tile_terms, "_d_tiles")
-    r_large = _large_cases(reactions, case, tile_terms, "_r_tiles")
-    large = F.broadcast(
-        d_large.join(r_large, case, "full")
-        .select(case, *(F.coalesce(c, F.lit(1)).alias(c) for c in ("_d_tiles", "_r_tiles")))
-    )
+    large = F.broadcast(_large_cases(drugs, reactions, case, tile_terms))
 
     def tiled(terms: DataFrame, term: str, own: str, other: str) -> DataFrame:
         own_tiles = F.coalesce(F.col(f"_{own}_tiles"), F.lit(1))
@@ -98,7 +100,7 @@ def pair_counts(
 
 
 def _scored(
-    pairs: DataFrame, drug: str, reaction: str, total, include_insufficient: bool, **thresholds
+    pairs: DataFrame, drug: str, reaction: str, total: Column, include_insufficient: bool, **thresholds
 ) -> DataFrame:
     scores = disproportionality(
         F.col("n_cases"), F.coalesce("n_drug", F.lit(0)), F.coalesce("n_reaction", F.lit(0)), total,

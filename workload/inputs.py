@@ -7,6 +7,7 @@ tables. ``{name}`` stands for a given table or for an earlier view.
 from __future__ import annotations
 
 import string
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -143,18 +144,18 @@ def _fields(sql: str) -> list[str]:
     return list(dict.fromkeys(f for _, f, _, _ in string.Formatter().parse(sql) if f))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
+@lru_cache(maxsize=None)
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table or one of the views above."""
+    """A given table or one of the views above; the plan, not the data, is kept for reuse."""
     if name in TABLES:
-        return table(spark, sf_dir, name)
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name]
     return spark.sql(sql, **{f: view(spark, sf_dir, f) for f in _fields(sql)})
 
 
+table = view
+
+
 def with_views(body: str, *names: str) -> str:
     """SQL text for the comparing database: the views named, and those they need, then the body."""
     order: list[str] = []

@@ -115,6 +115,11 @@ def controls(spark, d):
     return reports.controls(_signals(spark, d, **LOW), CONTROLS, optional=["Brand#13"], min_prr=1.1)
 
 
+def _stored_signals(spark, d):
+    """Signals as the lookups find them: a stored table, whose size Spark knows."""
+    return sinks.replace_table(_signals(spark, d, **LOW), scratch(spark, "signals"))
+
+
 def _report_lists(spark, d):
     return view(spark, d, "part").select(
         "p_partkey", F.array("p_brand", F.lower("p_brand"), F.lit("Brand#7")).alias("drugs"),
@@ -123,7 +128,7 @@ def _report_lists(spark, d):
 
 
 def _looked_up(spark, d):
-    return lookup.signal_lookup(_report_lists(spark, d), _signals(spark, d, **LOW), "p_partkey")
+    return lookup.signal_lookup(_report_lists(spark, d), _stored_signals(spark, d), "p_partkey")
 
 
 @query
@@ -368,7 +373,7 @@ def _scored_outputs(spark, d):
 
 def _results(spark, d):
     return triage.triage(
-        view(spark, d, "outputs"), view(spark, d, "term_map"), _signals(spark, d, **LOW), BRANDS
+        view(spark, d, "outputs"), view(spark, d, "term_map"), _stored_signals(spark, d), BRANDS
     )
 
 
@@ -472,7 +477,7 @@ def triage_batch(spark, d):
 
     terms = sinks.replace_table(view(spark, d, "term_map"), scratch(spark, "term_map"))
     done = flows.triage_flow(
-        spark, view(spark, d, "reviews"), scratch(spark, "batch"), score, _signals(spark, d, **LOW),
+        spark, view(spark, d, "reviews"), scratch(spark, "batch"), score, _stored_signals(spark, d),
         lambda outputs: terms, BRANDS, limit=None,
     )
     return _flat(done).select("review_id", "drug_norm", "meddra_pts", "prr_signals", "signal_flag", "needs_human_review", "agent_trace")
@@ -638,7 +643,7 @@ def stream_triage(spark, d):
     source, out = scratch(spark, "arrivals"), scratch(spark, "stream")
     outputs = view(spark, d, "outputs")
     terms = sinks.replace_table(view(spark, d, "term_map"), scratch(spark, "term_map"))
-    known = sinks.replace_table(_signals(spark, d, **LOW), scratch(spark, "signals"))
+    known = _stored_signals(spark, d)
     for delivery in ("attempt = 1", "attempt = 2", "attempt <> 2"):
         outputs.where(delivery).write.mode("append").parquet(source)
         triage_stream.stream_triage(
