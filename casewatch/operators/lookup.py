@@ -12,15 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewatch.operators.dedupe import keep_first
+from casewatch.operators.keys import spread_nulls
 
 SIGNAL_FIELDS = ["drug", "reaction", "prr", "ror", "chi2", "n_cases", "masking_warning"]
 
 
-def _spread(key: Column, id_col: str) -> Column:
-    """The join key, or one of its own for a row without: nulls would all meet in one task."""
-    return F.coalesce(key, F.concat(F.lit("\u0000"), F.col(id_col).cast("string")))
-
-
 def _gather(rows: DataFrame, id_col: str, keep: list[str], item: Column, found: Column, out: str) -> DataFrame:
     """One row per id: the columns to keep, and the items of its rows in order."""
     rest = [c for c in keep if c != id_col]
@@ -42,7 +38,7 @@ def map_terms(
     """
     spoken = df.select("*", F.posexplode_outer(reactions).alias("_pos", "_text"))
     known = term_map.select(F.col(text).alias("_key"), "mapped_term", "similarity")
-    mapped = spoken.withColumn("_key", _spread(F.col("_text"), id_col)).join(known, "_key", "left")
+    mapped = spoken.withColumn("_key", spread_nulls(F.col("_text"), id_col)).join(known, "_key", "left")
     item = F.struct(
         "_pos", F.coalesce("mapped_term", "_text").alias("pt"),
         F.coalesce("similarity", F.lit(0.0)).alias("score"),
@@ -75,7 +71,7 @@ def signal_lookup(
     pairs = (
         df.select("*", F.posexplode_outer(drugs).alias("_i", "_drug"))
         .select("*", F.posexplode_outer(terms).alias("_j", "_term"))
-        .withColumns({"_d": F.lower("_drug"), "_t": _spread(F.lower("_term"), id_col)})
+        .withColumns({"_d": F.lower("_drug"), "_t": spread_nulls(F.lower("_term"), id_col)})
     )
     looked_up = pairs.join(stored, ["_d", "_t"], "left")
     item = F.struct("_i", "_j", "_hit")

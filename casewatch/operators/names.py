@@ -14,6 +14,7 @@ from casewatch.functions.lcs import ratio_index
 from casewatch.functions.text import strip_salts
 from casewatch.operators.best import BLOCK_ROWS, MAX_BROADCAST_ROWS, best_partner
 from casewatch.operators.dedupe import keep_first
+from casewatch.operators.keys import spread_nulls
 from casewatch.sources.columns import first_col
 
 Vocabulary = Sequence[tuple[str, str, Sequence[str]]]
@@ -190,11 +191,12 @@ def apply_names(drugs: DataFrame, mapping: DataFrame, column: str = "drugname_ra
     ones shuffle, and a name that many rows share is split by the skew-join rule.
     """
     new = mapping.where(F.col("drugname_norm").isNotNull()).select(
-        column, F.col("drugname_norm").alias("_norm"), F.col("rxnorm_rxcui").alias("_code")
+        F.col(column).alias("_key"), F.col("drugname_norm").alias("_norm"),
+        F.col("rxnorm_rxcui").alias("_code"),
     )
     matched = F.col("_norm").isNotNull()
     return (
-        drugs.join(new, column, "left")
+        drugs.withColumn("_key", spread_nulls(F.col(column), *drugs.columns)).join(new, "_key", "left")
         .withColumns({
             "drugname_norm": F.when(matched, F.col("_norm")).otherwise(F.col("drugname_norm")),
             "rxnorm_rxcui": F.when(matched, F.col("_code")).otherwise(F.col("rxnorm_rxcui")),

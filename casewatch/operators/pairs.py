@@ -9,7 +9,7 @@ from casewatch import constants as K
 from casewatch.functions.scoring import disproportionality
 
 # A case with more terms than this on one side is cut into tiles of this size.
-TILE_TERMS = 2_000
+TILE_TERMS = 500
 # At most this many cases are cut, which bounds the broadcast list of them.
 MAX_TILED_CASES = 100_000
 
@@ -46,14 +46,17 @@ def _large_cases(drugs: DataFrame, reactions: DataFrame, case: str, size: int) -
 
 def co_occurrence(
     drugs: DataFrame, reactions: DataFrame, drug: str, reaction: str, case: str = "caseid",
-    tile_terms: int = TILE_TERMS,
+    tile_terms: int | None = TILE_TERMS,
 ) -> DataFrame:
     """(drug, reaction) once per case that has both. Inputs are distinct (case, term) rows.
 
     A case with k drugs and m reactions makes k*m pairs. Large cases are cut on both sides,
     and each (drug tile, reaction tile) joins on its own, so their pairs spread over tasks;
-    all other cases have the one tile (0, 0).
+    all other cases have the one tile (0, 0). Finding the large cases costs one more count
+    by case; None leaves it out, for data whose cases are known to be small.
     """
+    if tile_terms is None:
+        return drugs.join(reactions, case).select(drug, reaction)
     large = F.broadcast(_large_cases(drugs, reactions, case, tile_terms))
 
     def tiled(terms: DataFrame, term: str, own: str, other: str) -> DataFrame:
@@ -88,7 +91,7 @@ def marginals(
 
 def pair_counts(
     drugs: DataFrame, reactions: DataFrame, drug: str = "drugname_norm", reaction: str = "pt_name",
-    case: str = "caseid", min_cases: int = K.MIN_CASES, tile_terms: int = TILE_TERMS,
+    case: str = "caseid", min_cases: int = K.MIN_CASES, tile_terms: int | None = TILE_TERMS,
 ) -> DataFrame:
     """Distinct cases per (drug, reaction) with at least ``min_cases`` of them."""
     pairs = co_occurrence(
@@ -123,7 +126,7 @@ def _scored(
 def signals(
     cases: DataFrame, drugs: DataFrame, reactions: DataFrame, drug: str = "drugname_norm",
     reaction: str = "pt_name", case: str = "caseid", include_insufficient: bool = False,
-    min_cases: int = K.MIN_CASES, tile_terms: int = TILE_TERMS, **thresholds,
+    min_cases: int = K.MIN_CASES, tile_terms: int | None = TILE_TERMS, **thresholds,
 ) -> DataFrame:
     """Case-level PRR, ROR, chi-squared, masking warning and signal decision per pair.
 

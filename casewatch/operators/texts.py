@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casewatch.operators.keys import spread_nulls
+
 MENTIONS = "array<struct<entity_text: string, entity_label: string, start_char: int, end_char: int>>"
 
 
@@ -75,8 +77,8 @@ def score_texts(
     text that very many rows share is combined before the shuffle, and its rows are split
     by the skew-join rule on the way back.
     """
-    hashed = df.withColumn("_hash", F.sha2(F.col(text_col), 256))
-    unique = hashed.where(F.col("_hash").isNotNull()).groupBy("_hash").agg(
+    hashed = df.withColumn("_hash", spread_nulls(F.sha2(F.col(text_col), 256), *df.columns))
+    unique = hashed.where(F.col(text_col).isNotNull()).groupBy("_hash").agg(
         F.first(text_col).alias("_text")
     )
 

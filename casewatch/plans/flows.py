@@ -45,9 +45,8 @@ def signal_flow(
     known: Sequence[tuple[str, str]] = K.POSITIVE_CONTROLS, **thresholds,
 ) -> tuple[DataFrame, DataFrame, bool]:
     """Stored signals, the known pairs looked up in them, and whether the mandatory ones hold."""
-    stored = sinks.replace_table(
-        pairs.signals(cases, drugs, reactions, **thresholds), f"{out.rstrip('/')}/signals"
-    )
+    scored = sinks.stamped(pairs.signals(cases, drugs, reactions, **thresholds), "computed_at")
+    stored = sinks.replace_table(scored, f"{out.rstrip('/')}/signals")
     checked = reports.controls(stored, known)
     return stored, checked, reports.controls_pass(checked)
 
@@ -62,9 +61,8 @@ def review_flow(
     all of them for None.
     """
     out = out.rstrip("/")
-    stored = sinks.replace_table(
-        reviews.build_reviews(readers.read_reviews(spark, folder), **build_args), f"{out}/reviews"
-    )
+    built = reviews.build_reviews(readers.read_reviews(spark, folder), **build_args)
+    stored = sinks.replace_table(sinks.stamped(built, "created_at"), f"{out}/reviews")
     tagged = stored.where("has_ae_mention")
     if n_tagged is not None:
         tagged = tagged.orderBy("review_id").limit(n_tagged)
@@ -128,5 +126,6 @@ def triage_flow(
         done = spark.createDataFrame([], "review_id string")
     todo = reviews.unprocessed(review_table, done, limit)
     outputs = score_attempts(todo, score, f"{out.rstrip('/')}/outputs/batch={version}", vocabulary)
-    sinks.append_version(triage(outputs, terms(outputs), signals, vocabulary), results, version)
+    decided = triage(outputs, terms(outputs), signals, vocabulary)
+    sinks.append_version(sinks.stamped(decided, "processed_at"), results, version)
     return spark.read.parquet(f"{results}/version={version}")

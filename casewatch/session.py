@@ -20,10 +20,20 @@ SETTINGS = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings above to a session."""
+def tune(
+    spark: SparkSession, shuffle_bytes: int | None = None, partition_bytes: int = 128 << 20
+) -> SparkSession:
+    """Apply the runtime settings above to a session.
+
+    ``shuffle_bytes``, the size of the largest shuffle to expect, raises the number of
+    shuffle partitions to keep each near ``partition_bytes``. Adaptive execution merges
+    partitions that turn out small but never cuts the whole more finely than this number.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if shuffle_bytes is not None:
+        now = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(now, -(-shuffle_bytes // partition_bytes))))
     return spark
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from casewatch import constants as K
 
+log = logging.getLogger(__name__)
+
 
 def lower_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower() for c in df.columns])
@@ -77,6 +80,9 @@ def read_dollar(spark: SparkSession, path: str, columns: Sequence[str] | None =
     df = lower_names(spark.read.option("sep", "$").option("header", "true").csv(path))
     if columns is None:
         return df
+    missing = [c for c in columns if c.lower() not in df.columns]
+    if missing:
+        log.warning("columns %s not found in %s", missing, path)
     return df.select(*[c.lower() for c in columns if c.lower() in df.columns])
 
 

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from casewatch.operators.dedupe import keep_first
 
 
+def stamped(df: DataFrame, column: str) -> DataFrame:
+    """With the time of the write: one value for all rows of a job."""
+    return df.withColumn(column, F.current_timestamp())
+
+
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write the table anew and return it as read back. The path must not be an input of ``df``."""
     writer = df.write.mode("overwrite")

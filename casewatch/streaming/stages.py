@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from casewatch.plans import ingest
 from casewatch.sources.readers import discover_quarters, read_quarters
-from casewatch.sources.sinks import read_if_present, replace_table
+from casewatch.sources.sinks import read_if_present, replace_table, stamped
 
 STAGES = ("cases", "drugs", "reactions")
 
@@ -59,8 +59,9 @@ def ingest_reports(
         table = ingest.build_cases(need("DEMO"))
         outcomes = read_quarters(spark, found, "OUTC")
         if outcomes is None:
-            return table
-        return ingest.apply_seriousness(table, ingest.case_seriousness(outcomes))
+            return stamped(table, "created_at")
+        flagged = ingest.apply_seriousness(table, ingest.case_seriousness(outcomes))
+        return stamped(flagged, "created_at")
 
     built = run_stages(spark, out, {
         "cases": cases,

@@ -165,3 +165,13 @@ def test_label_sheet_round_trip(spark, tmp_path):
     got = readers.read_labels(spark, str(tmp_path / "labels")).collect()
     assert [(r.review_id, r.review_text_preview, r.drugs_gt) for r in got] == [("1", 'a "q", with\nbreak', "a, b")]
     assert len(sheet.where("review_id = '2'").first().review_text_preview) == 200
+
+
+def test_audit_column_and_partition_setting(spark):
+    from casewatch.session import tune
+
+    assert dict(sinks.stamped(spark.range(1), "created_at").dtypes)["created_at"] == "timestamp"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    tune(spark, shuffle_bytes=1280 << 20)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "10"
+    spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -88,7 +88,7 @@ def brute_counts(drug_rows, reac_rows):
     return by_drug, by_reac
 
 
-@pytest.mark.parametrize("tile", [2000, 7, 1])
+@pytest.mark.parametrize("tile", [None, 500, 7, 1])
 def test_signals_match_brute_force_whatever_the_tiles(spark, reports_data, tile):
     cases, drugs, reactions, drug_rows, reac_rows = reports_data
     by_drug, by_reac = brute_counts(drug_rows, reac_rows)

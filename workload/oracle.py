@@ -440,7 +440,7 @@ oracle("result_detail", TRIAGE + """
     FROM results r JOIN reviews v ON r.review_id = v.review_id""", *TRIAGE_VIEWS, "reviews")
 oracle("run_summary", TRIAGE + """
     SELECT count(*) AS n, count(*) FILTER (extraction_confidence >= 0.75) AS confident, count(*) FILTER (needs_human_review) AS human_flagged,
-           count(*) FILTER (NOT needs_human_review) AS mapped, 0 AS cached,
+           count(*) FILTER (NOT needs_human_review) AS mapped, 0::BIGINT AS cached,
            count(*) FILTER (signal_flag = 'high') AS flag_high, count(*) FILTER (signal_flag = 'medium') AS flag_medium,
            count(*) FILTER (signal_flag = 'low') AS flag_low, count(*) FILTER (coalesce(signal_flag, 'noise') = 'noise') AS flag_noise,
            count(*) FILTER (coalesce(signal_flag, 'noise') <> 'noise') AS with_signals FROM results""", *TRIAGE_VIEWS)
