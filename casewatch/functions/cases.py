@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from casewatch.constants import AGE_UNITS, MAX_AGE_YEARS
+from casewatch.functions.text import first_case
 
 
 def age_years(
@@ -17,14 +18,16 @@ def age_years(
     """Age in years; null for an unknown unit, a bad number or a value out of range."""
     number = age.try_cast("double")
     code = F.upper(unit)
-    years = F.coalesce(*[F.when(code == u, number * F.lit(m) / F.lit(d)) for u, m, d in units])
+    years = first_case((code == u, number * F.lit(m) / F.lit(d)) for u, m, d in units)
     return F.when((years >= 0) & (years <= max_years), years)
 
 
 def report_date(text: Column) -> Column:
     """yyyymmdd text to a date, null where it is not one."""
     digits = F.trim(text)
-    return F.when(digits.rlike(r"^[0-9]{8}$"), F.try_to_date(digits, "yyyyMMdd"))
+    # cast of the ISO form: no formatter, and no exception per damaged date
+    iso = F.concat_ws("-", *(F.substring(digits, *part) for part in ((1, 4), (5, 2), (7, 2))))
+    return F.when(digits.rlike(r"^[0-9]{8}$"), iso.try_cast("date"))
 
 
 def serious_flag(code: Column) -> Column:

@@ -38,6 +38,16 @@ def clean_html(text: Column, markup: Sequence[tuple[str, str]] = MARKUP) -> Colu
     return F.trim(F.regexp_replace(squeeze(text), '^"(?:(.*)")?$', "$1"))
 
 
+def first_case(cases: Iterable[tuple[Column, object]]) -> Column:
+    """Value of the first condition that holds, else null, as one CASE expression.
+
+    A coalesce over single WHENs means the same but runs many times slower on long lists.
+    """
+    return reduce(
+        lambda chain, case: chain.when(*case) if chain is not None else F.when(*case), cases, None
+    )
+
+
 def contains_any(text: Column, words: Iterable[str]) -> Column:
     """Whether the lower-cased text holds any of the words; false for null text."""
     lowered = F.lower(text)
@@ -52,7 +62,7 @@ def mentions_event(text: Column, stems: Sequence[str] = EVENT_STEMS) -> Column:
 def first_target(name: Column, targets: Sequence[str] = TARGET_DRUGS) -> Column:
     """The first of ``targets`` that occurs in the name, else null."""
     lowered = F.lower(name)
-    return F.coalesce(*[F.when(lowered.contains(t.lower()), F.lit(t)) for t in targets])
+    return first_case((lowered.contains(t.lower()), F.lit(t)) for t in targets)
 
 
 def word_count(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from casewatch import constants as K
 from casewatch.functions.lcs import ratio_index
-from casewatch.functions.text import strip_salts
+from casewatch.functions.text import first_case, strip_salts
 from casewatch.operators.best import BLOCK_ROWS, MAX_BROADCAST_ROWS, best_partner
 from casewatch.operators.dedupe import keep_first
 from casewatch.operators.keys import spread_nulls
@@ -32,29 +32,33 @@ def _ranked(vocabulary: Vocabulary) -> list[tuple[str, str, str]]:
     return sorted(entries, key=lambda e: -len(e[0]))
 
 
-def keyword_hit(lowered: Column, vocabulary: Vocabulary = K.DRUG_KEYWORDS) -> Column:
-    """Struct (drugname_norm, rxnorm_rxcui, match_score) of the longest keyword in a name.
+def with_keyword(
+    df: DataFrame, column: str, vocabulary: Vocabulary = K.DRUG_KEYWORDS, out: str = "hit"
+) -> DataFrame:
+    """Add a struct (drugname_norm, rxnorm_rxcui, match_score) of the longest keyword in a name.
 
-    ``lowered`` is the trimmed lower-case name, a column of its own so that it is computed
-    once. 100 where the keyword is the whole name, else 90; nulls and 0 without a hit. The
-    list is tried longest first, so this needs neither a join nor a window.
+    100 where the keyword is the whole name, else 90; nulls and 0 without a hit. The list
+    is tried longest first in one CASE expression that gives the place in it, so this needs
+    neither a join nor a window.
     """
+    entries = _ranked(vocabulary)
+    lowered = df.withColumn("_lower", F.lower(F.trim(column)))
+    placed = lowered.withColumn(
+        "_place",
+        first_case((F.col("_lower").contains(e[0]), F.lit(i)) for i, e in enumerate(entries)),
+    )
 
-    def found(word: str, drug: str, code: str) -> Column:
-        score = F.when(lowered == word, F.lit(100.0)).otherwise(F.lit(90.0))
-        return F.when(
-            lowered.contains(word),
-            F.struct(
-                F.lit(drug).alias("drugname_norm"), F.lit(code).alias("rxnorm_rxcui"),
-                score.alias("match_score"),
-            ),
-        )
+    def pick(field: int) -> Column:
+        return F.get(F.array(*[F.lit(e[field]) for e in entries]), F.col("_place"))
 
-    missing = F.struct(
-        F.lit(None).cast("string").alias("drugname_norm"),
-        F.lit(None).cast("string").alias("rxnorm_rxcui"), F.lit(0.0).alias("match_score"),
+    score = (
+        F.when(F.col("_place").isNull(), F.lit(0.0))
+        .when(pick(0) == F.col("_lower"), F.lit(100.0)).otherwise(F.lit(90.0))
     )
-    return F.coalesce(*[found(*e) for e in _ranked(vocabulary)], missing)
+    hit = F.struct(
+        pick(1).alias("drugname_norm"), pick(2).alias("rxnorm_rxcui"), score.alias("match_score")
+    )
+    return placed.withColumn(out, hit).drop("_lower", "_place")
 
 
 def known_drug_count(drugs: Column, vocabulary: Vocabulary = K.DRUG_KEYWORDS) -> Column:
@@ -74,10 +78,7 @@ def keyword_match(
 ) -> DataFrame:
     """Distinct names with their keyword match."""
     unique = names.where(F.col(column).isNotNull()).select(column).distinct()
-    lowered = unique.withColumn("_lower", F.lower(F.trim(column)))
-    return lowered.select(column, keyword_hit(F.col("_lower"), vocabulary).alias("_hit")).select(
-        column, "_hit.*"
-    )
+    return with_keyword(unique, column, vocabulary, "_hit").select(column, "_hit.*")
 
 
 def vocabulary_lookup(terms: DataFrame) -> DataFrame:
@@ -220,12 +221,11 @@ def normalize_names(
     hit = F.col("_hit")
     matched = hit["drugname_norm"].isNotNull()
     return (
-        drugs.withColumn("_lower", F.lower(F.trim(column)))
-        .withColumn("_hit", keyword_hit(F.col("_lower"), vocabulary))
+        with_keyword(drugs, column, vocabulary, "_hit")
         .withColumns({
             c: F.when(matched, hit[c]).otherwise(F.col(c)) for c in ("drugname_norm", "rxnorm_rxcui")
         })
-        .drop("_hit", "_lower")
+        .drop("_hit")
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewatch import constants as K
+from casewatch.functions.text import first_case
 
 log = logging.getLogger(__name__)
 
@@ -40,9 +41,7 @@ def quarters(spark: SparkSession, folder: str) -> DataFrame:
     by path is taken.
     """
     below = rf"/{K.QUARTER_DIR_PREFIX}([^/]+)/((?:ascii/)?)([^/]+\.(?i:txt))(?:/[^/]+)?$"
-    kind = F.coalesce(
-        *[F.when(F.upper("name").startswith(t), F.lit(t)) for t in K.QUARTER_FILE_TYPES]
-    )
+    kind = first_case((F.upper("name").startswith(t), F.lit(t)) for t in K.QUARTER_FILE_TYPES)
     found = (
         list_files(spark, folder)
         .select(

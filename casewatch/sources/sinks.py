@@ -73,3 +73,10 @@ def next_version(table: DataFrame | None) -> int:
     """The number of the next batch of a versioned table."""
     last = None if table is None else table.agg(F.max("version")).first()[0]
     return 0 if last is None else last + 1
+
+
+def compact_versions(spark: SparkSession, path: str, keys: Sequence[str], out: str) -> DataFrame:
+    """The current rows as one version below a new path; later batches go on from its number."""
+    table = spark.read.parquet(path)
+    append_version(current_rows(table, keys), out, next_version(table) - 1)
+    return spark.read.parquet(out)

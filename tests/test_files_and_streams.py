@@ -99,6 +99,9 @@ def test_versions(spark, tmp_path):
         sinks.append_version(spark.createDataFrame([(2, "B")], "id int, v string"), path, 1)
     table = spark.read.parquet(path)
     assert sinks.next_version(table) == 2 and rows(sinks.current_rows(table, ["id"])) == [(1, "a"), (2, "B")]
+    small = sinks.compact_versions(spark, path, ["id"], str(tmp_path / "w"))
+    assert small.count() == 2 and sinks.next_version(small) == 2
+    assert rows(sinks.current_rows(small, ["id"])) == [(1, "a"), (2, "B")]
 
 
 def test_scratch_is_below_the_shared_folder(spark):
