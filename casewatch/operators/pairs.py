@@ -27,20 +27,22 @@ def term_counts(terms: DataFrame, term: str, out: str) -> DataFrame:
 def _large_cases(drugs: DataFrame, reactions: DataFrame, case: str, size: int) -> DataFrame:
     """The largest cases above ``size`` terms on a side, and the tiles per side they are cut into.
 
-    Which cases are listed changes only how the work is split, never the pairs, so the
-    limit is a bound on the broadcast and loses nothing.
+    Cases go by a hash, which is small to shuffle and to broadcast. Neither two cases of one
+    hash nor the limit can change the pairs: both sides are cut by the same list, which only
+    decides how the work is split.
     """
-    sides = drugs.select(case, F.lit(1).alias("_d"), F.lit(0).alias("_r")).unionAll(
-        reactions.select(case, F.lit(0), F.lit(1))
+    key = F.xxhash64(case).alias("_case")
+    sides = drugs.select(key, F.lit(1).alias("_d"), F.lit(0).alias("_r")).unionAll(
+        reactions.select(key, F.lit(0), F.lit(1))
     )
-    counts = sides.groupBy(case).agg(F.sum("_d").alias("_nd"), F.sum("_r").alias("_nr"))
+    counts = sides.groupBy("_case").agg(F.sum("_d").alias("_nd"), F.sum("_r").alias("_nr"))
     most = F.greatest("_nd", "_nr")
 
     def tiles(n: str) -> Column:
-        return F.greatest(F.ceil(F.col(n) / size), F.lit(1)).cast("int")
+        return F.greatest(F.ceil(F.col(n) / size), F.lit(1))
 
     return counts.where(most > size).orderBy(most.desc()).limit(MAX_TILED_CASES).select(
-        case, tiles("_nd").alias("_d_tiles"), tiles("_nr").alias("_r_tiles")
+        "_case", tiles("_nd").alias("_d_tiles"), tiles("_nr").alias("_r_tiles")
     )
 
 
@@ -52,25 +54,30 @@ def co_occurrence(
 
     A case with k drugs and m reactions makes k*m pairs. Large cases are cut on both sides,
     and each (drug tile, reaction tile) joins on its own, so their pairs spread over tasks;
-    all other cases have the one tile (0, 0). Finding the large cases costs one more count
+    all other cases have the one tile 0. Finding the large cases costs one more count
     by case; None leaves it out, for data whose cases are known to be small.
     """
     if tile_terms is None:
         return drugs.join(reactions, case).select(drug, reaction)
     large = F.broadcast(_large_cases(drugs, reactions, case, tile_terms))
+    d_tiles, r_tiles = F.col("_d_tiles"), F.col("_r_tiles")
 
-    def tiled(terms: DataFrame, term: str, own: str, other: str) -> DataFrame:
-        own_tiles = F.coalesce(F.col(f"_{own}_tiles"), F.lit(1))
-        other_tiles = F.coalesce(F.col(f"_{other}_tiles"), F.lit(1))
-        return terms.join(large, case, "left").select(
-            case, term,
-            F.pmod(F.xxhash64(term), own_tiles).cast("int").alias(f"_{own}"),
-            F.explode(F.sequence(F.lit(0), other_tiles - 1)).alias(f"_{other}"),
+    def tiled(terms: DataFrame, term: str, numbers: Column) -> DataFrame:
+        listed = terms.withColumn("_case", F.xxhash64(case)).join(large, "_case", "left")
+        only = F.array(F.lit(0).cast("long"))
+        return listed.select(
+            case, term, F.explode(F.when(d_tiles.isNull(), only).otherwise(numbers)).alias("_tile")
         )
 
-    left = tiled(drugs, drug, "d", "r")
-    right = tiled(reactions, reaction, "r", "d")
-    return left.join(right, [case, "_d", "_r"]).select(drug, reaction)
+    # tile (i, j) has the number i * r_tiles + j: a drug is in all of its row, a reaction in
+    # all of its column
+    row = F.pmod(F.xxhash64(drug), d_tiles) * r_tiles
+    left = tiled(drugs, drug, F.sequence(row, row + r_tiles - 1))
+    column = F.pmod(F.xxhash64(reaction), r_tiles)
+    right = tiled(
+        reactions, reaction, F.sequence(column, column + (d_tiles - 1) * r_tiles, r_tiles)
+    )
+    return left.join(right, [case, "_tile"]).select(drug, reaction)
 
 
 def marginals(
