@@ -185,9 +185,10 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1
     made = pa.schema([("file", pa.string()), ("bucket", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def save(batches):
-        table = pa.Table.from_batches(batches)
-        if not table.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
+        table = pa.Table.from_batches(batches)
         bucket, doc = table.column("bucket")[0].as_py(), table.column("doc_id").to_pylist()
         ids = [np.frombuffer(x, "<u4") for x in table.column("ids").to_pylist()]
         name = f"{folder.rstrip('/')}/ids-{bucket:06d}-{uuid.uuid4().hex}.dac"
