@@ -53,12 +53,18 @@ def sliced(flat: np.ndarray, lengths: Iterable[int]) -> list[np.ndarray]:
     return np.split(flat, np.cumsum(list(lengths))[:-1])
 
 
+def pieces_of(batches: Batches, rows: int = 512) -> Batches:
+    """The batches in slices of few rows: what Python holds at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> Callable[[Batches], Batches]:
     """A function of one batch as the function over a partition's batches that Spark calls."""
     def run(batches: Batches) -> Batches:
-        for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
+        for batch in pieces_of(batches):
+            yield from fn(batch)
     return run
 
 
@@ -68,14 +74,16 @@ def row_key(*columns: str) -> Column:
 
 
 class Memo(dict):
-    """A bounded cache: missing keys come from ``fill``; a full cache starts anew."""
+    """A bounded cache: missing keys come from ``fill``; of two generations the older one is dropped."""
 
-    def __init__(self, fill: Callable, most: int = 400_000):
+    def __init__(self, fill: Callable, most: int = 300_000):
         super().__init__()
-        self.fill, self.most = fill, most
+        self.fill, self.most, self.old = fill, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.fill(key)
+        value = self.old.get(key)
+        value = self[key] = self.fill(key) if value is None else value
         return value

@@ -118,11 +118,11 @@ class WordCoder:
     vocabulary drops; anything else stays inside the word that the library gets.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.coder, self.most = Tokenizer.from_file(path), most
+        self.coder = Tokenizer.from_file(path)
         self.memo = Memo(lambda w: self.code([w])[0], most)
 
     def code(self, words: list[bytes]) -> list[bytes]:
@@ -132,9 +132,9 @@ class WordCoder:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
         memo = self.memo
-        unseen = list({w for words in split for w in words} - memo.keys())
-        if len(memo) + len(unseen) <= self.most:  # else one by one, in the bounded cache
-            memo.update(zip(unseen, self.code(unseen)))
+        unseen = list({w for words in split for w in words} - memo.keys() - memo.old.keys())
+        for word, ids in zip(unseen, self.code(unseen)):  # many words in one call of the library
+            memo.old[word] = ids
         return [b"".join(map(memo.__getitem__, words)) for words in split]
 
 

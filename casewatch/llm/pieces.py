@@ -2,7 +2,8 @@
 
 The best segmentation maximises the summed piece scores. Open nodes lie within one maximum
 piece length of the reading position. Their backpointer paths are followed until they meet; the
-pieces before that boundary are committed and forgotten, so the state stays a short window.
+pieces before that boundary are committed and forgotten, so the state stays a short window. (Only
+text on which two paths never meet, such as one letter thousands of times, keeps its pointers.)
 Some boundaries are certain from the vocabulary alone: no piece runs across a meta space that
 follows another character, nor across a character that occurs in no longer piece. A text is cut
 there first, and the pieces between two such boundaries are remembered, so a repeated word costs
@@ -48,11 +49,11 @@ class PieceModel:
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == "unknown"), 0)
         self.bytes = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == "byte"}
         self.unknown_score = min((s for _, s in self.table.values()), default=0.0) - UNKNOWN_PENALTY
-        self.surface = [
+        self.surface = np.array([
             p.replace(SPACE, " ").encode() if kind == "normal"
             else bytes([int(p[1:-1], 16)]) if kind == "byte" else b" \xe2\x81\x87 " if kind == "unknown" else b""
             for p, _, kind in pieces
-        ]
+        ], object)
         joins_space = any(SPACE in p.lstrip(SPACE) for p in self.table)
         joins_line = any("\n" in p and len(p) > 1 for p in self.table)
         line = "" if joins_line else "\n"
@@ -79,7 +80,7 @@ class PieceModel:
         table, starts, longest = self.table, self.starts, self.longest
         text, at, score, back = "", 0, [0.0], [0]  # all of them from the last committed boundary on
         blocks = iter(blocks)
-        last = False
+        last, look = False, 8 * longest
         while not last:
             block = next(blocks, None)
             last = block is None
@@ -102,13 +103,14 @@ class PieceModel:
                     stop += 1
                     piece = text[at:stop]
                 at += 1
-                if at >= 8 * longest:
+                if at >= look:
                     paths = {i for i in range(at, min(at + longest, size)) if score[i] > -np.inf}
                     while len(paths) > 1:  # step the path that reaches furthest back, until all meet
                         top = max(paths)
                         paths.remove(top)
                         paths.add(back[top])
                     met = paths.pop()
+                    look = 8 * longest if met else 2 * at  # paths that do not meet are followed more rarely
                     if met:
                         yield from self.trace(text, back, met)
                         kept = score[met]
@@ -138,7 +140,7 @@ class PieceModel:
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The text's bytes. Control ids vanish; the space put before the text is taken off."""
-        out = b"".join(map(self.surface.__getitem__, ids))
+        out = b"".join(self.surface[np.asarray(ids, np.int64)].tolist())
         return out[1:] if self.prefix and out[:1] == b" " else out
 
 
@@ -180,8 +182,10 @@ def decode(codes: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batch):
         use = model(path)
-        ids = batch.column("ids")
-        texts = [use.decode(x or ()).decode("utf-8", "replace") for x in ids.to_pylist()]
+        texts = [
+            use.decode(x.values.to_numpy(zero_copy_only=False) if x.is_valid else ()).decode("utf-8", "replace")
+            for x in batch.column("ids")
+        ]
         yield emit(schema, decoded=texts, **{n: batch.column(n) for n in batch.schema.names})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in codes.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casewatch.llm import direct_codes, pieces
+from casewatch.llm import direct_codes, pieces, recompression, signature_join, suffix_dedup
 from casewatch.llm.common import table
 from casewatch.session import tune
 
@@ -17,9 +17,23 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(tune(spark), sf_dir, "documents"))
 
 
+def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeats(table(tune(spark), sf_dir, "documents")).drop("kept")
+
+
 def op4_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direct_codes.write_and_read(table(tune(spark), sf_dir, "documents"))
 
 
-LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sentencepiece, op4_direct_codes)}
+def op7_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.near_duplicates(table(tune(spark), sf_dir, "documents"), width=3, percent=85)
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(tune(spark), sf_dir, "documents")).drop("kept")
+
+
+LLM_QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op1_sentencepiece, op3_recompression, op4_direct_codes, op7_signature_join, op8_suffix_dedup)
+}
 LLM_ORACLE: dict[str, str] = {}

@@ -88,8 +88,8 @@ def test_streaming_equals_whole_search(library):
 
 def test_state_is_a_window(library):
     _, own = library
-    text = "".join(random.Random(2).choice("thandering") for _ in range(60_000))
-    seen = []
+    rng, seen = random.Random(2), []
+    text = "".join(rng.choice("thandering") for _ in range(60_000))
     own_trace = own.trace
     own.trace = lambda t, back, to: seen.append(len(t)) or own_trace(t, back, to)
     try:
