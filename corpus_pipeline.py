@@ -3,24 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from casewatch.llm import pieces
-from casewatch.llm.common import stored, table
+from casewatch.llm import contextual_pii, decontaminate, line_rules, pieces, signature_join
+from casewatch.llm.common import row_key, stored, table
 from casewatch.session import tune
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return line_rules.kept_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates; a row that repeats a document stays once."""
+    found = signature_join.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    left = docs.join(found, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    key = "__row"
+    while key in docs.columns:
+        key += "_"
+    return left.withColumn(key, row_key("doc_id", "text")).dropDuplicates([key]).select(*docs.columns)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return contextual_pii.redacted(docs)
+
+
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every kept document, decoded again and compared."""
     return pieces.digest(docs)
 
 
-STAGES = [("sentencepiece", encode_pieces)]
-ORACLE_SQL = None
+STAGES = [
+    ("quality rules", quality), ("near duplicates", near_duplicates), ("decontamination", benchmark_free),
+    ("personal data", personal_data), ("sentencepiece", encode_pieces),
+]
+ORACLE_SQL = None  # similarity joins, alignment and Viterbi search are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
     docs = table(tune(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
