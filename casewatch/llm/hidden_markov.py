@@ -30,7 +30,7 @@ from casewatch.llm.common import emit, pieces_of, raw, stored
 from casewatch.session import scratch
 
 STATES = 4
-ROUNDS = 2
+ROUNDS = 4
 FREQUENT = 50
 BACK_OFF = 5.0  # pseudo-count of the unigram distribution in every state
 SEGMENT = 512  # tokens of a training sequence; a longer text is several
@@ -229,12 +229,12 @@ def score(
     types_of = np.array([1.0] + [float(rare.get(k, (0, 0))[0]) for k in range(1, classes)])
     shared = np.array([1.0] + [float(rare.get(k, (0, 0))[1]) for k in range(1, classes)])  # count mass of each class
 
-    noise = lambda s: 0.5 + F.pmod(F.xxhash64("word", F.lit(s)), F.lit(1_000_003)) / 1_000_003
+    noise = lambda s: 0.1 + F.pmod(F.xxhash64("word", F.lit(s)), F.lit(1_000_003)) / 1_000_003
     often = total.where(F.col("c") >= frequent)
     sums = often.select("word", *[(F.col("c") * noise(s)).alias(f"e{s}") for s in range(states)])
-    class_sums = np.random.default_rng(11).uniform(0.5, 1.5, (classes, states)) * (shared - types_of)[:, None]
+    class_sums = np.random.default_rng(11).uniform(0.1, 1.1, (classes, states)) * (shared - types_of)[:, None]
     start = np.full(states, 1 / states)
-    moves = np.random.default_rng(12).dirichlet(np.full(states, 5.0), states)
+    moves = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)  # states begin as lasting ones
     unigram = often.select("word", ((F.col("c") + 1) / mass).alias("p"))
     frequent_rows = stored(local.select("chunk", "at", "word").join(often.select("word"), "word", "left_semi"), "frequent")
     out = pa.schema([("kind", pa.int32()), ("word", pa.int64()), *[(f"e{s}", pa.float64()) for s in range(states)]])

@@ -1,8 +1,8 @@
 """Repeated byte strings, found by sorting sampled suffixes.
 
-Suffixes are sampled by content: of every 100-byte window the suffix at its least 16-byte gram. Splitters
+Suffixes are sampled by content: of every 100-byte window the suffix at its least 32-byte gram. Splitters
 sampled from the documents range-partition the suffixes by their leading eight bytes. A bucket sorts its suffixes
-by multikey quicksort (eight bytes, the next eight, then the fingerprint of the text around them)
+by multikey quicksort (eight bytes, the gram's fingerprint, then that of the text around it)
 and compares neighbours. The splitters are values of the leading token, so no run of equal leading
 tokens is cut by a boundary between buckets; a run too long for one bucket has been shortened by
 the map tasks before (``window_repeats``), which is how it is compared across them.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from casewatch.llm.common import emit, parts, per_batch, raw
 from casewatch.llm.window_repeats import LOW, MIX, Sequences, covered, mixed, repeats, sliding_least
 
-GRAM = 16
+GRAM = 32
 SAMPLE = 2000  # documents of which the splitters are taken
 BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * MIX)
 
@@ -39,13 +39,14 @@ def byte_sequences(texts: list[bytes], width: int) -> Sequences:
     if len(data) < width:
         return Sequences(np.empty(0, np.uint64), np.empty(0, np.int64), lambda at: at, lambda at: [], bounds)
     h, size = BYTE[data], 1
-    for step in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB):
+    for step in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93,
+                 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3):
         h = h[:-size] * np.uint64(step) + (h[size:] ^ (h[size:] >> np.uint64(31)))
         size *= 2
     letters = mixed(h)
     keys = (letters & ~LOW) | np.arange(len(letters), dtype=np.uint64)
     anchor = (sliding_least(keys, width - GRAM + 1) & LOW).astype(np.int64)
-    return Sequences(letters, anchor, lambda at: at, lambda at: [leading(data, at), leading(data, at + 8)], bounds)
+    return Sequences(letters, anchor, lambda at: at, lambda at: [leading(data, at), letters[at]], bounds)
 
 
 def remove_repeats(docs: DataFrame, width: int = 100, target: int = 24 << 20) -> DataFrame:
