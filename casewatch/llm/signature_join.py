@@ -10,8 +10,8 @@
    counts the collisions of such a pair over all coordinates, and confirms what passes on the full
    shingle sets. Confirmed pairs unite classes; a list whose classes are all in one component is
    finished. So a group of n near copies costs n comparisons a round, never n squared. When the
-   pairs that are left across components are few, all of them are compared, which makes the
-   components exact.
+   pairs that are left across components are few, or a round has finished hardly any list, all of
+   them are compared, which makes the components exact.
 """
 
 from __future__ import annotations
@@ -162,7 +162,7 @@ def near_duplicates(
     signed = rows.select(F.col("doc_id").alias("node"), "signature").join(nodes, "node", "left_semi")
     described = stored(full_sets(texts, width).join(signed, "node"), "sets")
 
-    labels, links, turn = None, None, 0
+    labels, turn, before = None, 0, None
     while True:
         left = lists_ if labels is None else lists_.join(labels, "node", "left")
         left = left.withColumn("root", F.coalesce("root", "node") if labels is not None else F.col("node"))
@@ -175,7 +175,8 @@ def near_duplicates(
         if not work["rows"]:
             break
         left = left.join(by_key.select("key"), "key", "left_semi")
-        last = turn >= rounds or work["pairs"] <= 2 * work["rows"]
+        settled = before is not None and work["rows"] > 0.8 * before  # what is left does not belong together
+        last, before = turn >= rounds or settled or work["pairs"] <= 2 * work["rows"], work["rows"]
         if last:
             x, y = (left.select("key", F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in "ab")
             pairs = x.join(y, "key").where("a < b AND a_root <> b_root")
@@ -185,8 +186,9 @@ def near_duplicates(
                 F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")
             )
         found = confirmed(pairs.select("a", "b").distinct(), described, percent, least)
-        links = stored(found if links is None else links.unionByName(found), "links")
-        labels = components(links)
+        if labels is not None:  # what is known, as a forest of stars
+            found = found.unionByName(labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        labels = components(stored(found, "links"))
         turn += 1
         if last:
             break

@@ -22,6 +22,7 @@ from casewatch.llm.window_repeats import LOW, MIX, Sequences, covered, mixed, re
 
 GRAM = 32
 SAMPLE = 2000  # documents of which the splitters are taken
+HALF = np.uint64(0xFFFFFFFF00000000)  # half a fingerprint tells grams with one beginning apart
 BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * MIX)
 
 
@@ -46,7 +47,7 @@ def byte_sequences(texts: list[bytes], width: int) -> Sequences:
     letters = mixed(h)
     keys = (letters & ~LOW) | np.arange(len(letters), dtype=np.uint64)
     anchor = (sliding_least(keys, width - GRAM + 1) & LOW).astype(np.int64)
-    return Sequences(letters, anchor, lambda at: at, lambda at: [leading(data, at), letters[at]], bounds)
+    return Sequences(letters, anchor, lambda at: at, lambda at: [leading(data, at), letters[at] & HALF], bounds)
 
 
 def remove_repeats(docs: DataFrame, width: int = 100, target: int = 24 << 20) -> DataFrame:
