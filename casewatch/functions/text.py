@@ -70,14 +70,16 @@ def word_count(text: Column) -> Column:
     return F.size(F.split(text, " "))
 
 
-def review_id(drug: Column, text: Column) -> Column:
-    """First 12 hex digits of SHA-256 over the drug name and 50 characters of the text.
+def review_id(drug: Column, text: Column, chars: int | None = None, digits: int | None = None) -> Column:
+    """SHA-256 over the drug name, a separator and the whole text: only equal reviews share it.
 
-    The short prefix is part of the key's definition: two reviews of one drug that open
-    alike share an id.
+    ``chars`` hashes no more of the text than that, ``digits`` keeps no more of the hex digits;
+    reviews that open alike may then share an id.
     """
-    key = F.concat(F.coalesce(drug, F.lit("")), F.substring(F.coalesce(text, F.lit("")), 1, 50))
-    return F.substring(F.sha2(key, 256), 1, 12)
+    text = F.coalesce(text, F.lit(""))
+    text = text if chars is None else F.substring(text, 1, chars)
+    key = F.sha2(F.concat(F.coalesce(drug, F.lit("")), F.lit("\x1f"), text), 256)
+    return key if digits is None else F.substring(key, 1, digits)
 
 
 def strip_salts(name: Column, salts: Sequence[str] = SALT_WORDS) -> Column:

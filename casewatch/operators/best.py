@@ -31,7 +31,7 @@ def best_partner(
     """One result row per left row; ``key`` is unique on the left and part of ``schema``.
 
     ``schema`` has the columns ``_score`` and ``_place``: the winner is the highest score,
-    then the lowest place.
+    then the lowest ``_form`` where the schema has one, then the lowest place.
     """
     spark = left.sparkSession
     head = catalog.limit(max_broadcast_rows + 1).toPandas()
@@ -71,4 +71,5 @@ def best_partner(
         .cogroup(catalog_blocks.groupBy("_slice", "_bucket"))
         .applyInPandas(block, schema)
     )
-    return keep_first(winners, [key], [F.col("_score").desc(), F.col("_place").asc()])
+    order = [F.col("_score").desc(), *[F.col("_form").asc()] * ("_form" in names), F.col("_place").asc()]
+    return keep_first(winners, [key], order)

@@ -144,30 +144,31 @@ def fuzzy_match(
     schema = T.StructType([
         T.StructField(column, T.StringType()), T.StructField("generic_name", T.StringType()),
         T.StructField("rxcui", T.StringType()), T.StructField("_score", T.DoubleType()),
-        T.StructField("_place", T.StringType()),
+        T.StructField("_form", T.IntegerType()), T.StructField("_place", T.StringType()),
     ])
 
     def prepare(catalog: pd.DataFrame):
         catalog = catalog.sort_values("display_name", ignore_index=True)
         ratios = ratio_index(catalog["display_name"].tolist())
 
-        def best(full: str, bare: str) -> tuple[int, float]:
+        def best(full: str, bare: str) -> tuple[int, float, int]:
             scores = ratios(full)
             place = int(scores.argmax())
-            winner = (place, float(scores[place]))
+            winner = (place, float(scores[place]), 1)
             if bare and bare != full:
                 scores = ratios(bare)
                 place = int(scores.argmax())
                 if scores[place] >= winner[1]:
-                    winner = (place, float(scores[place]))
+                    winner = (place, float(scores[place]), 0)
             return winner
 
         def score(rows: pd.DataFrame) -> pd.DataFrame:
             found = [best(f, b) for f, b in zip(rows["_full"], rows["_bare"])]
-            picked = catalog.iloc[[place for place, _ in found]]
+            picked = catalog.iloc[[place for place, _, _ in found]]
             return pd.DataFrame({
                 column: rows[column].to_numpy(), "generic_name": picked["generic_name"].to_numpy(),
-                "rxcui": picked["rxcui"].to_numpy(), "_score": [s for _, s in found],
+                "rxcui": picked["rxcui"].to_numpy(), "_score": [s for _, s, _ in found],
+                "_form": [form for _, _, form in found],
                 "_place": picked["display_name"].to_numpy(),
             })
 

@@ -24,18 +24,19 @@ def nearest_term(
     """Per query text: matched term or null, mapped term (own text if none), similarity.
 
     Similarity is (1 + cosine) / 2, over every catalog entry, so the result is exact. Equal
-    entries go by term. Blank text maps to itself with score 0. Query texts are unique.
+    entries go by term. Blank text, or one without a vector, maps to itself with score 0; catalog
+    rows without a vector are no entries. Query texts are unique.
     """
-    blank = F.col(text).isNull() | (F.trim(text) == "")
+    blank = F.col(text).isNull() | (F.trim(text) == "") | F.col(embedding).isNull()
     spoken = queries.where(~blank).select(text, F.col(embedding).cast("array<double>").alias("_vec"))
     entries = catalog.select(
         F.col(term).alias("_term"), F.col(embedding).cast("array<double>").alias("_vec")
-    )
+    ).where("_vec IS NOT NULL")
     text_type = queries.schema[text].dataType
     term_type = catalog.schema[term].dataType
-    width = entries.select(F.size("_vec").alias("n")).first()
-    if width is not None:
-        max_catalog_rows = min(max_catalog_rows, MAX_BROADCAST_BYTES // (8 * max(1, width["n"])))
+    widest = entries.agg(F.max(F.size("_vec")).alias("n")).first()["n"]
+    if widest is not None:
+        max_catalog_rows = min(max_catalog_rows, MAX_BROADCAST_BYTES // (8 * max(1, widest)))
     schema = T.StructType([
         T.StructField(text, text_type), T.StructField("_score", T.DoubleType()),
         T.StructField("_place", term_type),

@@ -10,8 +10,6 @@ from casewatch.functions.scoring import disproportionality
 
 # A case with more terms than this on one side is cut into tiles of this size.
 TILE_TERMS = 500
-# At most this many cases are cut, which bounds the broadcast list of them.
-MAX_TILED_CASES = 100_000
 
 
 def case_terms(df: DataFrame, term: str, case: str = "caseid") -> DataFrame:
@@ -25,11 +23,10 @@ def term_counts(terms: DataFrame, term: str, out: str) -> DataFrame:
 
 
 def _large_cases(drugs: DataFrame, reactions: DataFrame, case: str, size: int) -> DataFrame:
-    """The largest cases above ``size`` terms on a side, and the tiles per side they are cut into.
+    """All cases above ``size`` terms on a side, and the tiles per side they are cut into.
 
-    Cases go by a hash, which is small to shuffle and to broadcast. Neither two cases of one
-    hash nor the limit can change the pairs: both sides are cut by the same list, which only
-    decides how the work is split.
+    Cases go by a hash, which is small to shuffle. Two cases of one hash cannot change the
+    pairs: both sides are cut by the same list, which only decides how the work is split.
     """
     key = F.xxhash64(case).alias("_case")
     sides = drugs.select(key, F.lit(1).alias("_d"), F.lit(0).alias("_r")).unionAll(
@@ -41,7 +38,7 @@ def _large_cases(drugs: DataFrame, reactions: DataFrame, case: str, size: int) -
     def tiles(n: str) -> Column:
         return F.greatest(F.ceil(F.col(n) / size), F.lit(1))
 
-    return counts.where(most > size).orderBy(most.desc()).limit(MAX_TILED_CASES).select(
+    return counts.where(most > size).select(
         "_case", tiles("_nd").alias("_d_tiles"), tiles("_nr").alias("_r_tiles")
     )
 
@@ -59,7 +56,7 @@ def co_occurrence(
     """
     if tile_terms is None:
         return drugs.join(reactions, case).select(drug, reaction)
-    large = F.broadcast(_large_cases(drugs, reactions, case, tile_terms))
+    large = _large_cases(drugs, reactions, case, tile_terms)  # joined by its measured size
     d_tiles, r_tiles = F.col("_d_tiles"), F.col("_r_tiles")
 
     def tiled(terms: DataFrame, term: str, numbers: Column) -> DataFrame:

@@ -53,12 +53,11 @@ def signal_flow(
 
 def review_flow(
     spark: SparkSession, folder: str, out: str, terms: Sequence[tuple[str, str]],
-    n_tagged: int | None = 500, n_labels: int = 50, **build_args,
+    n_tagged: int | None = None, n_labels: int = 50, **build_args,
 ) -> dict[str, DataFrame]:
     """Review files to the stored tables reviews and mentions, and a labelling sheet as CSV.
 
-    Mentions are looked for in the first ``n_tagged`` event-mentioning reviews by id, or in
-    all of them for None.
+    Mentions are looked for in all event-mentioning reviews, or in the first ``n_tagged`` by id.
     """
     out = out.rstrip("/")
     built = reviews.build_reviews(readers.read_reviews(spark, folder), **build_args)
@@ -112,7 +111,7 @@ def term_map(
 def triage_flow(
     spark: SparkSession, review_table: DataFrame, out: str, score: Score, signals: DataFrame,
     terms: Callable[[DataFrame], DataFrame], vocabulary: names.Vocabulary = K.DRUG_KEYWORDS,
-    limit: int | None = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     """One batch: reviews without a result are scored, triaged and added to the stored results.
 

@@ -63,9 +63,9 @@ def build_reviews(
 
 
 def unprocessed(
-    reviews: DataFrame, results: DataFrame, limit: int | None = 100, only: DataFrame | None = None
+    reviews: DataFrame, results: DataFrame, limit: int | None = None, only: DataFrame | None = None
 ) -> DataFrame:
-    """Event-mentioning reviews without a result, by id; ``only`` narrows to listed ids."""
+    """Event-mentioning reviews without a result; ``only`` narrows to listed ids, ``limit`` takes the first by id."""
     todo = reviews.where("has_ae_mention").join(results.select("review_id"), "review_id", "left_anti")
     if only is not None:
         todo = todo.join(only.select("review_id"), "review_id", "left_semi")

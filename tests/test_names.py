@@ -185,3 +185,13 @@ def test_write_back_and_reports(spark, tmp_path):
     sample = names.mapping_samples(mapping, matched=1, unmatched=10).collect()
     assert {(r.kind, r.drugname_raw, r.n_more) for r in sample} == {("matched", "Advil", 1), ("unmatched", "penicillin", 0)}
     assert [r[0] for r in names.distinct_terms(drugs, "drugname_raw").collect()] == ["Advil", "lipitor 10", "penicillin"]
+
+
+@pytest.mark.parametrize("limits", [{}, *({"max_lookup_rows": 1, "block_rows": n} for n in (1, 2, 3))])
+def test_stripped_form_wins_ties_whatever_the_blocks(spark, limits):
+    lookup = spark.createDataFrame(
+        [("ABCDF", "1", "z-drug"), ("ABCDE SODI111", "2", "a-drug"), ("QQQ0", "3", "q"), ("QQQ1", "4", "q")],
+        "display_name string, rxcui string, generic_name string",
+    )
+    found = names.fuzzy_match(spark.createDataFrame([("ABCDE SODIUM",)], "drugname_raw string"), lookup, **limits)
+    assert [(r.drugname_norm, r.match_score) for r in found.collect()] == [("z-drug", 80.0)]

@@ -309,10 +309,10 @@ oracle("word_filter", f"""
       SELECT doc_id, {unquoted_sql('t')} AS t FROM (SELECT doc_id, {cleaned_sql('text')} AS t FROM documents))
     WHERE t <> '' AND {WORDS} > 20""")
 oracle("ae_flag", f"SELECT doc_id, {any_of('lower(text)', STEMS)} AS has_ae_mention FROM documents")
-oracle("review_id", "SELECT doc_id, substr(sha256(source || substr(text, 1, 50)), 1, 12) AS review_id FROM documents")
+oracle("review_id", "SELECT doc_id, sha256(source || chr(31) || text) AS review_id FROM documents")
 REVIEWS = f"""named AS (SELECT *, CASE {" ".join(f"WHEN contains(lower(drugname), '{s}') THEN '{s}'" for s in SOURCES)} END AS drug_norm FROM reviews_raw),
     cleaned AS (SELECT * EXCLUDE t, {unquoted_sql('t')} AS t FROM (SELECT *, {cleaned_sql('review')} AS t FROM named WHERE drug_norm IS NOT NULL)),
-    rows_ AS (SELECT substr(sha256(drugname || substr(t, 1, 50)), 1, 12) AS review_id, drugname AS drug_name, drug_norm,
+    rows_ AS (SELECT sha256(drugname || chr(31) || t) AS review_id, drugname AS drug_name, drug_norm,
                      condition, t AS review_text, TRY_CAST(TRY_CAST(rating AS DOUBLE) AS INT) AS rating, {WORDS}::INT AS word_count,
                      source, {any_of('lower(t)', STEMS)} AS has_ae_mention
               FROM cleaned WHERE t <> '' AND {WORDS} > 20),
@@ -344,8 +344,7 @@ oracle("mentions", f"""WITH {MENTIONS}
 oracle("mention_coverage", f"""WITH {MENTIONS}
     SELECT entity_label, count(*) AS total_entities, count(DISTINCT review_id) AS reviews_covered FROM found GROUP BY ALL""", "reviews")
 oracle("unprocessed", """
-    SELECT review_id, drug_norm FROM reviews WHERE has_ae_mention AND review_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)
-    ORDER BY review_id LIMIT 100""", "reviews")
+    SELECT review_id, drug_norm FROM reviews WHERE has_ae_mention AND review_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)""", "reviews")
 oracle("score_texts", """
     SELECT doc_id, length(text) || ':' || CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS VARCHAR) AS raw_output
     FROM documents""")
