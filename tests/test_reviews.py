@@ -75,7 +75,7 @@ def test_build_reviews(spark):
     assert advil.review_text == SENTENCE + "headache"
     assert got["aspirin / ibuprofen"].drug_norm == "ibuprofen" and got["aspirin / ibuprofen"].rating is None
     slim = raw_reviews(spark).select(F.col("drugname").alias("drug_name"), F.col("review").alias("reviewtext"), "source")
-    assert reviews.build_reviews(slim).where("rating is null and condition is null").count() == 3
+    assert reviews.build_reviews(slim).where("rating is null and condition is null").count() == 4
     with pytest.raises(ValueError):
         reviews.build_reviews(slim.drop("reviewtext"))
     alike = [r for r in reviews.build_reviews(raw_reviews(spark)).collect() if r.drug_name == "Aspirin"]
