@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewatch.llm.common import row_key
+from casewatch.llm.common import row_key, stored
 
 LIMIT = 20  # distinct documents of a host that may share a line
 LEAST_LEFT = 0.5  # share of a document's words that must be left
@@ -100,9 +100,14 @@ def rules(
 
 
 def kept_documents(docs: DataFrame, host: str = "source", **args) -> DataFrame:
-    """The documents that pass, with their own columns."""
+    """The documents that pass, with their own columns.
+
+    The verdicts are written before they are filtered: a filter on ``kept`` would otherwise be pushed
+    into the base measures and compute their arrays anew for every element.
+    """
     use = docs.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__host", F.col(host))
-    verdict = rules(docs, host, **args).where("kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    verdict = stored(rules(docs, host, **args).select("k1", "k2", "kept"), "verdicts")
+    verdict = verdict.where("kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
     keys = use.withColumn("__a", row_key("doc_id", "__host", "__text")).withColumn("__b", F.hash("doc_id", "__text", "__host"))
     return keys.join(verdict, (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")), "left_semi").select(*docs.columns)
 
