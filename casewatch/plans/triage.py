@@ -77,7 +77,8 @@ def route_attempts(
 ) -> DataFrame:
     """One row per report: route (map_terms, flag_human, extract), deciding attempt, trace.
 
-    Attempts beyond the allowed number do not count and one row per attempt number is kept,
+    An attempt counts only once all earlier numbers are there, so the decision does not depend on
+    the order of arrival; a report that lacks its first attempt waits with null fields. Attempts beyond the allowed number do not count and one row per attempt number is kept,
     so a report never gathers more than ``max_attempts`` rows.
     """
     allowed = scored.where(F.col("attempt").between(1, max_attempts))
@@ -89,10 +90,10 @@ def route_attempts(
     one_each = keep_first(allowed.select(id_col, *fields), [id_col, "attempt"])
     tries = one_each.groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("_tries")
-    )
+    ).withColumn("_tries", F.filter("_tries", lambda t, i: t["attempt"] == i + 1))
     passed = F.filter("_tries", lambda t: t["confidence"] >= min_confidence)
     decided = tries.withColumn("_passed", F.get(passed, F.lit(0)))
-    final = F.coalesce("_passed", F.element_at("_tries", -1))
+    final = F.coalesce("_passed", F.get("_tries", F.size("_tries") - 1))
     decided = decided.withColumn("_final", final)
     used = F.filter("_tries", lambda t: t["attempt"] <= F.col("_final.attempt"))
     route = (

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from casewatch import constants as K
 from casewatch.operators.dedupe import keep_first
 from casewatch.sources.readers import union_all
 from casewatch.sources.sinks import append_version, current_rows, read_if_present
@@ -13,35 +14,32 @@ from casewatch.sources.sinks import append_version, current_rows, read_if_presen
 
 def stream_triage(
     spark: SparkSession, source: str, out: str, triage_batch: Callable[[DataFrame], DataFrame],
-    key: str = "report_id", files_per_batch: int | None = None,
+    key: str = "report_id", files_per_batch: int | None = None, max_attempts: int = K.MAX_ATTEMPTS,
 ) -> None:
     """Triage what has arrived in ``source`` since the last run, then stop.
 
-    Below ``out``: ``results`` and ``waiting`` with one version per micro-batch, and the
-    stream's ``checkpoint``. Reports that have a result are skipped, so a repeated delivery
-    counts once. Attempts of reports not decided yet wait, and join the next batch. A batch
-    that is run again after a failure replaces its own versions; none rewrites older ones.
+    Below ``out``: ``results`` and ``pending`` (the attempts at hand) with one version per
+    micro-batch, and the stream's ``checkpoint``. Reports that have a result are skipped, so a
+    repeated delivery counts once. Attempts of reports not decided yet wait, and join the next
+    batch; attempts beyond the allowed number are dropped on entry. A batch that is run again
+    after a failure replaces its own versions; none rewrites older ones.
     """
-    results, waiting = f"{out.rstrip('/')}/results", f"{out.rstrip('/')}/waiting"
+    results, pending = f"{out.rstrip('/')}/results", f"{out.rstrip('/')}/pending"
     reader = spark.readStream.schema(spark.read.parquet(source).schema)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def run(batch: DataFrame, version: int) -> None:
-        left_over = read_if_present(spark, f"{waiting}/version={version - 1}")
+        batch = batch.where(batch["attempt"].between(1, max_attempts))
+        left_over = read_if_present(spark, f"{pending}/version={version - 1}")
         if left_over is not None:
             batch = union_all([left_over, batch])
         done = read_if_present(spark, results)
         if done is not None:
             earlier = done.where(done["version"] < version).select(done["review_id"].alias(key))
             batch = batch.join(earlier, key, "left_anti")
-        batch = keep_first(batch, [key, "attempt"])
-        append_version(triage_batch(batch), results, version)
-        decided = spark.read.parquet(f"{results}/version={version}")
-        append_version(
-            batch.join(decided.select(decided["review_id"].alias(key)), key, "left_anti"),
-            waiting, version,
-        )
+        append_version(keep_first(batch, [key, "attempt"]), pending, version)
+        append_version(triage_batch(spark.read.parquet(f"{pending}/version={version}")), results, version)
 
     (
         reader.parquet(source).writeStream.foreachBatch(run)
