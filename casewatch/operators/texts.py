@@ -75,16 +75,29 @@ def score_texts(
 
     Texts are grouped by SHA-256, scored in Arrow batches and joined back on the hash. A
     text that very many rows share is combined before the shuffle, and its rows are split
-    by the skew-join rule on the way back.
+    by the skew-join rule on the way back. If ``score`` fails on a batch its texts are scored one by
+    one, and a text that fails alone has null output.
     """
     hashed = df.withColumn("_hash", spread_nulls(F.sha2(F.col(text_col), 256), *df.columns))
     unique = hashed.where(F.col(text_col).isNotNull()).groupBy("_hash").agg(
         F.first(text_col).alias("_text")
     )
 
+    def alone(text: str) -> str | None:
+        try:
+            return score([text])[0]
+        except Exception:  # the user's function: one text must not end the job
+            return None
+
+    def outputs(some: list[str]) -> list[str | None]:
+        try:
+            return score(some)
+        except Exception:
+            return [alone(text) for text in some]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"_hash": batch["_hash"], out: score(batch["_text"].tolist())})
+            yield pd.DataFrame({"_hash": batch["_hash"], out: outputs(batch["_text"].tolist())}, dtype=object)
 
     scored = unique.mapInPandas(run, f"_hash string, {out} string")
     return hashed.join(scored, "_hash", "left").drop("_hash")

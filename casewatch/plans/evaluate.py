@@ -38,6 +38,14 @@ def scored_rows(
     )
 
 
+def labelled(reviews: DataFrame, labels: DataFrame, results: DataFrame) -> DataFrame:
+    """The reviews that ``scored_rows`` will rate: only these need a baseline tagger."""
+    named = labels.where(F.col("drugs_gt").isNotNull() & (F.col("drugs_gt") != ""))
+    for ids in (named, results):
+        reviews = reviews.join(ids.select("review_id"), "review_id", "left_semi")
+    return reviews
+
+
 def evaluation(scored: DataFrame) -> DataFrame:
     """Macro averages over the scored rows as one row."""
     reactions, mapped = F.sum("n_reactions"), F.sum("n_mapped")

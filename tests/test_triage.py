@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from casewatch.functions.parsing import parse_outputs
 from casewatch.functions.scoring import set_f1
-from casewatch.operators import lookup
+from casewatch.operators import lookup, texts
 from casewatch.plans import evaluate, flows, reports, triage
 
 GOOD = '{"drugs": ["ibuprofen"], "reactions": ["gastrointestinal bleeding", "stomach cramps"], "severity": "serious"}'
@@ -213,3 +213,34 @@ def test_attempts_are_scored_only_while_they_fall_short(spark, tmp_path):
     assert first.first().meddra_pts == ["Bleed", "Cramp"] and first.first().signal_flag == "low"
     second = flows.triage_flow(spark, reviews, str(tmp_path / "t"), score, signals, terms, limit=4)
     assert {r.review_id for r in second.collect()} == {"r4", "r5"}
+
+
+def test_attempts_wait_for_earlier_ones(spark):
+    late = GOOD.replace("ibuprofen", "aspirin")
+    kind = "report_id string, attempt int, raw string"
+    both = spark.createDataFrame([("a", 2, late), ("a", 1, GOOD)], kind)
+    second = spark.createDataFrame([("a", 2, late), ("b", 1, "junk"), ("b", 3, late)], kind)
+    got = triage.route_attempts(triage.score_outputs(both)).first()
+    assert (got.route, got.attempt, got.drugs) == ("map_terms", 1, ["ibuprofen"])
+    waiting = {r.report_id: r for r in triage.route_attempts(triage.score_outputs(second)).collect()}
+    assert (waiting["a"].route, waiting["a"].attempt, waiting["a"].agent_trace) == ("extract", None, [])
+    assert (waiting["b"].route, waiting["b"].attempt) == ("extract", 1)
+
+
+def test_a_failing_text_has_null_output(spark):
+    df = spark.createDataFrame([("1", "good"), ("2", "bad"), ("3", None)], "review_id string, review_text string")
+
+    def score(batch):
+        if "bad" in batch:
+            raise ValueError("model call failed")
+        return [t.upper() for t in batch]
+
+    got = texts.score_texts(df, score)
+    assert rows(got.select("review_id", "raw_output")) == [("1", "GOOD"), ("2", None), ("3", None)]
+
+
+def test_only_labelled_reviews_are_tagged(spark):
+    reviews = spark.createDataFrame([("1", "x"), ("2", "y"), ("3", "z")], "review_id string, review_text string")
+    labels = spark.createDataFrame([("1", "a"), ("2", ""), ("3", "b")], "review_id string, drugs_gt string")
+    results = spark.createDataFrame([("1",), ("2",)], "review_id string")
+    assert rows(evaluate.labelled(reviews, labels, results)) == [("1", "x")]

@@ -491,10 +491,9 @@ def latency_stats(spark, d):
 # --- evaluation --------------------------------------------------------------------------
 
 def _evaluated(spark, d):
-    found = texts.mentions(view(spark, d, "reviews"), TERMS)
-    return evaluate.scored_rows(
-        view(spark, d, "label_rows"), _results(spark, d), evaluate.baseline_drugs(found)
-    )
+    labels, results = view(spark, d, "label_rows"), _results(spark, d)
+    found = texts.mentions(evaluate.labelled(view(spark, d, "reviews"), labels, results), TERMS)
+    return evaluate.scored_rows(labels, results, evaluate.baseline_drugs(found))
 
 
 @query
