@@ -30,6 +30,7 @@ from casewatch.llm.components import components
 COORDINATES = 32
 MISSED = 1e-7
 ROUNDS = 6
+FEW = 8  # pairs for each row of a posting list that are compared without another round
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,18 +125,22 @@ def postings(classes: DataFrame, least: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, described: DataFrame, percent: int, least: int) -> DataFrame:
-    """The pairs (a, b) whose signatures collide often enough and whose full sets are similar enough."""
-    side = lambda x: described.select(
-        F.col("node").alias(x), F.col("signature").alias(f"{x}_signature"), F.col("shingles").alias(f"{x}_set"))
-    n = F.size("a_set"), F.size("b_set")
+    """The pairs (a, b) whose signatures collide often enough and whose full sets are similar enough.
+
+    Signatures and set sizes are met first, so full sets travel only with the pairs that pass these.
+    """
+    side = lambda x, *names: described.select(F.col("node").alias(x), *[F.col(n).alias(f"{x}_{n}") for n in names])
+    n = F.col("a_n_shingles"), F.col("b_n_shingles")
     hits = F.aggregate(
         F.arrays_zip("a_signature", "b_signature"), F.lit(0),
         lambda s, p: s + (p["a_signature"] == p["b_signature"]).cast("int"),
     )
-    both = F.size(F.array_intersect("a_set", "b_set"))
+    light = pairs.join(side("a", "n_shingles", "signature"), "a").join(side("b", "n_shingles", "signature"), "b")
+    light = light.where((100 * F.least(*n) >= percent * F.greatest(*n)) & (hits >= least)).select("a", "b")
+    n = F.size("a_shingles"), F.size("b_shingles")
+    both = F.size(F.array_intersect("a_shingles", "b_shingles"))
     return (
-        pairs.join(side("a"), "a").join(side("b"), "b")
-        .where((100 * F.least(*n) >= percent * F.greatest(*n)) & (hits >= least))
+        light.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
         .where(100 * both >= percent * (n[0] + n[1] - both)).select("a", "b")
     )
 
@@ -159,7 +164,7 @@ def near_duplicates(
     lists_ = stored(postings(classes.select("node", "signature"), least), "postings")
     nodes = lists_.select("node").distinct()
     texts = docs.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi")
-    signed = rows.select(F.col("doc_id").alias("node"), "signature").join(nodes, "node", "left_semi")
+    signed = rows.select(F.col("doc_id").alias("node"), "n_shingles", "signature").join(nodes, "node", "left_semi")
     described = stored(full_sets(texts, width).join(signed, "node"), "sets")
 
     labels, turn, before = None, 0, None
@@ -176,7 +181,7 @@ def near_duplicates(
             break
         left = left.join(by_key.select("key"), "key", "left_semi")
         settled = before is not None and work["rows"] > 0.8 * before  # what is left does not belong together
-        last, before = turn >= rounds or settled or work["pairs"] <= 2 * work["rows"], work["rows"]
+        last, before = turn >= rounds or settled or work["pairs"] <= FEW * work["rows"], work["rows"]
         if last:
             x, y = (left.select("key", F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in "ab")
             pairs = x.join(y, "key").where("a < b AND a_root <> b_root")
