@@ -1,3 +1,6 @@
+from fractions import Fraction
+from math import comb
+
 import random
 
 import brute
@@ -62,4 +65,8 @@ def test_components_of_paths_and_stars(spark):
 
 
 def test_threshold_leaves_a_wide_margin():
-    assert sj.threshold(0.85) == 15 and sj.threshold(0.8) == 13 and sj.threshold(1.0) == 32
+    assert sj.threshold(0.85) == 15 and sj.threshold(0.8) == 12 and sj.threshold(1.0) == 32
+    for similarity in (Fraction(85, 100), Fraction(8, 10)):  # by the exact binomial tail
+        k = sj.threshold(float(similarity))
+        fewer = [sum(comb(32, i) * similarity**i * (1 - similarity) ** (32 - i) for i in range(n)) for n in (k, k + 1)]
+        assert fewer[0] <= sj.MISSED < fewer[1]
