@@ -1,6 +1,5 @@
 from fractions import Fraction
 from math import comb
-
 import random
 
 import brute
