@@ -7,10 +7,11 @@
    class's lists, ordered by length, the ``least - 1`` longest are skipped, and lists of one class
    alone need no merging.
 3. Lists are merged in rounds. A round joins every class of a list with one pivot of that list,
+   counts the lists in which the two meet, takes for each class the pivots it meets most often,
    counts the collisions of such a pair over all coordinates, and confirms what passes on the full
    shingle sets. Confirmed pairs unite classes; a list whose classes are all in one component is
    finished. So a group of n near copies costs n comparisons a round, never n squared. When the
-   pairs that are left across components are few, or a round has finished hardly any list, all of
+   pairs that are left across components are few, or a round has hardly made them fewer, all of
    them are compared, which makes the components exact.
 """
 
@@ -29,7 +30,8 @@ from casewatch.llm.components import components
 
 COORDINATES = 32
 MISSED = 1e-7
-ROUNDS = 6
+ROUNDS = 24  # each but the last has left a fifth fewer pairs open
+TRIED = 4  # pivots a class is compared with in a round; the others' turn comes in later rounds
 FEW = 8  # pairs for each row of a posting list that are compared without another round
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,13 +117,16 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def postings(classes: DataFrame, least: int) -> DataFrame:
-    """key, node: the lists to merge. Of a class's shared coordinates the ``least - 1`` most frequent are skipped."""
+    """key, node, weight: the lists to merge. Of a class's shared coordinates the ``least - 1`` most frequent are skipped.
+
+    ``weight`` sums the lengths of all lists a class is in: the text that others are copies of weighs most.
+    """
     rows = classes.select("node", F.explode("signature").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     ranked = rows.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
-    return ranked.select("node", F.explode(F.slice("keys", 1, F.greatest(F.size("keys") - least + 1, F.lit(0)))).alias("k")).select(
-        F.col("k.key").alias("key"), "node"
-    )
+    weight = F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: s + k["n"]).alias("weight")
+    few = F.slice("keys", 1, F.greatest(F.size("keys") - least + 1, F.lit(0)))
+    return ranked.select("node", weight, F.explode(few).alias("k")).select(F.col("k.key").alias("key"), "node", "weight")
 
 
 def confirmed(pairs: DataFrame, described: DataFrame, percent: int, least: int) -> DataFrame:
@@ -168,9 +173,11 @@ def near_duplicates(
     described = stored(full_sets(texts, width).join(signed, "node"), "sets")
 
     labels, turn, before = None, 0, None
+    left = lists_.withColumn("root", F.col("node"))
     while True:
-        left = lists_ if labels is None else lists_.join(labels, "node", "left")
-        left = left.withColumn("root", F.coalesce("root", "node") if labels is not None else F.col("node"))
+        if labels is not None:  # only lists that were open before, each round written once
+            known = left.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            left = stored(known.select("key", "node", "weight", "root"), "left")
         by_root = left.groupBy("key", "root").agg(F.count("*").alias("n"))
         by_key = by_root.groupBy("key").agg(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("roots")
@@ -180,17 +187,21 @@ def near_duplicates(
         if not work["rows"]:
             break
         left = left.join(by_key.select("key"), "key", "left_semi")
-        settled = before is not None and work["rows"] > 0.8 * before  # what is left does not belong together
-        last, before = turn >= rounds or settled or work["pairs"] <= FEW * work["rows"], work["rows"]
+        settled = before is not None and work["pairs"] > 0.8 * before  # what is left does not belong together
+        last, before = turn >= rounds or settled or work["pairs"] <= FEW * work["rows"], work["pairs"]
         if last:
             x, y = (left.select("key", F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in "ab")
-            pairs = x.join(y, "key").where("a < b AND a_root <> b_root")
+            pairs = x.join(y, "key").where("a < b AND a_root <> b_root").select("a", "b")
         else:
-            pivot = left.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("p"))
-            pairs = left.join(pivot, "key").where("root <> p.root").select(
-                F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")
+            order = F.struct(F.col("weight") * (turn % 2 - 1), F.xxhash64("node", F.lit(turn)))  # the heaviest and any in turn
+            pivot = left.groupBy("key").agg(F.min_by(F.struct("node", "root"), order).alias("p"))
+            met = left.join(pivot, "key").where("root <> p.root").groupBy("node", F.col("p.node").alias("other"))
+            best = F.reverse(F.sort_array(F.collect_list(F.struct("n", "other"))))  # as many as a class has lists, at most
+            best = met.agg(F.count("*").alias("n")).groupBy("node").agg(F.slice(best, 1, TRIED).alias("best"))
+            pairs = best.select("node", F.explode("best.other").alias("other")).select(
+                F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
             )
-        found = confirmed(pairs.select("a", "b").distinct(), described, percent, least)
+        found = confirmed(pairs.distinct(), described, percent, least)
         if labels is not None:  # what is known, as a forest of stars
             found = found.unionByName(labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
         labels = components(stored(found, "links"))
