@@ -30,6 +30,15 @@ def test_shared_lines_are_removed_and_depleted_documents_rejected(spark):
     assert all(got[i].kept for i in (100, 101, 102, 200, 201, *range(300, 340)))
 
 
+def test_every_line_of_a_shared_template_is_found(spark):
+    line = lambda c, i: f"{c}{i} {c}{i + 1} {c}{i + 2}"
+    for n, shared, own in ((30, 10, 3), (40, 5, 5), (60, 30, 1)):
+        rows = [(d, "\n".join([line("s", i) for i in range(shared)] + [line(f"d{d}x", i) for i in range(own)]), "h") for d in range(n)]
+        rows += [(n + d, rows[0][1], "other") for d in range(n)]  # copies are one document
+        got = run(spark, rows)
+        assert all(got[d].n_removed_words == (3 * shared if d < n else 0) for d in got)
+
+
 def test_rows_and_columns_survive(spark):
     rows = [(1, PROSE, "a"), (1, PROSE, "a"), (None, PROSE, None), (3, "short", "a")]
     docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, source string, k1 int")
