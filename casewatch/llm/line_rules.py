@@ -26,6 +26,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, BLANKS + "\n", " " * 5), " "), "")
 
 
+def line_words(line: Column) -> Column:
+    """The words of a line, A-Z lower-cased."""
+    return F.array_remove(F.split(F.translate(line, UPPER + BLANKS, LOWER + " " * 4), " "), "")
+
+
+def line_hash(words: Column) -> Column:
+    return F.xxhash64(F.md5(F.array_join(words, " ").cast("binary")))
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """The columns ``w`` (words) and ``lines`` (split lines with a word) become the base measures."""
     third = F.transform(
@@ -50,7 +59,8 @@ def measured(docs: DataFrame) -> DataFrame:
 def rules(
     docs: DataFrame, host: str = "source", limit: int = LIMIT, least_left: float = LEAST_LEFT
 ) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words.
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words,
+    common (hashes of the lines above the limit that the document holds), k1, k2 (key of the row).
 
     A null text has no words and fails; a null host is a host of its own. Rows that repeat id, host and
     text are one document and share a verdict. Other columns are ignored; an empty table gives no rows.
@@ -68,16 +78,14 @@ def rules(
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
     )
 
-    own = F.split(F.translate("text", UPPER + BLANKS, LOWER + " " * 4), "\n")
-    lines = docs.select("host", "k1", "k2", F.transform(own, lambda x: F.array_remove(F.split(x, " "), "")).alias("all"))
+    lines = docs.select("host", "k1", "k2", F.transform(F.split("text", "\n"), line_words).alias("all"))
     lines = lines.select("host", "k1", "k2", F.transform(
-        F.filter("all", lambda x: F.size(x) > 0),
-        lambda x: F.struct(F.md5(F.array_join(x, " ").cast("binary")).alias("line"), F.size(x).alias("n")),
+        F.filter("all", lambda x: F.size(x) > 0), lambda x: F.struct(line_hash(x).alias("line"), F.size(x).alias("n")),
     ).alias("all"))
     lines = lines.withColumn("text_id", F.xxhash64("all.line")).select("host", "k1", "k2", "text_id", F.explode("all").alias("l"))
     lines = lines.select(
         F.coalesce(F.xxhash64(F.col("host").isNull(), "host")).alias("host"), "k1", "k2",
-        F.xxhash64("l.line").alias("line"), "text_id", F.col("l.n").alias("n"),
+        F.col("l.line").alias("line"), "text_id", F.col("l.n").alias("n"),
     )
     common = lines.groupBy("host", "line", "text_id").agg(F.lit(1)).groupBy("host", "line").agg(
         F.count("*").alias("documents")
@@ -86,32 +94,39 @@ def rules(
     # a line that a document repeats is removed each time; the same row given twice is one document
     rows = base.groupBy("k1", "k2").agg(F.count("*").alias("rows")).where("rows > 1")
     removed = same.join(common, ["host", "line"]).join(rows, ["k1", "k2"], "left").groupBy("k1", "k2").agg(
-        F.sum(F.col("n") * F.col("times") / F.coalesce("rows", F.lit(1))).cast("long").alias("n_removed_words")
+        F.sum(F.col("n") * F.col("times") / F.coalesce("rows", F.lit(1))).cast("long").alias("n_removed_words"),
+        F.collect_set("line").alias("common"),
     )
     n_removed = F.coalesce("n_removed_words", F.lit(0)).cast("long")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return base.join(removed, ["k1", "k2"], "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & (F.col("n_words") - n_removed >= least_left * F.col("n_words"))).alias("kept"),
-        n_removed.alias("n_removed_words"), "k1", "k2",
+        n_removed.alias("n_removed_words"), "common", "k1", "k2",
     )
 
 
 def kept_documents(docs: DataFrame, host: str = "source", **args) -> DataFrame:
-    """The documents that pass, with their own columns.
+    """The documents that pass, without the lines above the limit; their own columns, ``n_chars`` brought up to date.
 
-    The verdicts are written before they are filtered: a filter on ``kept`` would otherwise be pushed
-    into the base measures and compute their arrays anew for every element.
+    A line goes with its line break; blank lines stay. The verdicts are written before they are
+    filtered: a filter on ``kept`` would otherwise be pushed into the base measures and compute their
+    arrays anew for every element.
     """
     use = docs.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__host", F.col(host))
-    verdict = stored(rules(docs, host, **args).select("k1", "k2", "kept"), "verdicts")
-    verdict = verdict.where("kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
-    keys = use.withColumn("__a", row_key("doc_id", "__host", "__text")).withColumn("__b", F.hash("doc_id", "__text", "__host"))
-    return keys.join(verdict, (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")), "left_semi").select(*docs.columns)
+    verdict = stored(rules(docs, host, **args).select("k1", "k2", "kept", "common"), "verdicts")
+    verdict = verdict.where("kept").groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.first("common").alias("__common"))
+    keys = use.withColumn("__k1", row_key("doc_id", "__host", "__text")).withColumn("__k2", F.hash("doc_id", "__text", "__host"))
+    stays = lambda x: ~F.array_contains("__common", line_hash(line_words(x)))
+    left = F.array_join(F.filter(F.split("text", "\n"), stays), "\n")
+    out = keys.join(verdict, ["__k1", "__k2"]).withColumn("__new", F.when(F.col("__common").isNotNull(), left).otherwise(F.col("text")))
+    size = {"n_chars": F.when(F.col("__common").isNotNull(), F.length("__new").cast("long")).otherwise(F.col("n_chars"))}
+    out = out.withColumns(size) if "n_chars" in docs.columns else out
+    return out.withColumn("text", F.col("__new")).select(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return rules(docs).drop("k1", "k2")
+    return rules(docs).drop("common", "k1", "k2")
 
 
 def oracle(table: str = "documents", host: str = "source", limit: int = LIMIT, least_left: float = LEAST_LEFT) -> str:

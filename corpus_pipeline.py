@@ -11,7 +11,7 @@ from casewatch.session import tune
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, without the lines that many documents of a source share."""
     return line_rules.kept_documents(docs)
 
 

@@ -47,6 +47,17 @@ def test_rows_and_columns_survive(spark):
     assert line_rules.rules(docs).count() == 4 and line_rules.rules(docs.limit(0)).count() == 0
 
 
+def test_common_lines_leave_the_text(spark):
+    own = [f"{PROSE.replace('w', f'd{i}x')}\n\n last  line {i} " for i in range(30)]
+    rows = [(i, f"Read   our\tNOTICE\n{t}\nread our notice\nbye now", "h", 9) for i, t in enumerate(own)]
+    rows += [rows[0], (50, f"read our notice\n{own[0]}", "other", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    kept = line_rules.kept_documents(docs)
+    got = sorted((r.doc_id, r.text, r.n_chars) for r in kept.collect())
+    assert kept.columns == docs.columns
+    assert got == sorted([(i, t, len(t)) for i, t in enumerate(own)] + [(0, own[0], len(own[0])), (50, rows[-1][1], 9)])
+
+
 def test_sql_over_repeated_words(spark):
     rows = [(i, " ".join(f"w{(i * j * j) % 11}" for j in range(i)), f"s{i % 3}") for i in range(80)]
     con = duckdb.connect()
