@@ -1,7 +1,7 @@
 """Personal data by fixed formats and by bootstrapped contexts.
 
-Emails, addresses, card and phone numbers are found by their formats. These entities are the seeds:
-the two words before a seed form a lexical pattern. Patterns and the identifier-like words that they
+Emails, addresses, card and phone numbers are found by their formats. These entities are the seeds,
+each whole, with its blanks: the two words before a seed form a lexical pattern. Patterns and the identifier-like words that they
 precede make a graph of distinct pairs. Rounds score it: a pattern is trusted by the share of its
 instances that are known, and an instance becomes known once the trust of its patterns, combined as
 independent evidence, is high enough. Identifier-like words in trusted contexts that no format
@@ -72,7 +72,7 @@ def placed(found: str, between: str) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` (with text) and ``base``: array of (kind, start, end) of valid matches, by kind and start."""
+    """``docs`` (with text) and ``base``: array of (kind, start, end, m) of valid matches, by kind and start."""
     none = F.array().cast("array<string>")
     for kind in KINDS:
         found, between = matches("text", FORMATS[kind])
@@ -82,7 +82,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     def spans(kind: str) -> Column:
         valid = F.filter(placed(f"m_{kind}", f"p_{kind}"), lambda x: _valid(kind, x["m"]))
         return F.transform(valid, lambda x: F.struct(
-            F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end")))
+            F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"), x["m"].alias("m")))
     return docs.withColumn("base", F.concat(*map(spans, KINDS))).drop(*[f"{c}_{k}" for k in KINDS for c in "mp"])
 
 
@@ -131,18 +131,24 @@ def spans_of(
         {"k1": row_key("doc_id", "text"), "k2": F.hash("text", "doc_id")})
     read = stored(candidates(base_spans(docs)).select("doc_id", "k1", "k2", "base", "words"), "spans")
     words = read.where(F.size("words") > 0).select("k1", "k2", "base", F.explode("words").alias("w")).select(
-        "k1", "k2", "w.before", "base",
+        "k1", "k2", "w.before", "base", F.col("w.start").alias("at"), (F.col("w.start") + F.length("w.m")).alias("stop"),
         F.regexp_replace("w.m", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("instance"),
         (F.col("w.start") + F.length(F.regexp_extract("w.m", r"^[^\p{L}\p{N}]*", 0))).alias("start"),
-    ).where(F.length("instance") >= SHORTEST).withColumn("end", F.col("start") + F.length("instance"))
+    ).withColumn("end", F.col("start") + F.length("instance"))
     inside = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    begins = F.exists("base", lambda b: (b["start"] >= F.col("start")) & (b["start"] < F.col("end")))
-    words = words.withColumns({"covered": inside, "seed": begins}).where("seed OR NOT covered").drop("base")
+    begins = F.filter("base", lambda b: (b["start"] >= F.col("at")) & (b["start"] < F.col("stop")))
+    first = F.array_min(F.transform(begins, lambda b: F.struct(b["start"].alias("start"), b["m"].alias("m"))))["m"]
+    words = words.withColumns({"covered": inside, "whole": first}).drop("base", "at", "stop")
+    # SHORTEST is for words that no format covers; before no word at all, also for the first word of a seed
+    long = F.length("instance") >= SHORTEST
+    words = words.where(F.when(F.col("whole").isNull(), ~F.col("covered") & long).otherwise((F.col("before") != "# #") | long))
+    words = words.withColumn("seed", F.col("whole").isNotNull()).withColumn("instance", F.coalesce("whole", "instance"))
     learned = learn(words, rounds, support, trust)
-    found = words.where("NOT covered").join(learned, ["before", "instance"]).groupBy("k1", "k2").agg(
+    found = words.where("NOT seed").join(learned, ["before", "instance"]).groupBy("k1", "k2").agg(
         F.sort_array(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end"))).alias("found"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return read.drop("words").join(found, ["k1", "k2"], "left").withColumn("found", F.coalesce("found", none))
+    plain = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
+    return read.drop("words").join(found, ["k1", "k2"], "left").withColumns({"base": plain, "found": F.coalesce("found", none)})
 
 
 def joined(spans: Column) -> Column:

@@ -51,6 +51,17 @@ def test_contexts_of_seeds_find_other_identifiers(spark):
     assert all(got[i].n_id == 0 for i in got if i != 8)
 
 
+def test_phones_or_spaced_cards_alone_seed_a_context(spark):
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "6011 0000 0000 0004"]
+    texts = [f"reach us on +1 (017) 555-77{i}3 now" for i in range(4)] + [f"charged to card {c} today" for c in cards]
+    texts += ["reach us on k7421-xq, thanks", "charged to card zz81-4420 once", "the year at 2020x was long"]
+    got = [r for r in sorted(pii.report(frame(spark, texts)).collect(), key=lambda r: r.doc_id)]
+    start = [t.find(w) for t, w in zip(texts[7:], ("k7421", "zz81"))]
+    assert sum(r.n_phone for r in got) == 4 and sum(r.n_card for r in got) == 3
+    assert [r.spans for r in got[7:]] == [f"id:{start[0]}:{start[0] + 8}", f"id:{start[1]}:{start[1] + 9}", ""]
+    assert not any(r.n_id for r in got[:7])
+
+
 def test_redaction(spark):
     docs = frame(spark, ["write a@b.cc or 10.0.0.1!", None, "nothing", "+1 (743) 555-3824"])
     out = {r.doc_id: r for r in pii.redacted(docs).collect()}
