@@ -2,7 +2,7 @@
 
 Every paragraph passes points for its length and commas to its ancestors, less with each level; a
 container's points are discounted by the share of its text that stands in links. The best
-container is kept together with those of its siblings that score well or read like prose. Menus,
+container is kept together with those of its siblings that score a fifth of it or read like prose. Menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left
 out by element and by class or id before scoring.
 """
@@ -39,6 +39,7 @@ NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|header|masthead|"
     r"menu|modal|nav|navbar|navigation|newsletter|notice|alert|pager|pagination|popup|promo\w*|recommend\w*|related|replies|"
     r"respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "pre", "blockquote", "ul", "ol", "dl", "table", "figure"}
 WHITE = re.compile(r"\s+")
 
 
@@ -164,18 +165,16 @@ def main_text(html: str) -> str:
     articles = [n for n in pool if n.tag in ("article", "main")]
     best = max(articles or pool, key=rated)
     whole = best.up or best
-    bar, kept = max(10.0, 0.2 * rated(best)), []
+    bar, kept = 0.2 * rated(best), []
     for item in whole.items if best.up is not None else [best]:
         if item is best:
             kept.append(item)
-        elif isinstance(item, Node) and not item.noise and item.tag not in INLINE and not articles:
+        elif isinstance(item, Node) and not item.noise and item.tag not in INLINE and (item.tag != "header" or any(n.tag == "article" for n in _ups(item))):
             own = blocks(item)
             size = sum(len(t) for _, t, _ in own)
             dense = sum(k for _, _, k in own) / max(size, 1)
-            if rated(item) >= bar or item.tag in ("p", "h1", "h2") and size and (size > 80 and dense < 0.25 or size <= 80 and not dense):
+            if size and (rated(item) >= bar > 0 or item.tag in PROSE and (dense < 0.25 if size > 80 else not dense)):
                 kept.append(item)
-        elif isinstance(item, Node) and item.tag in ("article",) and rated(item) >= bar:
-            kept.append(item)
     return "\n\n".join(text for node in kept for _, text, _ in blocks(node))
 
 

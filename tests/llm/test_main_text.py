@@ -30,6 +30,13 @@ def test_broken_and_deep_markup():
     assert mt.main_text(f"<article><p>{PROSE}<p>x <b>y<ul><li>z<li>w</ul></article></div></div>") == f"{PROSE.strip()}\n\nx y\n\nz\n\nw"
 
 
+def test_siblings_of_an_article_stay():
+    page = f"<main><h1>Title</h1><p>lead</p><article><p>{PROSE * 4}</p></article><h3>More</h3><p>rest</p><ul><li><a href=x>{PROSE}</a></ul></main>"
+    assert mt.main_text(f"<body><nav>Menu</nav>{page}<footer>end</footer>") == "\n\n".join(["Title", "lead", (PROSE * 4).strip(), "More", "rest"])
+    parts = [f"Part {i}. {PROSE.strip()}" for i in range(4)] + ["A short last part, too."]
+    assert mt.main_text("<div>" + "".join(f"<article><p>{p}</p></article>" for p in parts) + "</div>") == "\n\n".join(parts)
+
+
 def test_rows(spark):
     rows = [(1, "u", f"<article><p>{PROSE}</p></article>"), (2, None, None), (None, "u", ""), (1, "u", f"<article><p>{PROSE}</p></article>")]
     pages = spark.createDataFrame([(*r, 3) for r in rows], "page_id long, url string, html string, text int")
