@@ -40,14 +40,18 @@ NOISE = re.compile(
     r"menu|modal|nav|navbar|navigation|newsletter|notice|alert|pager|pagination|popup|promo\w*|recommend\w*|related|replies|"
     r"respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "pre", "blockquote", "ul", "ol", "dl", "table", "figure"}
+# names of reader comments themselves, not of pages that have or lack them
+READERS = re.compile(r"(?:^|\s)(?:comments?|commentlist|disqus|replies|respond)(?:$|\s|[_-](?!(?:open|closed|on|off)\b))", re.I)
+IN_HEAD = {"base", "link", "meta", "title", "noscript", "script", "style", "template", "head"}
 WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "noise", "up", "items", "score", "chars", "linked")
+    __slots__ = ("tag", "noise", "named", "up", "items", "score", "chars", "linked")
 
     def __init__(self, tag: str, noise: bool, up: Node | None):
         self.tag, self.noise, self.up = tag, noise, up
+        self.named = ""  # class, id and role of an element that they call noise
         self.items: list = []
         self.score, self.chars, self.linked = 0.0, 0, 0
 
@@ -58,6 +62,7 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#", False, None)
+        self.named: list[Node] = []
 
     def open_tags(self, until: set[str]):
         node = self.at
@@ -65,7 +70,15 @@ class Tree(HTMLParser):
             yield node
             node = node.up
 
+    def leave_head(self):
+        for node in self.open_tags(set()):
+            if node.tag == "head":
+                self.at = node.up
+                return
+
     def handle_starttag(self, tag, attrs):
+        if tag == "body" or self.at.tag == "head" and tag not in IN_HEAD:
+            self.leave_head()
         if tag in CLOSES_P:
             for node in self.open_tags({"table", "button", "object"}):
                 if node.tag == "p":
@@ -79,7 +92,10 @@ class Tree(HTMLParser):
                     break
         names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-        node = Node(tag, tag in DROPPED or hidden or bool(names and tag not in ("body", "article", "main") and NOISE.search(names)), self.at)
+        node = Node(tag, tag in DROPPED or hidden, self.at)
+        if names and not node.noise and tag not in ("html", "body", "article", "main") and NOISE.search(names):
+            node.named = names
+            self.named.append(node)
         self.at.items.append(node)
         if tag not in VOID:
             self.at = node
@@ -96,6 +112,8 @@ class Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.at.tag == "head" and not data.isspace():
+            self.leave_head()
         self.at.items.append(data)
 
 
@@ -143,11 +161,52 @@ def _ups(node: Node):
         node = node.up
 
 
+def settle(tree: Tree) -> None:
+    """Elements that only their names call noise become noise, but for those that hold the page's main part.
+
+    These hold more than half of the paragraph points, or the only article, while no article beside
+    them has text. Reader comments are spared only where no text is left without them.
+    """
+    found, held, story = [], dict.fromkeys(tree.named, 0.0), set()
+    for owner, text, linked in blocks(tree.root) if tree.named else []:
+        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - min(1.0, linked / len(text)))
+        if points <= 0:
+            continue
+        near, articles = None, set()
+        for node in _ups(owner):
+            if node.tag in ("article", "main"):
+                articles.add(node)
+            if node.named:
+                near = near or node
+                held[node] += points
+                if articles:
+                    story.add(node)
+        found.append((points, near, articles))
+    total, spared = sum(f[0] for f in found), set()
+    inner: dict = {}
+    for node in tree.named:
+        inner.setdefault(next((u for u in _ups(node.up) if u.named), None), []).append(node)
+    outer = set(inner.get(None, []))
+    while True:
+        free = [articles for _, near, articles in found if near is None or near in spared]
+        told = set().union(*free)
+        may = [n for n in outer if held[n] > 0 and (not free or not READERS.search(n.named) and (
+            2 * held[n] > total or n in story and not told) and (not told or told.issubset(_ups(n))))]
+        if not may:
+            break
+        best = max(may, key=lambda n: (not READERS.search(n.named), held[n]))
+        spared.add(best)
+        outer = (outer - {best}).union(inner.get(best, []))
+    for node in tree.named:
+        node.noise = node not in spared
+
+
 def main_text(html: str) -> str:
     """The article's blocks joined by an empty line; '' where there are none."""
     tree = Tree()
     tree.feed(html)
     tree.close()
+    settle(tree)
     found = blocks(tree.root)
     if not found:
         return ""

@@ -37,6 +37,17 @@ def test_siblings_of_an_article_stay():
     assert mt.main_text("<div>" + "".join(f"<article><p>{p}</p></article>" for p in parts) + "</div>") == "\n\n".join(parts)
 
 
+def test_names_of_the_whole_page_and_an_open_head():
+    story, want = f"<h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p>", "\n\n".join(["Title", PROSE.strip(), PROSE.strip()])
+    notes = f"<div class='comments'><article><p>{PROSE * 9}</p></article></div><div class='sidebar'><p>{PROSE}</p></div>"
+    for name in ("content has-sidebar", "no-comments post", "site sticky-header", "widget"):
+        assert mt.main_text(f"<body><div class='{name}'>{story}<div class=ad>Buy {PROSE}</div></div><p>end</p></body>").startswith(want)
+        page = f"<body><div id=x class='{name}'><article>{story}</article>{notes}</div></body>"
+        assert mt.main_text(page) == want
+    assert mt.main_text(f"<html><head><title>T</title><meta charset=utf-8><body>{story}") == want
+    assert mt.main_text(f"<head><title>T</title><div>{story}</div>") == want
+
+
 def test_rows(spark):
     rows = [(1, "u", f"<article><p>{PROSE}</p></article>"), (2, None, None), (None, "u", ""), (1, "u", f"<article><p>{PROSE}</p></article>")]
     pages = spark.createDataFrame([(*r, 3) for r in rows], "page_id long, url string, html string, text int")
