@@ -60,13 +60,14 @@ def running_sums(df: DataFrame, at: str, n: int, values: Sequence[str], block: i
     if n <= block:
         upto = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({v: F.sum(v).over(upto) for v in values})
-    blocked = df.withColumn("_block", F.floor(F.col(at) / block).cast("long"))
-    totals = blocked.groupBy("_block").agg(*[F.sum(v).alias(v) for v in values])
-    totals = running_sums(totals, "_block", -(-n // block), values, block)
-    before = totals.select((F.col("_block") + 1).alias("_block"), *[F.col(v).alias(f"_{v}") for v in values])
-    inside = Window.partitionBy("_block").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    own = f"{at}_block"
+    blocked = df.withColumn(own, F.floor(F.col(at) / block).cast("long"))
+    totals = blocked.groupBy(own).agg(*[F.sum(v).alias(v) for v in values])
+    totals = running_sums(totals, own, -(-n // block), values, block)
+    before = totals.select((F.col(own) + 1).alias(own), *[F.col(v).alias(f"_{v}") for v in values])
+    inside = Window.partitionBy(own).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        blocked.withColumns({v: F.sum(v).over(inside) for v in values}).join(before, "_block", "left")
+        blocked.withColumns({v: F.sum(v).over(inside) for v in values}).join(before, own, "left")
         .withColumns({v: F.col(v) + F.coalesce(F.col(f"_{v}"), F.lit(0)) for v in values})
-        .drop("_block", *[f"_{v}" for v in values])
+        .drop(own, *[f"_{v}" for v in values])
     )
