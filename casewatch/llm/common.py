@@ -25,6 +25,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shelf:
+    """The written tables of one job, in a folder of its own below the shared scratch folder.
+
+    ``put`` writes a frame and reads it back, which cuts its lineage; ``drop`` deletes a table whose
+    successor is written. Results that are still to be read must not be dropped.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base, self.paths = spark, scratch(spark, name), {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.base}/{len(self.paths)}-{name}"
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = (path, kept)
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(df)][0])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parts(spark: SparkSession, n_bytes: int, each: int) -> int:
     """Partitions for so many bytes, no fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes or 0) // each))

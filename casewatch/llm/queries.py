@@ -10,10 +10,13 @@ from casewatch.llm import (
     contextual_pii,
     decontaminate,
     direct_codes,
+    exact_dedup,
+    filter_audit,
     hidden_markov,
     line_rules,
     main_text,
     pieces,
+    prefix_tree,
     recompression,
     signature_join,
     suffix_dedup,
@@ -82,4 +85,22 @@ def op10(spark, sf_dir):
     return main_text.extract(table(spark, sf_dir, "pages"))
 
 
-LLM_ORACLE: dict[str, str] = {"op2_line_rules": line_rules.oracle()}
+@query("op11_fuse_dedup")
+def op11(spark, sf_dir):
+    return exact_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_tree")
+def op12(spark, sf_dir):
+    return prefix_tree.report(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_filter_audit")
+def op13(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+LLM_ORACLE: dict[str, str] = {
+    "op2_line_rules": line_rules.oracle(), "op11_fuse_dedup": exact_dedup.oracle(),
+    "op12_prefix_tree": prefix_tree.oracle(), "op13_filter_audit": filter_audit.oracle(),
+}
