@@ -1,9 +1,9 @@
 """Best partner of every left row in a catalog, under any scoring function.
 
-The catalog is meant to be small (a vocabulary). Its size is measured: within the bound it
-is broadcast and the left rows stream past it; beyond the bound both sides are cut into
-blocks of bounded size, each pair of blocks is one group, and the block winners are reduced.
-No pair of rows is ever written out.
+The catalog is meant to be small (a vocabulary). Its size is measured before a row of it moves:
+within the bounds it is broadcast and the left rows stream past it; beyond them both sides are
+cut into blocks of bounded size, each pair of blocks is one group, and the block winners are
+reduced. No pair of rows is ever written out.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,34 +21,61 @@ from casewatch.operators.dedupe import keep_first
 Prepare = Callable[[pd.DataFrame], Callable[[pd.DataFrame], pd.DataFrame]]
 
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 256 << 20
 BLOCK_ROWS = 20_000
 
 
+def fits(catalog: DataFrame, row_bytes: Column, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether a catalog may be broadcast: its rows and their bytes are counted first."""
+    rows, held = catalog.agg(F.count(F.lit(1)), F.sum(row_bytes)).first()
+    return rows <= max_rows and (held or 0) <= max_bytes
+
+
+def stream_past(left: DataFrame, catalog: DataFrame, prepare: Prepare, schema: T.StructType) -> DataFrame:
+    """Result rows of the left rows against a catalog that ``fits``."""
+    shared = left.sparkSession.sparkContext.broadcast(catalog.toPandas())
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = prepare(shared.value)
+        for batch in batches:
+            yield score(batch)
+
+    return left.mapInPandas(stream, schema)
+
+
+def nothing(left: DataFrame, key: str, schema: T.StructType) -> DataFrame:
+    """Result rows against an empty catalog: score 0, no partner."""
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in schema} | {"_score": F.lit(0.0)}
+    return left.select(*[F.col(key) if n == key else c.alias(n) for n, c in empty.items()])
+
+
+def winners_first(found: DataFrame, key: str) -> DataFrame:
+    """The highest score per key, then the lowest ``_form`` where there is one, then the lowest place."""
+    return keep_first(found, [key], [F.col("_score").desc(), *[F.col("_form").asc()] * ("_form" in found.columns), F.col("_place").asc()])
+
+
+def by_block(prepare: Prepare, schema: T.StructType) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The scorer of one pair of blocks, for a cogroup."""
+    names = schema.fieldNames()
+
+    def block(rows: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(columns=names) if rows.empty or part.empty else prepare(part)(rows)
+
+    return block
+
+
 def best_partner(
     left: DataFrame, catalog: DataFrame, key: str, prepare: Prepare, schema: T.StructType,
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS, block_rows: int = BLOCK_ROWS,
+    row_bytes: Column, max_broadcast_rows: int = MAX_BROADCAST_ROWS, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """One result row per left row; ``key`` is unique on the left and part of ``schema``.
 
-    ``schema`` has the columns ``_score`` and ``_place``: the winner is the highest score,
-    then the lowest ``_form`` where the schema has one, then the lowest place.
+    ``schema`` has the columns ``_score`` and ``_place``; see ``winners_first`` for the order.
     """
-    spark = left.sparkSession
-    head = catalog.limit(max_broadcast_rows + 1).toPandas()
-    if head.empty:
-        empty = {f.name: F.lit(None).cast(f.dataType) for f in schema} | {"_score": F.lit(0.0)}
-        return left.select(*[F.col(key) if n == key else c.alias(n) for n, c in empty.items()])
-    if len(head) <= max_broadcast_rows:
-        shared = spark.sparkContext.broadcast(head)
-
-        def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            score = prepare(shared.value)
-            for batch in batches:
-                yield score(batch)
-
-        return left.mapInPandas(stream, schema)
-
-    del head
+    if catalog.isEmpty():
+        return nothing(left, key, schema)
+    if fits(catalog, row_bytes, max_broadcast_rows):
+        return stream_past(left, catalog, prepare, schema)
     slices = -(-catalog.count() // block_rows)
     buckets = max(1, -(-left.count() // block_rows))
     left_blocks = left.select(
@@ -59,17 +86,9 @@ def best_partner(
         "*", F.pmod(F.xxhash64(*catalog.columns), F.lit(slices)).cast("int").alias("_slice"),
         F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket"),
     )
-    columns, catalog_columns, names = left.columns, catalog.columns, schema.fieldNames()
-
-    def block(rows: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or part.empty:
-            return pd.DataFrame(columns=names)
-        return prepare(part[catalog_columns])(rows[columns])
-
     winners = (
         left_blocks.groupBy("_slice", "_bucket")
         .cogroup(catalog_blocks.groupBy("_slice", "_bucket"))
-        .applyInPandas(block, schema)
+        .applyInPandas(by_block(prepare, schema), schema)
     )
-    order = [F.col("_score").desc(), *[F.col("_form").asc()] * ("_form" in names), F.col("_place").asc()]
-    return keep_first(winners, [key], order)
+    return winners_first(winners, key)

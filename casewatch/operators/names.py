@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casewatch import constants as K
-from casewatch.functions.lcs import ratio_index
+from casewatch.functions.lcs import RatioIndex
 from casewatch.functions.text import first_case, strip_salts
-from casewatch.operators.best import BLOCK_ROWS, MAX_BROADCAST_ROWS, best_partner
+from casewatch.operators.best import BLOCK_ROWS, MAX_BROADCAST_ROWS, by_block, fits, nothing, stream_past, winners_first
 from casewatch.operators.dedupe import keep_first
 from casewatch.operators.keys import spread_nulls
+from casewatch.session import scratch
 from casewatch.sources.columns import first_col
+from casewatch.sources.readers import union_all
+from casewatch.sources.sinks import replace_table
 
 Vocabulary = Sequence[tuple[str, str, Sequence[str]]]
 
@@ -106,6 +109,85 @@ def vocabulary_lookup(terms: DataFrame) -> DataFrame:
     return keep_first(named, ["display_name"], [F.col("_place")]).drop("_place")
 
 
+def _forms(rows: pd.DataFrame) -> list[list[tuple[int, str]]]:
+    """The forms of each name that are compared: without salts (0) where that differs, and in full (1)."""
+    return [([(0, bare)] if bare and bare != full else []) + [(1, full)] for full, bare in zip(rows["_full"], rows["_bare"])]
+
+
+def _best_entries(column: str, forms: Callable = _forms, least: float = 0.0):
+    """Scorer factory: the best entry of every name, the first form and then the first display name on a tie."""
+
+    def prepare(catalog: pd.DataFrame):
+        catalog = catalog.sort_values("display_name", ignore_index=True)
+        index = RatioIndex(catalog["display_name"].tolist())
+        columns = {c: catalog[c].to_numpy() for c in ("generic_name", "rxcui", "display_name")}
+
+        def score(rows: pd.DataFrame) -> pd.DataFrame:
+            found = []
+            for name, texts in zip(rows[column], forms(rows)):
+                ratio, _, form, place = max(((r, -f, f, p) for f, t in texts for p, r in [index.best(t)]))
+                if ratio >= least:
+                    found.append((name, *[columns[c][place] for c in ("generic_name", "rxcui")], ratio, form, columns["display_name"][place]))
+            return pd.DataFrame(found, columns=[column, "generic_name", "rxcui", "_score", "_form", "_place"])
+
+        return score
+
+    return prepare
+
+
+LENGTH_BANDS = 4  # bands of name lengths from a number to its double
+
+
+def _length(name: Column) -> Column:
+    """Characters of a name with its words sorted: runs of white space count once, at the ends not at all."""
+    return F.length(F.trim(F.regexp_replace(name, "(?U)[\\x1c-\\x1f\\s]+", " ")))
+
+
+def _band(length: Column) -> Column:
+    return F.floor(LENGTH_BANDS * F.log2(F.greatest(length, F.lit(1)))).cast("int")
+
+
+def _by_length(
+    open_names: DataFrame, entries: DataFrame, column: str, schema: T.StructType, threshold: float, block_rows: int,
+) -> DataFrame:
+    """Best entries where the lookup is too large to broadcast: an equi-join on bands of lengths.
+
+    A ratio of t needs lengths within t / (200 - t) of each other, so a name visits only the bands that can hold
+    such entries, and within a block only the entries that ``RatioIndex`` cannot rule out are compared. Names whose best
+    ratio is below the threshold come again with a lower t and more bands, until every name has its best entry. A
+    band of many entries is cut into slices, and many names into buckets, of at most about ``block_rows``.
+    """
+    spark = open_names.sparkSession
+    base = scratch(spark, "fuzzy")
+    entries = replace_table(entries.withColumn("_band", _band(_length(F.col("display_name")))), f"{base}/entries")
+    sliced = entries.groupBy("_band").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_slices"))
+    sliced = replace_table(sliced, f"{base}/bands")
+    lowest, highest = sliced.agg(F.min("_band"), F.max("_band")).first()
+    entries = entries.join(sliced, "_band").withColumn("_slice", F.pmod(F.xxhash64("display_name"), F.col("_slices")).cast("int")).drop("_slices")
+    form = lambda number, text: F.struct(F.lit(number).alias("_form"), F.col(text).alias("_text"))
+    both, one = F.array(form(1, "_full"), form(0, "_bare")), F.array(form(1, "_full"))
+    differs = (F.col("_bare") != "") & (F.col("_bare") != F.col("_full"))
+    left = open_names.select(column, F.inline(F.when(differs, both).otherwise(one))).withColumn("_len", _length(F.col("_text")))
+    left, done = replace_table(left, f"{base}/forms"), []
+    for step, t in enumerate([threshold, *[x for x in (60.0, 40.0, 20.0) if x < threshold], 0.0]):
+        near = F.ceil(F.col("_len") * t / (200 - t)) - 1, F.floor(F.col("_len") * (200 - t) / t) + 1 if t else None
+        low, high = (F.lit(lowest), F.lit(highest)) if not t else [
+            edge(_band(n), F.lit(at)) for edge, n, at in ((F.greatest, near[0], lowest), (F.least, near[1], highest))]
+        buckets = max(1, -(-left.count() // block_rows))
+        visits = left.withColumn("_low", low).withColumn("_high", high).where("_low <= _high").withColumn("_band", F.explode(F.sequence("_low", "_high")))
+        visits = visits.join(sliced, "_band").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+        visits = visits.withColumn("_bucket", F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int"))
+        parts = entries.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+        prepare = _best_entries(column, lambda rows: [[f] for f in zip(rows["_form"], rows["_text"])], t)
+        group = ["_band", "_slice", "_bucket"]
+        found = visits.groupBy(*group).cogroup(parts.groupBy(*group)).applyInPandas(by_block(prepare, schema), schema)
+        done.append(replace_table(winners_first(found, column), f"{base}/found-{step}"))
+        left = replace_table(left.join(done[-1].select(column), column, "left_anti"), f"{base}/left-{step}")
+        if left.isEmpty():
+            break
+    return union_all(done)
+
+
 def fuzzy_match(
     names: DataFrame, lookup: DataFrame, column: str = "drugname_raw",
     threshold: float = K.MIN_NAME_SCORE, salts: Sequence[str] = K.SALT_WORDS,
@@ -116,7 +198,8 @@ def fuzzy_match(
     An exact display name scores 100. Otherwise the name without salts and the full name
     are both compared with every entry and the higher score wins, the stripped one on a
     tie; equal entries go by display name. Below the threshold the score stays and the
-    match is null.
+    match is null. A lookup of at most ``max_lookup_rows`` and a bounded number of bytes is broadcast;
+    a larger one meets the names in bands of lengths. Either way entries that cannot win are not compared.
     """
     unique = names.where(F.col(column).isNotNull()).select(column).distinct().withColumn(
         "_full", F.upper(F.trim(column))
@@ -146,37 +229,12 @@ def fuzzy_match(
         T.StructField("rxcui", T.StringType()), T.StructField("_score", T.DoubleType()),
         T.StructField("_form", T.IntegerType()), T.StructField("_place", T.StringType()),
     ])
-
-    def prepare(catalog: pd.DataFrame):
-        catalog = catalog.sort_values("display_name", ignore_index=True)
-        ratios = ratio_index(catalog["display_name"].tolist())
-
-        def best(full: str, bare: str) -> tuple[int, float, int]:
-            scores = ratios(full)
-            place = int(scores.argmax())
-            winner = (place, float(scores[place]), 1)
-            if bare and bare != full:
-                scores = ratios(bare)
-                place = int(scores.argmax())
-                if scores[place] >= winner[1]:
-                    winner = (place, float(scores[place]), 0)
-            return winner
-
-        def score(rows: pd.DataFrame) -> pd.DataFrame:
-            found = [best(f, b) for f, b in zip(rows["_full"], rows["_bare"])]
-            picked = catalog.iloc[[place for place, _, _ in found]]
-            return pd.DataFrame({
-                column: rows[column].to_numpy(), "generic_name": picked["generic_name"].to_numpy(),
-                "rxcui": picked["rxcui"].to_numpy(), "_score": [s for _, s, _ in found],
-                "_form": [form for _, _, form in found],
-                "_place": picked["display_name"].to_numpy(),
-            })
-
-        return score
-
-    scored = best_partner(
-        open_names, entries, column, prepare, schema, max_lookup_rows, block_rows
-    )
+    if entries.isEmpty():
+        scored = nothing(open_names, column, schema)
+    elif fits(lookup, F.octet_length(F.concat_ws("", "display_name", "generic_name", "rxcui")), max_lookup_rows):
+        scored = stream_past(open_names, entries, _best_entries(column), schema)
+    else:
+        scored = _by_length(open_names, entries, column, schema, threshold, block_rows)
     accepted = F.col("_score") >= threshold
     near = scored.select(
         column, F.when(accepted, F.col("generic_name")).alias("drugname_norm"),

@@ -12,8 +12,6 @@ from casewatch.operators.best import BLOCK_ROWS, MAX_BROADCAST_ROWS, best_partne
 
 # Similarities held at once while a batch of queries meets the catalog.
 CELLS = 8_000_000
-# Largest catalog that is broadcast, in bytes of its vectors.
-MAX_BROADCAST_BYTES = 256 << 20
 
 
 def nearest_term(
@@ -25,7 +23,8 @@ def nearest_term(
 
     Similarity is (1 + cosine) / 2, over every catalog entry, so the result is exact. Equal
     entries go by term. Blank text, or one without a vector, maps to itself with score 0; catalog
-    rows without a vector are no entries. Query texts are unique.
+    rows without a vector are no entries; vectors of different lengths end the search with an error before it
+    starts. Query texts are unique.
     """
     blank = F.col(text).isNull() | (F.trim(text) == "") | F.col(embedding).isNull()
     spoken = queries.where(~blank).select(text, F.col(embedding).cast("array<double>").alias("_vec"))
@@ -34,9 +33,9 @@ def nearest_term(
     ).where("_vec IS NOT NULL")
     text_type = queries.schema[text].dataType
     term_type = catalog.schema[term].dataType
-    widest = entries.agg(F.max(F.size("_vec")).alias("n")).first()["n"]
-    if widest is not None:
-        max_catalog_rows = min(max_catalog_rows, MAX_BROADCAST_BYTES // (8 * max(1, widest)))
+    sizes = [df.agg(F.min(F.size("_vec")), F.max(F.size("_vec"))).first() for df in (entries, spoken)]
+    if len({n for pair in sizes for n in pair if n is not None}) > 1:
+        raise ValueError(f"vectors differ in length: catalog {tuple(sizes[0])}, queries {tuple(sizes[1])} (least, most)")
     schema = T.StructType([
         T.StructField(text, text_type), T.StructField("_score", T.DoubleType()),
         T.StructField("_place", term_type),
@@ -71,7 +70,7 @@ def nearest_term(
 
         return score
 
-    best = best_partner(spoken, entries, text, prepare, schema, max_catalog_rows, block_rows)
+    best = best_partner(spoken, entries, text, prepare, schema, 8 * F.size("_vec"), max_catalog_rows, block_rows)
     matched = F.when(F.col("_score") >= threshold, F.col("_place"))
     mapped = best.select(
         text, matched.alias("matched_term"),

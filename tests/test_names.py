@@ -1,6 +1,7 @@
 """Keyword and fuzzy matching, salts, vocabulary, write-back."""
 
 import random
+import time
 
 import pytest
 from conftest import rows
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from casewatch import constants as K
-from casewatch.functions.lcs import lcs_length, ratio_index
+from casewatch.functions.lcs import RatioIndex, lcs_length
 from casewatch.functions.text import first_target, sorted_tokens, strip_salts
 from casewatch.operators import names
 from casewatch.plans import flows, reports
@@ -35,18 +36,51 @@ words = st.text(alphabet="abcé Z", max_size=80)
 @settings(max_examples=150, deadline=None)
 @given(words, st.lists(words, min_size=1, max_size=6))
 def test_ratio_matches_the_plain_recurrence(query, known):
-    assert ratio_index(known)(query) == pytest.approx([plain_ratio(query, k) for k in known])
+    assert RatioIndex(known).scores(query) == pytest.approx([plain_ratio(query, k) for k in known])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abcdeé Z", max_size=200), st.lists(st.text(alphabet="abcdeé Z", max_size=150), min_size=1, max_size=90), st.integers(1, 8))
+def test_pruned_search_finds_the_best(query, known, first):
+    index = RatioIndex(known)
+    scores = index.scores(query)
+    assert scores == pytest.approx([plain_ratio(query, k) for k in known])
+    assert index.best(query, first) == (int(scores.argmax()), scores.max())
+
+
+def test_pruned_search_compares_few_names():
+    rng = random.Random(2)
+    stems = ["".join(rng.choices("ABCDEILNORSTU", k=rng.randint(4, 10))) for _ in range(400)]
+    index = RatioIndex([" ".join(rng.sample(stems, rng.randint(1, 3))) for _ in range(4000)])
+    for name in rng.sample(index.texts, 50):
+        index.best(name[:-2] + "X")
+    assert index.computed < 50 * 4000 * 0.1
+
+
+def test_long_names_cost_little_more():
+    rng = random.Random(3)
+    index = RatioIndex(["".join(rng.choices("ABCDE FGH", k=rng.randint(40, 120))) for _ in range(5000)])
+    took = {}
+    for n in (50, 100):
+        query = "".join(rng.choices("ABCDEFGH", k=n))
+        runs = []
+        for _ in range(5):
+            start = time.perf_counter()
+            index.scores(query)
+            runs.append(time.perf_counter() - start)
+        took[n] = min(runs)
+    assert took[100] < 4 * took[50]
 
 
 @settings(max_examples=60, deadline=None)
 @given(words, words)
 def test_ratio_is_symmetric_and_ignores_word_order(a, b):
-    assert ratio_index([a])(b)[0] == pytest.approx(ratio_index([b])(a)[0])
-    assert ratio_index([a])(" ".join(reversed(a.split())))[0] == 100.0
+    assert RatioIndex([a]).scores(b)[0] == pytest.approx(RatioIndex([b]).scores(a)[0])
+    assert RatioIndex([a]).scores(" ".join(reversed(a.split())))[0] == 100.0
 
 
 def test_known_ratio_and_native_form(spark):
-    assert ratio_index(["IBUPROFEN TABLET"])("IBUPROFEN TAB")[0] == pytest.approx(89.655, abs=1e-3)
+    assert RatioIndex(["IBUPROFEN TABLET"]).scores("IBUPROFEN TAB")[0] == pytest.approx(89.655, abs=1e-3)
     rng = random.Random(4)
     data = [("".join(rng.choices("abc ", k=rng.randrange(12))), "".join(rng.choices("abc ", k=rng.randrange(12)))) for _ in range(60)] + [("", "a"), ("a", "")]
     got = spark.createDataFrame(data, "a string, b string").select(lcs_length(F.col("a"), F.col("b"))).collect()
@@ -144,6 +178,18 @@ def test_fuzzy_match(spark, limits):
         assert got[name][2] == pytest.approx(want[2], abs=0.051), name
 
 
+def test_bands_of_lengths_lose_nothing(spark):
+    rng = random.Random(6)
+    entries = sorted({"".join(rng.choices("ABCDE ", k=rng.randint(1, 60))).strip() or "A" for _ in range(150)})
+    asked = ["".join(rng.choices("ABCDEZ\u2003", k=rng.randint(1, 90))) for _ in range(60)] + ["\u2003", "q", "\x1cABC\x1cD"]
+    lookup = spark.createDataFrame([(e, str(i), e.lower()) for i, e in enumerate(entries)], "display_name string, rxcui string, generic_name string")
+    df = spark.createDataFrame([(a,) for a in asked], "drugname_raw string")
+    small = names.fuzzy_match(df, lookup)
+    assert rows(names.fuzzy_match(df, lookup, max_lookup_rows=1, block_rows=20)) == rows(small)
+    best = {r.drugname_raw: r.match_score for r in small.collect()}
+    assert all(best[a] == pytest.approx(max(plain_ratio(a.strip(" ").upper(), e) for e in entries), abs=0.051) for a in asked)
+
+
 def test_fuzzy_match_against_nothing(spark):
     df = spark.createDataFrame([("a",)], "drugname_raw string")
     lookup = spark.createDataFrame([], "display_name string, rxcui string, generic_name string")

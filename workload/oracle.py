@@ -238,7 +238,7 @@ LCS = """list_reduce(
             lambda done, j: list_append(done, CASE WHEN unicode(substr({b}, j[1], 1)) = x[1] THEN line[j[1]] + 1
                                                   ELSE greatest(line[j[1] + 1], done[j[1]]) END), [0::INT]),
         list_transform(range(0, length({b}) + 1), lambda j: 0::INT))[length({b}) + 1]"""
-oracle("fuzzy_match", f"""WITH {LOOKUP},
+FUZZY = f"""{LOOKUP},
     names AS (SELECT DISTINCT drugname_raw, upper(trim(drugname_raw)) AS whole,
                 upper(trim(regexp_replace(regexp_replace(drugname_raw, '\\b({"|".join(K.SALT_WORDS)})\\b', '', 'gi'), '\\s+', ' ', 'g'))) AS bare
               FROM raw_names),
@@ -251,11 +251,17 @@ oracle("fuzzy_match", f"""WITH {LOOKUP},
     scores AS (SELECT a, b, 200.0::DOUBLE * {LCS.format(a="a", b="b")} / (length(a) + length(b)) AS score FROM texts),
     best AS (SELECT drugname_raw, generic_name, rxcui, score FROM (
       SELECT *, row_number() OVER (PARTITION BY drugname_raw ORDER BY score DESC, form, display_name) AS rk
-      FROM sides JOIN scores USING (a, b)) WHERE rk = 1)
+      FROM sides JOIN scores USING (a, b)) WHERE rk = 1),
+    fuzzy AS (
     SELECT drugname_raw, generic_name AS drugname_norm, rxcui AS rxnorm_rxcui, 100.0::DOUBLE AS match_score
     FROM names JOIN lookup ON whole = display_name
     UNION ALL SELECT drugname_raw, CASE WHEN score >= 80 THEN generic_name END, CASE WHEN score >= 80 THEN rxcui END, round(score, 1)
-    FROM best""", "raw_names", "terms_file")
+    FROM best)"""
+for name in ("fuzzy_match", "fuzzy_match_blocks"):
+    oracle(name, f"WITH {FUZZY} SELECT * FROM fuzzy", "raw_names", "terms_file")
+oracle("normalize_fuzzy", f"""WITH {FUZZY}
+    SELECT r.p_partkey, r.drugname_raw, f.drugname_norm, CASE WHEN f.drugname_norm IS NOT NULL THEN f.rxnorm_rxcui END AS rxnorm_rxcui
+    FROM raw_names r LEFT JOIN fuzzy f USING (drugname_raw)""", "raw_names", "terms_file")
 NORMALIZED = f"""{matched_sql('drug_names')},
     done AS (SELECT d.caseid, d.drug_seq, d.drugname_raw, coalesce(m.drugname_norm, d.drugname_norm) AS drugname_norm,
                     coalesce(m.rxnorm_rxcui, d.rxnorm_rxcui) AS rxnorm_rxcui
@@ -454,14 +460,16 @@ oracle("trace_steps", TRIAGE + """
     SELECT review_id, step::INT AS step, split_part(entry, ':', 1) AS stage, entry
     FROM (SELECT review_id, unnest(string_split(agent_trace, '|')) AS entry,
                  unnest(range(1, len(string_split(agent_trace, '|')) + 1)) AS step FROM results)""", *TRIAGE_VIEWS)
-oracle("nearest_term", """WITH known AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+NEAREST = """WITH known AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
     asked AS (SELECT vec_id, list_transform(e, lambda x, i: CASE WHEN i <= 10 THEN -x ELSE x END) AS q FROM known),
     near AS (SELECT a.vec_id, k.vec_id AS term,
                round((1 + list_inner_product(q, e) / sqrt(list_inner_product(q, q) * list_inner_product(e, e))) / 2, 12) AS s
              FROM asked a, known k),
     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, term) AS rk FROM near) WHERE rk = 1)
     SELECT 'q' || vec_id AS text, CASE WHEN s >= 0.85 THEN term END AS matched_term,
-           CASE WHEN s >= 0.85 THEN CAST(term AS VARCHAR) ELSE 'q' || vec_id END AS mapped_term, round(s, 3) AS similarity FROM best""")
+           CASE WHEN s >= 0.85 THEN CAST(term AS VARCHAR) ELSE 'q' || vec_id END AS mapped_term, round(s, 3) AS similarity FROM best"""
+oracle("nearest_term", NEAREST)
+oracle("nearest_term_blocks", NEAREST)
 LETTERS = "[" + ", ".join(f"(length(t) - length(replace(lower(t), '{c}', '')))::DOUBLE" for c in "abdegilnort") + "]"
 oracle("term_map", f"""WITH {PARSED},
     asked AS (SELECT t, {LETTERS} AS q FROM (SELECT DISTINCT unnest(reactions) AS t FROM scored)),

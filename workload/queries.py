@@ -251,6 +251,20 @@ def fuzzy_match(spark, d):
     return names.fuzzy_match(view(spark, d, "raw_names"), _lookup(spark, d))
 
 
+@query
+def fuzzy_match_blocks(spark, d):
+    """The same over a lookup that counts as too large to broadcast."""
+    return names.fuzzy_match(view(spark, d, "raw_names"), _lookup(spark, d), max_lookup_rows=0, block_rows=500)
+
+
+@query
+def normalize_fuzzy(spark, d):
+    """Fuzzy mapping stored, then written back to the drug rows."""
+    lookup = _lookup(spark, d)
+    drugs = view(spark, d, "raw_names").withColumns({c: F.lit(None).cast("string") for c in ("drugname_norm", "rxnorm_rxcui")})
+    return flows.normalize_flow(drugs, scratch(spark, "normalized"), lookup)[1]
+
+
 def _normalized(spark, d):
     return names.normalize_names(view(spark, d, "drug_names"), "keyword", vocabulary=NOUNS)
 
@@ -449,13 +463,22 @@ def trace_steps(spark, d):
     return reports.trace_steps(_results(spark, d))
 
 
-@query
-def nearest_term(spark, d):
+def _bent(spark, d):
     vectors = table(spark, d, "embeddings")
     bent = F.transform("embedding", lambda x, i: F.when(i < 10, -x).otherwise(x))
     asked = vectors.select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("text"), bent.alias("embedding"))
-    catalog = vectors.select(F.col("vec_id").alias("term"), "embedding")
-    return nearest.nearest_term(asked, catalog)
+    return asked, vectors.select(F.col("vec_id").alias("term"), "embedding")
+
+
+@query
+def nearest_term(spark, d):
+    return nearest.nearest_term(*_bent(spark, d))
+
+
+@query
+def nearest_term_blocks(spark, d):
+    """The same over a catalog that counts as too large to broadcast."""
+    return nearest.nearest_term(*_bent(spark, d), max_catalog_rows=0, block_rows=2000)
 
 
 @query
