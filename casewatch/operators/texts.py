@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewatch.operators.dedupe import keep_first
 from casewatch.operators.keys import spread_nulls
+from casewatch.sources.sinks import read_if_present
 
 MENTIONS = "array<struct<entity_text: string, entity_label: string, start_char: int, end_char: int>>"
 
@@ -69,7 +72,7 @@ def mentions(
 
 def score_texts(
     df: DataFrame, score: Callable[[list[str]], list[str]], text_col: str = "review_text",
-    out: str = "raw_output",
+    out: str = "raw_output", store: OutputStore | None = None,
 ) -> DataFrame:
     """Add the output of ``score`` for each text, scoring identical texts once.
 
@@ -77,6 +80,9 @@ def score_texts(
     text that very many rows share is combined before the shuffle, and its rows are split
     by the skew-join rule on the way back. If ``score`` fails on a batch its texts are scored one by
     one, and a text that fails alone has null output.
+
+    With a ``store``, texts it holds from earlier batches are not scored again, new outputs are
+    added to it, and a column ``cached`` says which rows came from it.
     """
     hashed = df.withColumn("_hash", spread_nulls(F.sha2(F.col(text_col), 256), *df.columns))
     unique = hashed.where(F.col(text_col).isNotNull()).groupBy("_hash").agg(
@@ -99,8 +105,49 @@ def score_texts(
         for batch in batches:
             yield pd.DataFrame({"_hash": batch["_hash"], out: outputs(batch["_text"].tolist())}, dtype=object)
 
-    scored = unique.mapInPandas(run, f"_hash string, {out} string")
-    return hashed.join(scored, "_hash", "left").drop("_hash")
+    if store is None:
+        scored = unique.mapInPandas(run, f"_hash string, {out} string")
+        return hashed.join(scored, "_hash", "left").drop("_hash")
+    known = store.earlier(df.sparkSession)
+    fresh = unique if known is None else unique.join(known.select("_hash"), "_hash", "left_anti")
+    store.add(fresh.mapInPandas(run, f"_hash string, {out} string").withColumnRenamed(out, "output"))
+    found = store.own(df.sparkSession).withColumn("cached", F.lit(False))
+    if known is not None:
+        found = found.unionByName(known.withColumn("cached", F.lit(True)))
+    found = found.withColumnRenamed("output", out)
+    return (
+        hashed.join(found, "_hash", "left").withColumn("cached", F.coalesce("cached", F.lit(False))).drop("_hash")
+    )
+
+
+@dataclass(frozen=True)
+class OutputStore:
+    """Outputs of a scoring function by (SHA-256 of the text, attempt), kept from batch to batch.
+
+    Every batch writes its own version, so a batch that runs again replaces what it added and sees only
+    what was there before it. Texts without an output are not kept: a later batch tries them again.
+    """
+
+    path: str
+    batch: int
+    attempt: int = 1
+
+    def _version(self, number: int) -> str:
+        return f"{self.path.rstrip('/')}/attempt={self.attempt}/version={number}"
+
+    def earlier(self, spark: SparkSession) -> DataFrame | None:
+        """(``_hash``, ``output``) of earlier batches, one row a hash; None where there are none."""
+        held = read_if_present(spark, f"{self.path.rstrip('/')}/attempt={self.attempt}")
+        if held is None or "version" not in held.columns:
+            return None
+        held = held.where((F.col("version") < self.batch) & F.col("output").isNotNull())
+        return keep_first(held, ["_hash"], [F.col("version")]).select("_hash", "output")
+
+    def add(self, scored: DataFrame) -> None:
+        scored.write.mode("overwrite").parquet(self._version(self.batch))
+
+    def own(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self._version(self.batch))
 
 
 def embed_texts(

@@ -74,19 +74,23 @@ def review_flow(
 def score_attempts(
     todo: DataFrame, score: Score, out: str, vocabulary: names.Vocabulary = K.DRUG_KEYWORDS,
     min_confidence: float = K.MIN_CONFIDENCE, max_attempts: int = K.MAX_ATTEMPTS,
+    cache: str | None = None, batch: int = 0,
 ) -> DataFrame:
-    """Raw outputs (report_id, drug_norm, raw, attempt) of reviews (review_id, review_text, drug_norm).
+    """Raw outputs (report_id, drug_norm, raw, cached, attempt) of reviews (review_id, review_text, drug_norm).
 
     ``score(texts, attempt)`` is a user's function. Each attempt is stored before the next,
-    which scores only the reviews whose output fell short: nothing is scored twice.
+    which scores only the reviews whose output fell short: nothing is scored twice. ``cache`` is
+    the folder of an ``OutputStore``: what an earlier ``batch`` scored at the same attempt is taken from there.
     """
     spark = todo.sparkSession
     for attempt in range(1, max_attempts + 1):
         def run(batch: list[str], attempt: int = attempt) -> list[str]:
             return score(batch, attempt)
 
-        rows = texts.score_texts(todo, run).select(
-            F.col("review_id").alias("report_id"), "drug_norm", F.col("raw_output").alias("raw")
+        store = texts.OutputStore(cache, batch, attempt) if cache else None
+        rows = texts.score_texts(todo, run, store=store).select(
+            F.col("review_id").alias("report_id"), "drug_norm", F.col("raw_output").alias("raw"),
+            F.col("cached") if cache else F.lit(False).alias("cached"),
         )
         stored = sinks.replace_table(rows, f"{out.rstrip('/')}/attempt={attempt}")
         short = score_outputs(stored, vocabulary).where(F.col("confidence") < min_confidence)
@@ -115,7 +119,8 @@ def triage_flow(
 ) -> DataFrame:
     """One batch: reviews without a result are scored, triaged and added to the stored results.
 
-    ``terms`` makes the term map of the raw outputs, for example by ``term_map`` above.
+    ``terms`` makes the term map of the raw outputs, for example by ``term_map`` above. Texts that an
+    earlier batch has scored are not scored again; their reviews are marked as cached in the trace.
     Returns the rows of this batch.
     """
     results = f"{out.rstrip('/')}/results"
@@ -124,7 +129,8 @@ def triage_flow(
     if done is None:
         done = spark.createDataFrame([], "review_id string")
     todo = reviews.unprocessed(review_table, done, limit)
-    outputs = score_attempts(todo, score, f"{out.rstrip('/')}/outputs/batch={version}", vocabulary)
+    base = out.rstrip("/")
+    outputs = score_attempts(todo, score, f"{base}/outputs/batch={version}", vocabulary, cache=f"{base}/cache", batch=version)
     decided = triage(outputs, terms(outputs), signals, vocabulary)
     sinks.append_version(sinks.stamped(decided, "processed_at"), results, version)
     return spark.read.parquet(f"{results}/version={version}")

@@ -244,3 +244,46 @@ def test_only_labelled_reviews_are_tagged(spark):
     labels = spark.createDataFrame([("1", "a"), ("2", ""), ("3", "b")], "review_id string, drugs_gt string")
     results = spark.createDataFrame([("1",), ("2",)], "review_id string")
     assert rows(evaluate.labelled(reviews, labels, results)) == [("1", "x")]
+
+
+def test_a_text_is_scored_once_an_attempt_over_all_batches(spark, tmp_path):
+    kind = "review_id string, review_text string, drug_norm string"
+    calls = spark.sparkContext.accumulator(0)
+
+    def score(batch, attempt):
+        calls.add(len(batch))
+        if any(t == "broken" for t in batch):
+            raise ValueError("model call failed")
+        return [GOOD if t.startswith("good") or attempt == 2 else "junk" for t in batch]
+
+    def run(number, *texts_):
+        todo = spark.createDataFrame([(f"{number}-{i}", t, "d") for i, t in enumerate(texts_)], kind)
+        out = flows.score_attempts(todo, score, str(tmp_path / f"outputs-{number}"), cache=str(tmp_path / "cache"), batch=number)
+        found = {(r.report_id, r.attempt): (r.raw, r.cached) for r in out.collect()}
+        seen, calls.value = calls.value, 0
+        return found, seen
+
+    first, scored = run(0, "good a", "good a", "bad b", None)
+    assert scored == 3 and first["0-0", 1] == first["0-1", 1] == (GOOD, False) and first["0-2", 2] == (GOOD, False)
+    assert first["0-3", 1] == (None, False)
+    for _ in range(2):  # a batch that runs again scores what it scored, and replaces it in the store
+        second, scored = run(1, "good a", "bad b", "good c")
+        assert scored == 1 and second["1-0", 1] == (GOOD, True) and second["1-1", 1] == ("junk", True)
+        assert second["1-1", 2] == (GOOD, True) and second["1-2", 1] == (GOOD, False)
+    third, scored = run(2, "good c", "broken")
+    assert third["2-0", 1] == (GOOD, True) and third["2-1", 1] == (None, False)
+    assert run(3, "broken")[1] > 0  # no output was kept for it
+
+
+def test_cached_reviews_are_counted(spark, tmp_path):
+    signals = spark.createDataFrame([], SIGNALS)
+    terms = spark.createDataFrame([], "text string, mapped_term string, similarity double")
+    kind = "review_id string, review_text string, drug_norm string, has_ae_mention boolean"
+
+    def batch(*ids):
+        rows_ = spark.createDataFrame([(i, f"text {i[-1]}", "d", True) for i in ids], kind)
+        return flows.triage_flow(spark, rows_, str(tmp_path / "t"), lambda b, a: [GOOD] * len(b), signals, lambda o: terms)
+
+    assert reports.run_summary(batch("a1", "a2")).first().cached == 0
+    summary = reports.run_summary(batch("b1", "b3")).first()
+    assert (summary.n, summary.cached) == (2, 1)

@@ -68,6 +68,7 @@ oracle("pair_counts", """
     FROM case_drugs d JOIN case_reactions r ON d.caseid = r.caseid
     GROUP BY ALL HAVING count(DISTINCT d.caseid) >= 3""", *SIGNAL_VIEWS)
 oracle("signals", case_signals() + " SELECT * FROM signals", *SIGNAL_VIEWS)
+oracle("signal_flow", LOW + " SELECT * FROM signals", *SIGNAL_VIEWS)
 oracle("signals_rowlevel", f"""WITH counted AS (
         SELECT p.drug, p.reaction, p.a,
                (SELECT count(*) FROM case_rows w WHERE w.generic_drug = p.drug) AS nd,
@@ -478,15 +479,17 @@ oracle("term_map", f"""WITH {PARSED},
                row_number() OVER (PARTITION BY a.t ORDER BY round((1 + list_inner_product(q, e) / sqrt(list_inner_product(q, q) * list_inner_product(e, e))) / 2, 12) DESC, k.term) AS rk
              FROM asked a, known k) WHERE rk = 1)
     SELECT t AS text, CASE WHEN s >= 0.85 THEN term ELSE t END AS mapped_term, round(s, 3) AS similarity FROM best""", "outputs")
-oracle("triage_batch", LOW + """,
-    tried AS (SELECT review_id, drug_norm, CASE WHEN (length(review_text) + 1) % 5 < 2 THEN 1 WHEN (length(review_text) + 2) % 5 < 2 THEN 2
-                       WHEN (length(review_text) + 3) % 5 < 2 THEN 3 END AS hit FROM reviews WHERE has_ae_mention),
+HIT = """CASE WHEN (length(review_text) + 1) % 5 < 2 THEN 1 WHEN (length(review_text) + 2) % 5 < 2 THEN 2
+                       WHEN (length(review_text) + 3) % 5 < 2 THEN 3 END AS hit"""
+STAND_IN = """
     terms AS (SELECT 1 AS i, coalesce((SELECT mapped_term FROM term_map WHERE text = 'old bolt'), 'old bolt') AS pt,
                      coalesce((SELECT similarity FROM term_map WHERE text = 'old bolt'), 0.0::DOUBLE) AS score
               UNION ALL SELECT 2, coalesce((SELECT mapped_term FROM term_map WHERE text = 'red gear'), 'red gear'), 0.0),
     hits AS (SELECT count(*) AS n, max(prr) AS top, coalesce(string_agg(s.drug || '/' || s.reaction || '/' || prr, '|' ORDER BY i), '') AS found
              FROM terms JOIN signals s ON s.drug = 'Brand#3' AND lower(s.reaction) = lower(pt) WHERE is_signal),
-    flags AS (SELECT *, CASE WHEN top IS NULL THEN 'noise' WHEN top >= 10 THEN 'high' WHEN top >= 5 THEN 'medium' ELSE 'low' END AS flag FROM hits)
+    flags AS (SELECT *, CASE WHEN top IS NULL THEN 'noise' WHEN top >= 10 THEN 'high' WHEN top >= 5 THEN 'medium' ELSE 'low' END AS flag FROM hits)"""
+oracle("triage_batch", LOW + f""",
+    tried AS (SELECT review_id, drug_norm, {HIT} FROM reviews WHERE has_ae_mention),{STAND_IN}
     SELECT review_id, drug_norm, CASE WHEN hit IS NULL THEN '' ELSE (SELECT string_agg(pt, '|' ORDER BY i) FROM terms) END AS meddra_pts,
            CASE WHEN hit IS NULL THEN '' ELSE found END AS prr_signals, CASE WHEN hit IS NOT NULL THEN flag END AS signal_flag, hit IS NULL AS needs_human_review,
            'EXTRACTION:1,conf=' || CASE WHEN hit = 1 THEN '1.0,drugs=Brand#3|VALIDATION:conf=1.0' ELSE '0.0,drugs=none|VALIDATION:conf=0.0' END || ',retries=1'
@@ -496,6 +499,14 @@ oracle("triage_batch", LOW + """,
                    ELSE '|MAPPING:reactions=2,top_pt=' || (SELECT pt FROM terms WHERE i = 1) || ',top_score=' || (SELECT score FROM terms WHERE i = 1)
                         || '|SIGNAL_CHECK:signals=' || n || ',flag=' || flag || ',top_prr=' || printf('%.2f', round(coalesce(top, 0)::DECIMAL(18, 3), 2)::DOUBLE) END AS agent_trace
     FROM tried, flags""", "reviews", "term_map", *SIGNAL_VIEWS)
+oracle("cached_summary", LOW + f""",
+    delivered AS (SELECT review_text, FALSE AS same FROM reviews WHERE has_ae_mention
+             UNION ALL SELECT CASE WHEN n_chars % 2 = 0 THEN review_text ELSE review_text || '!' END, n_chars % 2 = 0 FROM reviews WHERE has_ae_mention),
+    tried AS (SELECT same, {HIT} FROM delivered),{STAND_IN}
+    SELECT count(*) AS n, count(hit) AS confident, count(*) - count(hit) AS human_flagged, count(hit) AS mapped, count(*) FILTER (same) AS cached,
+           {", ".join(f"count(*) FILTER (hit IS NOT NULL AND flag = '{f}') AS flag_{f}" for f in ("high", "medium", "low"))},
+           count(*) FILTER (hit IS NULL OR flag = 'noise') AS flag_noise, count(*) FILTER (hit IS NOT NULL AND flag <> 'noise') AS with_signals
+    FROM tried, flags""", "reviews", "term_map", *SIGNAL_VIEWS)
 oracle("latency_stats", """
     SELECT round(avg(extract_latency_ms), 3) AS avg_extract, round(avg(map_terms_latency_ms), 3) AS avg_map_terms,
            round(avg(signal_check_latency_ms), 3) AS avg_signal_check, max(extract_latency_ms) AS max_extract,

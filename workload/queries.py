@@ -131,6 +131,13 @@ def _looked_up(spark, d):
     return lookup.signal_lookup(_report_lists(spark, d), _stored_signals(spark, d), "p_partkey")
 
 
+@query
+def signal_flow(spark, d):
+    """Signals as a stored table, read back."""
+    stored, checked, _ = flows.signal_flow(*_report_tables(spark, d), scratch(spark, "flow"), CONTROLS, **LOW)
+    return stored.drop("computed_at")
+
+
 @query
 def signal_lookup(spark, d):
     hits = _looked_up(spark, d).select("p_partkey", F.posexplode("prr_signals").alias("pos", "s"))
@@ -491,21 +498,37 @@ def term_map(spark, d):
     return flows.term_map(view(spark, d, "outputs"), catalog.withColumnRenamed("text", "term"), embed, BRANDS)
 
 
-@query
-def triage_batch(spark, d):
-    """All event-mentioning reviews scored by a stand-in for a model, retried, and triaged."""
-    def score(batch, attempt):
-        good = '{"drugs": ["Brand#3"], "reactions": ["old bolt", "red gear"], "severity": "serious"}'
-        return [good if (len(t) + attempt) % 5 < 2 else "nothing" for t in batch]
+def _stand_in(batch, attempt):
+    """A stand-in for a model: decides by the length of the text and the attempt."""
+    good = '{"drugs": ["Brand#3"], "reactions": ["old bolt", "red gear"], "severity": "serious"}'
+    return [good if (len(t) + attempt) % 5 < 2 else "nothing" for t in batch]
+
 
+def _triaged(spark, d, out, *deliveries):
     terms = sinks.replace_table(view(spark, d, "term_map"), scratch(spark, "term_map"))
-    done = flows.triage_flow(
-        spark, view(spark, d, "reviews"), scratch(spark, "batch"), score, _stored_signals(spark, d),
-        lambda outputs: terms, BRANDS, limit=None,
-    )
+    signals = _stored_signals(spark, d)
+    for rows in deliveries:
+        done = flows.triage_flow(spark, rows, out, _stand_in, signals, lambda outputs: terms, BRANDS, limit=None)
+    return done
+
+
+@query
+def triage_batch(spark, d):
+    """All event-mentioning reviews scored, retried, and triaged."""
+    done = _triaged(spark, d, scratch(spark, "batch"), view(spark, d, "reviews"))
     return _flat(done).select("review_id", "drug_norm", "meddra_pts", "prr_signals", "signal_flag", "needs_human_review", "agent_trace")
 
 
+@query
+def cached_summary(spark, d):
+    """All reviews in two deliveries; the second brings each once more, half of them with another text."""
+    out, first = scratch(spark, "batches"), view(spark, d, "reviews")
+    again = first.withColumn("review_id", F.concat(F.lit("again-"), "review_id")).withColumn(
+        "review_text", F.when(F.col("n_chars") % 2 == 0, F.col("review_text")).otherwise(F.concat("review_text", F.lit("!"))))
+    _triaged(spark, d, out, first, first.unionByName(again))
+    return reports.run_summary(spark.read.parquet(f"{out}/results"))
+
+
 @query
 def latency_stats(spark, d):
     return reports.latency_stats(view(spark, d, "latencies"), digits=3)
