@@ -1,53 +1,105 @@
-"""Streaming triage of arriving model outputs into a versioned result table."""
+"""Streaming triage of arriving model outputs, with the open attempts of every report as keyed state."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from casewatch import constants as K
-from casewatch.operators.dedupe import keep_first
-from casewatch.sources.readers import union_all
-from casewatch.sources.sinks import append_version, current_rows, read_if_present
+from casewatch.operators.names import Vocabulary
+from casewatch.plans.triage import score_outputs
+from casewatch.sources.sinks import append_version
+
+HELD = "held string, done boolean"
+
+
+def decide(held: dict[int, list], min_confidence: float, max_attempts: int) -> int | None:
+    """The attempt that decides a report: the first confident one before which none is missing, or the last allowed one."""
+    for attempt in range(1, max_attempts + 1):
+        if attempt not in held:
+            return None
+        if held[attempt][0] >= min_confidence:
+            return attempt
+    return max_attempts
+
+
+def decided_attempts(
+    outputs: DataFrame, key: str = "report_id", vocabulary: Vocabulary = K.DRUG_KEYWORDS,
+    min_confidence: float = K.MIN_CONFIDENCE, max_attempts: int = K.MAX_ATTEMPTS, idle_ms: int | None = None,
+) -> DataFrame:
+    """The attempts of each report up to the deciding one, once that has arrived: (key, attempt, raw, drug_norm, cached).
+
+    ``outputs`` is a stream of (key, attempt, raw) and may have drug_norm and cached. The state of a report is at most
+    ``max_attempts`` attempts while it is open, and a mark once it is decided, by which repeats and late
+    attempts are dropped. Attempts may come in any order and more than once; of different rows for one attempt the
+    first to arrive counts, within a micro-batch the least. With ``idle_ms`` a report's state, open or
+    decided, is forgotten when nothing has arrived for it in that time; without, it stays.
+    """
+    extra = {"drug_norm": F.lit(None).cast("string"), "cached": F.lit(False)}
+    rows = outputs.where(F.col("attempt").between(1, max_attempts) & F.col(key).isNotNull())
+    rows = rows.withColumns({c: v for c, v in extra.items() if c not in rows.columns})
+    scored = score_outputs(rows, vocabulary).select(key, F.col("attempt").cast("int"), "raw", "drug_norm", "cached", "confidence")
+    columns = [key, "attempt", "raw", "drug_norm", "cached"]
+
+    def update(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known, done = state.get if state.exists else ("{}", False)
+        if not done:
+            held = {int(a): v for a, v in json.loads(known).items()}
+            new: dict[int, list] = {}
+            for batch in batches:
+                for a, raw, drug, cached, confidence in batch[["attempt", "raw", "drug_norm", "cached", "confidence"]].itertuples(index=False):
+                    row = [float(confidence), *(None if pd.isna(v) else v for v in (raw, drug)), bool(cached)]
+                    if int(a) not in held and (int(a) not in new or str(row) < str(new[int(a)])):
+                        new[int(a)] = row
+            held |= new
+            last = decide(held, min_confidence, max_attempts)
+            if last is not None:
+                used = range(1, last + 1)
+                yield pd.DataFrame({
+                    key: [name[0]] * last, "attempt": list(used), **{c: [held[a][i] for a in used] for i, c in enumerate(columns[2:], 1)}})
+            done = last is not None
+            state.update(("" if done else json.dumps(held), done))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+
+    out = f"`{key}` {scored.schema[key].dataType.simpleString()}, attempt int, raw string, drug_norm string, cached boolean"
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return scored.groupBy(key).applyInPandasWithState(update, out, HELD, "append", timeout)
 
 
 def stream_triage(
     spark: SparkSession, source: str, out: str, triage_batch: Callable[[DataFrame], DataFrame],
-    key: str = "report_id", files_per_batch: int | None = None, max_attempts: int = K.MAX_ATTEMPTS,
+    key: str = "report_id", files_per_batch: int | None = None, vocabulary: Vocabulary = K.DRUG_KEYWORDS, **rules,
 ) -> None:
     """Triage what has arrived in ``source`` since the last run, then stop.
 
-    Below ``out``: ``results`` and ``pending`` (the attempts at hand) with one version per
-    micro-batch, and the stream's ``checkpoint``. Reports that have a result are skipped, so a
-    repeated delivery counts once. Attempts of reports not decided yet wait, and join the next
-    batch; attempts beyond the allowed number are dropped on entry. A batch that is run again
-    after a failure replaces its own versions; none rewrites older ones.
+    Below ``out``: ``results`` with one version per micro-batch, and the stream's ``checkpoint`` with the state of
+    ``decided_attempts`` (``rules`` are its arguments). A micro-batch reads its new rows and the state of
+    their reports; no result table is read. Each report is triaged once, when it is decided. A batch that is
+    run again after a failure replaces its own version; none rewrites older ones.
     """
-    results, pending = f"{out.rstrip('/')}/results", f"{out.rstrip('/')}/pending"
+    out = out.rstrip("/")
     reader = spark.readStream.schema(spark.read.parquet(source).schema)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def run(batch: DataFrame, version: int) -> None:
-        batch = batch.where(batch["attempt"].between(1, max_attempts))
-        left_over = read_if_present(spark, f"{pending}/version={version - 1}")
-        if left_over is not None:
-            batch = union_all([left_over, batch])
-        done = read_if_present(spark, results)
-        if done is not None:
-            earlier = done.where(done["version"] < version).select(done["review_id"].alias(key))
-            batch = batch.join(earlier, key, "left_anti")
-        append_version(keep_first(batch, [key, "attempt"]), pending, version)
-        append_version(triage_batch(spark.read.parquet(f"{pending}/version={version}")), results, version)
+        append_version(triage_batch(batch), f"{out}/results", version)
 
     (
-        reader.parquet(source).writeStream.foreachBatch(run)
-        .option("checkpointLocation", f"{out.rstrip('/')}/checkpoint")
-        .trigger(availableNow=True).start().awaitTermination()
+        decided_attempts(reader.parquet(source), key, vocabulary, **rules).writeStream.foreachBatch(run)
+        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     )
 
 
 def stream_results(spark: SparkSession, out: str) -> DataFrame:
-    """The result table as it stands: the last write per review id."""
-    return current_rows(spark.read.parquet(f"{out.rstrip('/')}/results"), ["review_id"])
+    """The result table as it stands; a report has one row, as it is decided once."""
+    return spark.read.parquet(f"{out.rstrip('/')}/results").drop("version")

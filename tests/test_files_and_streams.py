@@ -1,5 +1,7 @@
 """Readers, writers, resumable ingest, streaming triage."""
 
+import random
+
 import pytest
 from conftest import rows
 
@@ -126,3 +128,25 @@ def test_streaming_triage_is_idempotent_and_waits_for_attempts(spark, tmp_path):
     assert third == {"1": (False, 4), "2": (False, 6), "3": (True, 7)}
     triage_stream.stream_triage(spark, source, out, lambda b: triage.triage(b, terms, signals))
     assert triage_stream.stream_results(spark, out).count() == 3
+
+
+def test_shuffled_repeated_and_late_deliveries_equal_the_batch(spark, tmp_path):
+    draw = random.Random(8)
+    good = '{"drugs": ["ibuprofen"], "reactions": ["a"], "severity": "serious"}'
+    data = [(f"r{i}", a, good if draw.random() < 0.3 else "junk") for i in range(40) for a in range(1, draw.randint(1, 3) + 1)]
+    kind = "report_id string, attempt int, raw string"
+    terms = spark.createDataFrame([("a", "A", 0.9)], "text string, mapped_term string, similarity double")
+    signals = spark.createDataFrame([], "drug string, reaction string, prr double, ror double, chi2 double, n_cases long, is_signal boolean, masking_warning boolean")
+    whole = rows(triage.triage(spark.createDataFrame(data, kind), terms, signals))
+    sent = data + draw.sample(data, 30) + [("r1", 4, good), (None, 1, good), ("r2", 0, good)]
+    draw.shuffle(sent)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for at in range(0, len(sent), 45):
+        spark.createDataFrame(sent[at : at + 45], kind).coalesce(1).write.mode("append").parquet(source)
+        triage_stream.stream_triage(spark, source, out, lambda b: triage.triage(b, terms, signals))
+    assert rows(triage_stream.stream_results(spark, out)) == whole
+
+
+@pytest.mark.parametrize("seen, want", [({}, None), ({2: 0.9}, None), ({1: 0.9}, 1), ({1: 0.1, 2: 0.75}, 2), ({1: 0.1, 3: 0.9}, None), ({1: 0, 2: 0, 3: 0}, 3)])
+def test_the_deciding_attempt(seen, want):
+    assert triage_stream.decide({a: [c] for a, c in seen.items()}, 0.75, 3) == want

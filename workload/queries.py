@@ -692,7 +692,7 @@ def stream_triage(spark, d):
     for delivery in ("attempt = 1", "attempt = 2", "attempt <> 2"):
         outputs.where(delivery).write.mode("append").parquet(source)
         triage_stream.stream_triage(
-            spark, source, out, lambda batch: triage.triage(batch, terms, known, BRANDS)
+            spark, source, out, lambda batch: triage.triage(batch, terms, known, BRANDS), vocabulary=BRANDS
         )
     return _flat(triage_stream.stream_results(spark, out))
 
