@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewatch.operators.ranks import ranked
+
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
     """One row per key: the first by ``order``, then by all other columns.
@@ -27,26 +29,15 @@ def latest_version(df: DataFrame, key: str = "caseid", version: str = "caseversi
     return keep_first(df, [key], [F.col(version).desc_nulls_last()])
 
 
-def number_within(df: DataFrame, key: str, term: str, out: str, head: int = 2) -> DataFrame:
+def number_within(df: DataFrame, key: str, term: str, out: str) -> DataFrame:
     """Number the rows of each key from 1 in the order of ``term``.
 
-    Terms must be unique within their key. Counting is in two steps, so that no key has to
-    be sorted in one task: rows are ranked within (key, first letters of the term), and the
-    sizes of the earlier letter groups are added.
+    Terms must be unique within their key. Rows are range-partitioned by key and term and ranked by
+    partition, so a key of any size spreads over tasks, whatever its terms look like.
     """
-    lettered = df.withColumn("_head", F.coalesce(F.substring(term, 1, head), F.lit("")))
-    sizes = lettered.groupBy(key, "_head").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy(key).orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        key, "_head", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before")
-    )
-    inside = Window.partitionBy(key, "_head").orderBy(F.col(term).asc_nulls_first())
-    return (
-        lettered.withColumn("_rank", F.row_number().over(inside))
-        .join(offsets, [key, "_head"])
-        .withColumn(out, (F.col("_before") + F.col("_rank")).cast("int"))
-        .drop("_head", "_rank", "_before")
-    )
+    rest = [c for c in df.columns if c != key]
+    numbered = ranked(df, key, [F.col(term).asc_nulls_first()], *rest, out=out, name="numbered")
+    return numbered.select(*df.columns, F.col(out).cast("int"))
 
 
 def upsert(base: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
