@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from casewatch import constants as K
 from casewatch.functions.scoring import disproportionality
+from casewatch.session import scratch
+from casewatch.sources.sinks import replace_table
 
 # A case with more terms than this on one side is cut into tiles of this size.
 TILE_TERMS = 500
@@ -22,41 +24,47 @@ def term_counts(terms: DataFrame, term: str, out: str) -> DataFrame:
     return terms.groupBy(term).agg(F.count(F.lit(1)).alias(out))
 
 
-def _large_cases(drugs: DataFrame, reactions: DataFrame, case: str, size: int) -> DataFrame:
-    """All cases above ``size`` terms on a side, and the tiles per side they are cut into.
+def large_cases(
+    drugs: DataFrame, reactions: DataFrame, drug: str, reaction: str, case: str = "caseid", size: int = TILE_TERMS
+) -> DataFrame | None:
+    """All cases with more than ``size`` rows on a side, and the tiles per side they are cut into; None if there is none.
 
-    Cases go by a hash, which is small to shuffle. Two cases of one hash cannot change the
-    pairs: both sides are cut by the same list, which only decides how the work is split.
+    Rows are counted as they come, repeats too: the list only decides how the work is split, so
+    it may name too many cases but never too few. Cases go by a hash, which is small to shuffle; two
+    cases of one hash cannot change the pairs either. The list is written, so that it joins by a known size.
     """
     key = F.xxhash64(case).alias("_case")
-    sides = drugs.select(key, F.lit(1).alias("_d"), F.lit(0).alias("_r")).unionAll(
-        reactions.select(key, F.lit(0), F.lit(1))
+    sides = drugs.where(F.col(drug).isNotNull()).select(key, F.lit(1).alias("_d"), F.lit(0).alias("_r")).unionAll(
+        reactions.where(F.col(reaction).isNotNull()).select(key, F.lit(0), F.lit(1))
     )
     counts = sides.groupBy("_case").agg(F.sum("_d").alias("_nd"), F.sum("_r").alias("_nr"))
-    most = F.greatest("_nd", "_nr")
 
     def tiles(n: str) -> Column:
         return F.greatest(F.ceil(F.col(n) / size), F.lit(1))
 
-    return counts.where(most > size).select(
+    found = counts.where(F.greatest("_nd", "_nr") > size).select(
         "_case", tiles("_nd").alias("_d_tiles"), tiles("_nr").alias("_r_tiles")
     )
+    found = replace_table(found, scratch(drugs.sparkSession, "large_cases"))
+    return None if found.isEmpty() else found
 
 
 def co_occurrence(
     drugs: DataFrame, reactions: DataFrame, drug: str, reaction: str, case: str = "caseid",
     tile_terms: int | None = TILE_TERMS,
 ) -> DataFrame:
-    """(drug, reaction) once per case that has both. Inputs are distinct (case, term) rows.
+    """(drug, reaction) once per case that has both; repeated rows and rows without a term do not count.
 
     A case with k drugs and m reactions makes k*m pairs. Large cases are cut on both sides,
     and each (drug tile, reaction tile) joins on its own, so their pairs spread over tasks;
-    all other cases have the one tile 0. Finding the large cases costs one more count
-    by case; None leaves it out, for data whose cases are known to be small.
+    all other cases have the one tile 0. Finding the large cases costs one count
+    by case; where there is none, the sides are joined by case alone. None leaves the search out, for data
+    whose cases are known to be small.
     """
-    if tile_terms is None:
+    large = None if tile_terms is None else large_cases(drugs, reactions, drug, reaction, case, tile_terms)
+    drugs, reactions = case_terms(drugs, drug, case), case_terms(reactions, reaction, case)
+    if large is None:
         return drugs.join(reactions, case).select(drug, reaction)
-    large = _large_cases(drugs, reactions, case, tile_terms)  # joined by its measured size
     d_tiles, r_tiles = F.col("_d_tiles"), F.col("_r_tiles")
 
     def tiled(terms: DataFrame, term: str, numbers: Column) -> DataFrame:
@@ -98,10 +106,7 @@ def pair_counts(
     case: str = "caseid", min_cases: int = K.MIN_CASES, tile_terms: int | None = TILE_TERMS,
 ) -> DataFrame:
     """Distinct cases per (drug, reaction) with at least ``min_cases`` of them."""
-    pairs = co_occurrence(
-        case_terms(drugs, drug, case), case_terms(reactions, reaction, case), drug, reaction, case,
-        tile_terms,
-    )
+    pairs = co_occurrence(drugs, reactions, drug, reaction, case, tile_terms)
     counts = pairs.groupBy(drug, reaction).agg(F.count(F.lit(1)).alias("n_cases"))
     return counts.where(F.col("n_cases") >= min_cases) if min_cases > 1 else counts
 
@@ -141,7 +146,7 @@ def signals(
     """
     d_terms, r_terms = case_terms(drugs, drug, case), case_terms(reactions, reaction, case)
     pairs = (
-        co_occurrence(d_terms, r_terms, drug, reaction, case, tile_terms)
+        co_occurrence(drugs, reactions, drug, reaction, case, tile_terms)
         .groupBy(drug, reaction).agg(F.count(F.lit(1)).alias("n_cases"))
     )
     if not include_insufficient:

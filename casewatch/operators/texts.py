@@ -7,29 +7,60 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casewatch.operators.dedupe import keep_first
 from casewatch.operators.keys import spread_nulls
 from casewatch.sources.sinks import read_if_present
 
-MENTIONS = "array<struct<entity_text: string, entity_label: string, start_char: int, end_char: int>>"
+def _in_word(ch: str) -> bool:
+    return ch.isalnum() or ch == "_"
 
 
-def _any_of(terms: Iterable[str]) -> str:
-    """Pattern for any of the terms, the longest first, with shared beginnings matched once."""
-    rest: dict[str, list[str]] = {}
-    whole = False
-    for term in terms:
-        if term:
-            rest.setdefault(term[0], []).append(term[1:])
-        else:
-            whole = True
-    ways = [re.escape(head) + _any_of(tails) for head, tails in rest.items()]
-    if whole:
-        ways.append(r"(?!(?<=\w)\w)")  # a term that ends in a word character ends the word
-    return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+class TermFinder:
+    """Left-to-right, non-overlapping, longest whole-word matches of (term, label) entries in a text.
+
+    Terms are filed under their first run of word characters. A text is read run by run, and only the terms
+    filed under the run are tried, the longest first, so the cost of a text does not grow with the number of
+    terms. A term that starts with another character is filed under that character.
+    """
+
+    def __init__(self, terms: Iterable[tuple[str, str]]):
+        labels = {term.lower(): label for term, label in reversed(list(terms)) if term}
+        filed: dict[str, list[str]] = {}
+        for term in labels:
+            filed.setdefault(re.match(r"\w+|\W", term)[0], []).append(term)
+        self.filed = {  # the term, its length, whether a word ends with it
+            first: [(t, len(t), _in_word(t[-1]), labels[t]) for t in sorted(some, key=len, reverse=True)]
+            for first, some in filed.items()
+        }
+        words = [first for first in filed if _in_word(first[0])]
+        others = "".join(re.escape(first) for first in filed if not _in_word(first))
+        # few first words are looked for themselves, which skips the rest of the text faster
+        run = "(?:" + "|".join(map(re.escape, words)) + r")(?!\w)" if 0 < len(words) <= 64 else r"\w+"
+        self.runs = re.compile(run + (f"|[{others}]" if others else "")).finditer
+
+    def find(self, text: str) -> Iterator[tuple[str, str, int, int]]:
+        """(text as written, label, start, end) of every match."""
+        lowered, at = text.lower(), 0
+        if len(lowered) != len(text):
+            # rare letters change length when lowered; keep positions of the original
+            lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        filed = self.filed
+        for run in self.runs(lowered):
+            entries = filed.get(run[0])
+            start = run.start()
+            if entries is None or start < at or (start and _in_word(lowered[start - 1])):
+                continue
+            for term, n, ends_word, label in entries:
+                end = start + n
+                if lowered.startswith(term, start) and not (ends_word and end < len(lowered) and _in_word(lowered[end])):
+                    yield text[start:end], label, start, end
+                    at = end
+                    break
 
 
 def mentions(
@@ -40,34 +71,32 @@ def mentions(
 
     Whole words, any case, left to right without overlap, longest term first; of two entries
     for a term the first counts. One pass over the text, whatever the number of terms.
-    Positions of every match are beyond the built-in functions, hence the Arrow function.
+    Positions of every match are beyond the built-in functions, hence the Arrow function; it writes
+    flat columns, and texts without a match leave nothing behind.
     """
-    labels = {term.lower(): label for term, label in reversed(terms)}
-    pattern = r"(?<!\w)" + _any_of(labels)
-
-    @F.pandas_udf(MENTIONS)
-    def find(texts: pd.Series) -> pd.Series:
-        import re
-
-        finder = re.compile(pattern).finditer
-
-        def scan(text: str | None) -> list[dict]:
-            lowered = (text or "").lower()
-            if len(lowered) != len(text or ""):
-                # rare letters change length when lowered; keep positions of the original
-                lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-            return [
-                {
-                    "entity_text": text[m.start() : m.end()], "entity_label": labels[m.group()],
-                    "start_char": m.start(), "end_char": m.end(),
-                }
-                for m in finder(lowered)
-            ]
-
-        return texts.map(scan)
-
-    found = df.select(id_col, find(F.col(text_col)).alias("_found"))
-    return found.select(id_col, F.inline("_found"))
+    finder = TermFinder(terms)
+    kind = df.select(id_col).schema[0].dataType
+    schema = T.StructType([
+        T.StructField(id_col, kind), T.StructField("entity_text", T.StringType()), T.StructField("entity_label", T.StringType()),
+        T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32()]
+        for batch in batches:
+            rows, found = [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                if text:
+                    hits = list(finder.find(text))
+                    found += hits
+                    rows += [row] * len(hits)
+            columns = zip(*found) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                names=schema.fieldNames(),
+            )
+
+    return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def score_texts(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from casewatch import constants as K
 from casewatch.plans import ingest
 from casewatch.sources.readers import discover_quarters, read_quarters
 from casewatch.sources.sinks import read_if_present, replace_table, stamped
@@ -19,30 +20,35 @@ def _marks(out: str) -> str:
 
 
 def run_stages(
-    spark: SparkSession, out: str, builders: Mapping[str, Callable[[], DataFrame]]
+    spark: SparkSession, out: str, builders: Mapping[str, Callable[[], DataFrame]], least: Mapping[str, int] | None = None
 ) -> list[str]:
     """Build each table that is not finished yet; returns the names of those built.
 
     A stage is finished once its mark, a one-row table with the row count, is written
-    after the table itself. An interrupted stage has no mark and is built again.
+    after the table itself. An interrupted stage has no mark and is built again. Rows are counted while
+    they are written; a stage with fewer than ``least`` rows ends the run and gets no mark.
     """
     built = []
     for name, build in builders.items():
         mark = f"{_marks(out)}/table_name={name}"
         if read_if_present(spark, mark) is None:
-            table = replace_table(build(), f"{out.rstrip('/')}/{name}")
-            replace_table(table.agg(F.count(F.lit(1)).alias("n")), mark)
+            seen = Observation(name)
+            replace_table(build().observe(seen, F.count(F.lit(1)).alias("n")), f"{out.rstrip('/')}/{name}")
+            n = seen.get["n"]
+            if n < (least or {}).get(name, 0):
+                raise ValueError(f"only {n} rows in {name}, expected at least {least[name]}")
+            replace_table(spark.createDataFrame([(n,)], "n long"), mark)
             built.append(name)
     return built
 
 
 def ingest_reports(
-    spark: SparkSession, raw: str, out: str, least: int | None = None, **drug_args
+    spark: SparkSession, raw: str, out: str, least: int = K.MIN_INGESTED_CASES, **drug_args
 ) -> list[str]:
     """Quarter folders to the tables cases, drugs and reactions below ``out``.
 
     Later stages read the stored cases, so a resumed run does not repeat finished work.
-    Seriousness comes from the outcome files where there are any.
+    Seriousness comes from the outcome files where there are any. Fewer than ``least`` cases end the run.
     """
     found = discover_quarters(spark, raw)
 
@@ -63,14 +69,11 @@ def ingest_reports(
         flagged = ingest.apply_seriousness(table, ingest.case_seriousness(outcomes))
         return stamped(flagged, "created_at")
 
-    built = run_stages(spark, out, {
+    return run_stages(spark, out, {
         "cases": cases,
         "drugs": lambda: ingest.build_drugs(need("DRUG"), stored_cases(), **drug_args),
         "reactions": lambda: ingest.build_reactions(need("REAC"), stored_cases()),
-    })
-    if least is not None:
-        ingest.require_rows(stage_status(spark, out).where("table_name = 'cases'"), "n", least)
-    return built
+    }, {"cases": least})
 
 
 def stage_status(spark: SparkSession, out: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Cleaning, keys, review flow, mentions, scoring and embedding hooks."""
 
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from conftest import rows
@@ -110,6 +112,47 @@ def test_mentions(spark, text, found):
     assert [tuple(r)[1:] for r in texts.mentions(df, MENTION_TERMS).collect()] == found
 
 
+def plain_mentions(text, terms):
+    labels = {t.lower(): label for t, label in reversed(terms)}
+    word = lambda ch: ch.isalnum() or ch == "_"
+    found, at = [], 0
+    while at < len(text):
+        if not (at and word(text[at - 1])):
+            fits = [t for t in labels if text.lower().startswith(t, at) and not (word(t[-1]) and text[at + len(t) : at + len(t) + 1].isalnum())]
+            fits = [t for t in fits if not (word(t[-1]) and text[at + len(t) : at + len(t) + 1] == "_")]
+            if fits:
+                best = max(fits, key=len)
+                found.append((text[at : at + len(best)], labels[best], at, at + len(best)))
+                at += len(best)
+                continue
+        at += 1
+    return found
+
+
+@pytest.mark.parametrize("n_terms", [4, 300])
+def test_term_finder_equals_a_plain_search(n_terms):
+    rng = random.Random(n_terms)
+    piece = lambda n: "".join(rng.choices("ab_+- 1", k=n))
+    terms = [(t, str(i)) for i, t in enumerate(piece(rng.randint(1, 5)) for _ in range(n_terms))]
+    finder = texts.TermFinder(terms)
+    for _ in range(300):
+        text = piece(rng.randint(0, 60)).upper()
+        assert list(finder.find(text)) == plain_mentions(text, terms), (text, terms)
+
+
+def test_many_terms_cost_what_few_cost():
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(20_000)]
+    text = " ".join(rng.choices(words, k=100_000))
+    took = []
+    for n in (100, 10_000):
+        finder = texts.TermFinder([(w + " zz", "X") for w in rng.sample(words, n)])
+        start = time.perf_counter()
+        assert not list(finder.find(text))
+        took.append(time.perf_counter() - start)
+    assert took[1] < 6 * took[0]
+
+
 def test_mention_coverage(spark):
     df = spark.createDataFrame([("1", "pain pain ibuprofen"), ("2", "pain")], "review_id string, review_text string")
     assert rows(reviews.mention_coverage(texts.mentions(df, MENTION_TERMS))) == [("CHEMICAL", 1, 1), ("DISEASE", 3, 2)]

@@ -352,6 +352,9 @@ oracle("mention_coverage", f"""WITH {MENTIONS}
     SELECT entity_label, count(*) AS total_entities, count(DISTINCT review_id) AS reviews_covered FROM found GROUP BY ALL""", "reviews")
 oracle("unprocessed", """
     SELECT review_id, drug_norm FROM reviews WHERE has_ae_mention AND review_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)""", "reviews")
+oracle("unprocessed_only", """
+    SELECT review_id, drug_norm FROM reviews WHERE has_ae_mention AND review_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)
+    AND review_id IN (SELECT CAST(conv_id AS VARCHAR) FROM conversations)""", "reviews")
 oracle("score_texts", """
     SELECT doc_id, length(text) || ':' || CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS VARCHAR) AS raw_output
     FROM documents""")
@@ -539,10 +542,15 @@ EVALUATED = TRIAGE + ", " + MENTIONS.replace("found AS", "heard AS") + f""",
 EVAL_VIEWS = (*TRIAGE_VIEWS, "label_rows", "reviews")
 oracle("eval_f1", EVALUATED + """
     SELECT review_id, round(drug_f1, 6) AS drug_f1, round(reaction_f1, 6) AS reaction_f1, round(baseline_f1, 6) AS baseline_f1 FROM f1s""", *EVAL_VIEWS)
-oracle("eval_accuracy", EVALUATED + """
+ACCURACY = (EVALUATED + """
     SELECT count(*) AS n_evaluated, round(avg(drug_f1), 3) AS drug_extraction_f1, round(avg(reaction_f1), 3) AS reaction_extraction_f1,
            round(avg(same::INT), 3) AS severity_accuracy, round(sum(np)::DOUBLE / sum(nr), 3) AS meddra_mapping_accuracy,
-           round(avg(baseline_f1), 3) AS baseline_drug_f1 FROM f1s""", *EVAL_VIEWS)
+           round(avg(baseline_f1), 3) AS baseline_drug_f1 FROM f1s""")
+for name in ("eval_accuracy", "metrics_json"):
+    oracle(name, ACCURACY, *EVAL_VIEWS)
+oracle("label_file", """
+    SELECT review_id, trim(drugs_gt) AS drugs_gt, reactions_gt, severity_gt,
+           length(regexp_replace(review_text_preview, '\\s', '', 'g')) AS n_solid FROM label_rows WHERE drugs_gt <> ''""", "label_rows")
 oracle("label_summary", """
     SELECT count(*) AS n_labels, count(*) FILTER (lower(severity_gt) = 'serious') AS n_serious,
            count(*) FILTER (lower(severity_gt) = 'non-serious') AS n_non_serious, count(*) FILTER (lower(severity_gt) = 'unknown') AS n_unknown,

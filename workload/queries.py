@@ -529,6 +529,14 @@ def cached_summary(spark, d):
     return reports.run_summary(spark.read.parquet(f"{out}/results"))
 
 
+@query
+def unprocessed_only(spark, d):
+    """Open reviews among listed ids: those of the conversations."""
+    done = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("review_id"))
+    listed = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("review_id")).distinct()
+    return reviews.unprocessed(view(spark, d, "reviews"), done, only=listed).select("review_id", "drug_norm")
+
+
 @query
 def latency_stats(spark, d):
     return reports.latency_stats(view(spark, d, "latencies"), digits=3)
@@ -537,7 +545,8 @@ def latency_stats(spark, d):
 # --- evaluation --------------------------------------------------------------------------
 
 def _evaluated(spark, d):
-    labels, results = view(spark, d, "label_rows"), _results(spark, d)
+    labels = view(spark, d, "label_rows")
+    results = sinks.replace_table(_results(spark, d), scratch(spark, "results"))  # read twice below
     found = texts.mentions(evaluate.labelled(view(spark, d, "reviews"), labels, results), TERMS)
     return evaluate.scored_rows(labels, results, evaluate.baseline_drugs(found))
 
@@ -559,6 +568,24 @@ def label_summary(spark, d):
     return evaluate.label_summary(labels.withColumn("severity_gt", F.lower("severity_gt")))
 
 
+@query
+def label_file(spark, d):
+    """Label rows written as CSV and read back."""
+    path = scratch(spark, "labels")
+    sinks.write_csv(view(spark, d, "label_rows"), path)
+    solid = F.length(F.regexp_replace("review_text_preview", "\\s", ""))
+    return readers.read_labels(spark, path).select(
+        "review_id", F.trim("drugs_gt").alias("drugs_gt"), "reactions_gt", "severity_gt", solid.alias("n_solid"))
+
+
+@query
+def metrics_json(spark, d):
+    """The evaluation's averages written as JSON and read back."""
+    path = scratch(spark, "metrics")
+    sinks.write_metrics(evaluate.evaluation(_evaluated(spark, d)), path)
+    return spark.read.json(path)
+
+
 @query
 def row_checks(spark, d):
     rows = view(spark, d, "reviews").withColumnRenamed("drug_norm", "drug_name").withColumn(
