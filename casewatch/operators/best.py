@@ -25,15 +25,18 @@ MAX_BROADCAST_BYTES = 256 << 20
 BLOCK_ROWS = 20_000
 
 
-def fits(catalog: DataFrame, row_bytes: Column, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
-    """Whether a catalog may be broadcast: its rows and their bytes are counted first."""
-    rows, held = catalog.agg(F.count(F.lit(1)), F.sum(row_bytes)).first()
-    return rows <= max_rows and (held or 0) <= max_bytes
+def measured(catalog: DataFrame, row_bytes: Column, *more: Column) -> tuple:
+    """Rows and bytes of a catalog, and ``more`` aggregates of the same pass, before a row of it moves."""
+    rows, held, *rest = catalog.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes), F.lit(0)), *more).first()
+    return rows, held, *rest
 
 
-def stream_past(left: DataFrame, catalog: DataFrame, prepare: Prepare, schema: T.StructType) -> DataFrame:
-    """Result rows of the left rows against a catalog that ``fits``."""
-    shared = left.sparkSession.sparkContext.broadcast(catalog.toPandas())
+def stream_past(left: DataFrame, catalog: DataFrame, key: str, prepare: Prepare, schema: T.StructType) -> DataFrame:
+    """Result rows of the left rows against a catalog of a measured size, which is broadcast."""
+    head = catalog.toPandas()
+    if head.empty:
+        return nothing(left, key, schema)
+    shared = left.sparkSession.sparkContext.broadcast(head)
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = prepare(shared.value)
@@ -66,17 +69,18 @@ def by_block(prepare: Prepare, schema: T.StructType) -> Callable[[pd.DataFrame,
 
 def best_partner(
     left: DataFrame, catalog: DataFrame, key: str, prepare: Prepare, schema: T.StructType,
-    row_bytes: Column, max_broadcast_rows: int = MAX_BROADCAST_ROWS, block_rows: int = BLOCK_ROWS,
+    rows: int, held: int, max_broadcast_rows: int = MAX_BROADCAST_ROWS, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """One result row per left row; ``key`` is unique on the left and part of ``schema``.
 
-    ``schema`` has the columns ``_score`` and ``_place``; see ``winners_first`` for the order.
+    ``schema`` has the columns ``_score`` and ``_place``; see ``winners_first`` for the order. ``rows`` and
+    ``held`` are the size of the catalog as ``measured``.
     """
-    if catalog.isEmpty():
+    if rows == 0:
         return nothing(left, key, schema)
-    if fits(catalog, row_bytes, max_broadcast_rows):
-        return stream_past(left, catalog, prepare, schema)
-    slices = -(-catalog.count() // block_rows)
+    if rows <= max_broadcast_rows and held <= MAX_BROADCAST_BYTES:
+        return stream_past(left, catalog, key, prepare, schema)
+    slices = -(-rows // block_rows)
     buckets = max(1, -(-left.count() // block_rows))
     left_blocks = left.select(
         "*", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_bucket"),

@@ -12,7 +12,16 @@ from pyspark.sql import types as T
 from casewatch import constants as K
 from casewatch.functions.lcs import RatioIndex
 from casewatch.functions.text import first_case, strip_salts
-from casewatch.operators.best import BLOCK_ROWS, MAX_BROADCAST_ROWS, by_block, fits, nothing, stream_past, winners_first
+from casewatch.operators.best import (
+    BLOCK_ROWS,
+    MAX_BROADCAST_BYTES,
+    MAX_BROADCAST_ROWS,
+    by_block,
+    measured,
+    nothing,
+    stream_past,
+    winners_first,
+)
 from casewatch.operators.dedupe import keep_first
 from casewatch.operators.keys import spread_nulls
 from casewatch.session import scratch
@@ -163,6 +172,8 @@ def _by_length(
     sliced = entries.groupBy("_band").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_slices"))
     sliced = replace_table(sliced, f"{base}/bands")
     lowest, highest = sliced.agg(F.min("_band"), F.max("_band")).first()
+    if lowest is None:
+        return nothing(open_names, column, schema)
     entries = entries.join(sliced, "_band").withColumn("_slice", F.pmod(F.xxhash64("display_name"), F.col("_slices")).cast("int")).drop("_slices")
     form = lambda number, text: F.struct(F.lit(number).alias("_form"), F.col(text).alias("_text"))
     both, one = F.array(form(1, "_full"), form(0, "_bare")), F.array(form(1, "_full"))
@@ -229,10 +240,10 @@ def fuzzy_match(
         T.StructField("rxcui", T.StringType()), T.StructField("_score", T.DoubleType()),
         T.StructField("_form", T.IntegerType()), T.StructField("_place", T.StringType()),
     ])
-    if entries.isEmpty():
-        scored = nothing(open_names, column, schema)
-    elif fits(lookup, F.octet_length(F.concat_ws("", "display_name", "generic_name", "rxcui")), max_lookup_rows):
-        scored = stream_past(open_names, entries, _best_entries(column), schema)
+    # measured on the lookup as it comes, of which the entries are a part
+    rows, held = measured(lookup, F.octet_length(F.concat_ws("", "display_name", "generic_name", "rxcui")))
+    if rows <= max_lookup_rows and held <= MAX_BROADCAST_BYTES:
+        scored = stream_past(open_names, entries, column, _best_entries(column), schema)
     else:
         scored = _by_length(open_names, entries, column, schema, threshold, block_rows)
     accepted = F.col("_score") >= threshold

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casewatch import constants as K
-from casewatch.operators.best import BLOCK_ROWS, MAX_BROADCAST_ROWS, best_partner
+from casewatch.operators.best import BLOCK_ROWS, MAX_BROADCAST_ROWS, best_partner, measured
 
 # Similarities held at once while a batch of queries meets the catalog.
 CELLS = 8_000_000
@@ -23,8 +23,8 @@ def nearest_term(
 
     Similarity is (1 + cosine) / 2, over every catalog entry, so the result is exact. Equal
     entries go by term. Blank text, or one without a vector, maps to itself with score 0; catalog
-    rows without a vector are no entries; vectors of different lengths end the search with an error before it
-    starts. Query texts are unique.
+    rows without a vector are no entries; catalog vectors of different lengths are an error before the
+    search starts, a query vector of another length one during it. Query texts are unique.
     """
     blank = F.col(text).isNull() | (F.trim(text) == "") | F.col(embedding).isNull()
     spoken = queries.where(~blank).select(text, F.col(embedding).cast("array<double>").alias("_vec"))
@@ -33,9 +33,10 @@ def nearest_term(
     ).where("_vec IS NOT NULL")
     text_type = queries.schema[text].dataType
     term_type = catalog.schema[term].dataType
-    sizes = [df.agg(F.min(F.size("_vec")), F.max(F.size("_vec"))).first() for df in (entries, spoken)]
-    if len({n for pair in sizes for n in pair if n is not None}) > 1:
-        raise ValueError(f"vectors differ in length: catalog {tuple(sizes[0])}, queries {tuple(sizes[1])} (least, most)")
+    dims = F.size("_vec")
+    rows, held, least, most = measured(entries, 8 * dims, F.min(dims), F.max(dims))
+    if least != most:
+        raise ValueError(f"catalog vectors have {least} to {most} numbers")
     schema = T.StructType([
         T.StructField(text, text_type), T.StructField("_score", T.DoubleType()),
         T.StructField("_place", term_type),
@@ -56,6 +57,8 @@ def nearest_term(
         def score(rows: pd.DataFrame) -> pd.DataFrame:
             if rows.empty:
                 return pd.DataFrame({text: [], "_score": [], "_place": []})
+            if (rows["_vec"].map(len) != len(known)).any():
+                raise ValueError(f"a query vector has not the {len(known)} numbers of the catalog's")
             asked, places, scores = unit(rows["_vec"]), [], []
             for start in range(0, len(rows), step):
                 # rounding makes equal entries tie, whatever order the products were summed in
@@ -70,7 +73,7 @@ def nearest_term(
 
         return score
 
-    best = best_partner(spoken, entries, text, prepare, schema, 8 * F.size("_vec"), max_catalog_rows, block_rows)
+    best = best_partner(spoken, entries, text, prepare, schema, rows, held, max_catalog_rows, block_rows)
     matched = F.when(F.col("_score") >= threshold, F.col("_place"))
     mapped = best.select(
         text, matched.alias("matched_term"),

@@ -6,11 +6,14 @@ import logging
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewatch import constants as K
 from casewatch.functions.text import first_case
+from casewatch.sources.quoted import read_quoted
 
 log = logging.getLogger(__name__)
 
@@ -98,21 +101,24 @@ def read_reviews(
 ) -> DataFrame:
     """The review files present, stacked, with ``source`` from the file name.
 
-    Quoted review text runs over line breaks, so a file is read by one task each; hand over
-    folders of part files where single files are large.
+    Quoted review text runs over line breaks; ``read_quoted`` still splits large files. A file that cannot
+    be opened is left out with a warning.
     """
     present = {
         row[0]
         for row in list_files(spark, folder)
         .select(F.regexp_extract("path", r"/(drugsCom[^/]+\.[ct]sv)(?:/[^/]+)?$", 1)).distinct().collect()
     }
-    frames = [
-        lower_names(
-            spark.read.option("sep", "\t" if name.endswith(".tsv") else ",").option("header", "true")
-            .option("multiLine", "true").option("escape", '"').csv(f"{folder.rstrip('/')}/{name}")
-        ).withColumn("source", F.lit(label))
-        for name, label in files if name in present
-    ]
+    frames = []
+    for name, label in files:
+        if name not in present:
+            continue
+        try:
+            read = read_quoted(spark, f"{folder.rstrip('/')}/{name}", "\t" if name.endswith(".tsv") else ",")
+        except (PySparkException, Py4JJavaError) as error:
+            log.warning("%s left out: %s", name, str(error).splitlines()[0])
+            continue
+        frames.append(lower_names(read).withColumn("source", F.lit(label)))
     if not frames:
         raise FileNotFoundError(f"no review files in {folder}")
     return union_all(frames)
@@ -129,9 +135,7 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Label rows that name at least one drug."""
-    df = (
-        spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
-    )
+    df = read_quoted(spark, path)
     return df.where(F.col("drugs_gt").isNotNull() & (F.col("drugs_gt") != ""))
 
 

@@ -7,6 +7,7 @@ import time
 
 import pytest
 from conftest import rows
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from casewatch import constants as K
@@ -221,3 +222,12 @@ def test_audit_column_and_partition_setting(spark):
     tune(spark, shuffle_bytes=1280 << 20)
     assert spark.conf.get("spark.sql.shuffle.partitions") == "10"
     spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_vectors_of_other_lengths_are_a_clear_error(spark):
+    kind = "term string, embedding array<double>"
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "text string, embedding array<double>")
+    with pytest.raises(ValueError, match="2 to 3 numbers"):
+        nearest.nearest_term(asked, spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0])], kind))
+    with pytest.raises(PySparkException, match="has not the 3 numbers"):
+        nearest.nearest_term(asked, spark.createDataFrame([("b", [1.0, 0.0, 0.0])], kind)).collect()
