@@ -110,3 +110,11 @@ class Memo(dict):
         value = self.old.get(key)
         value = self[key] = self.fill(key) if value is None else value
         return value
+
+
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` starts with, in any case: for helper columns beside a user's."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewatch.llm.common import row_key, stored
+from casewatch.llm.common import free_prefix, row_key, stored
 
 KINDS = ["email", "ip", "card", "phone"]
 # A run that no @ follows holds no email at any start within it, so starts inside a run are skipped;
@@ -168,25 +168,27 @@ def report(docs: DataFrame, **args) -> DataFrame:
 def redacted(docs: DataFrame, **args) -> DataFrame:
     """The documents with every span replaced by ``[KIND]``; their own columns, ``n_chars`` brought up to date.
 
-    Overlapping spans become one, named after the first.
+    Overlapping spans become one, named after the first. A null text stays null; repeated rows stay as many; columns
+    keep whatever names they have; an empty table gives none.
     """
+    own = free_prefix(docs)
+    k1, k2, every, new = (f"{own}{c}" for c in ("k1", "k2", "all", "new"))
     spans = spans_of(docs, **args).where((F.size("base") > 0) | (F.size("found") > 0)).select(
         "k1", "k2", F.concat("base", "found").alias("all")).groupBy("k1", "k2").agg(F.first("all").alias("all"))
     order = F.array_sort(F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({"__k1": row_key_of(docs), "__k2": F.hash(text, "doc_id")})
-    spans = spans.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), order.alias("__all"))
+    keyed = docs.withColumns({k1: row_key_of(docs), k2: F.hash(text, "doc_id")})
+    spans = spans.select(F.col("k1").alias(k1), F.col("k2").alias(k2), order.alias(every))
     step = lambda s, x: F.struct(
         F.when(x["start"] < s["at"], s["out"]).otherwise(
             F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
         ).alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
-    cut = F.aggregate("__all", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step,
+    cut = F.aggregate(every, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step,
                       lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    new = F.when(F.col("__all").isNotNull(), cut).otherwise(F.col("text"))
-    out = keyed.join(spans, ["__k1", "__k2"], "left").withColumn("__new", new)
-    size = {"n_chars": F.when(F.col("__all").isNotNull(), F.length("__new").cast("long")).otherwise(F.col("n_chars"))}
+    out = keyed.join(spans, [k1, k2], "left").withColumn(new, F.when(F.col(every).isNotNull(), cut).otherwise(F.col("text")))
+    size = {"n_chars": F.when(F.col(every).isNotNull(), F.length(new).cast("long")).otherwise(F.col("n_chars"))}
     out = out.withColumns(size) if "n_chars" in docs.columns else out
-    return out.withColumn("text", F.col("__new")).select(*docs.columns)
+    return out.withColumn("text", F.col(new)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def row_key_of(docs: DataFrame) -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewatch.llm.common import row_key, stored
+from casewatch.llm.common import free_prefix, row_key, stored
 
 LIMIT = 20  # distinct documents of a host that may share a line
 LEAST_LEFT = 0.5  # share of a document's words that must be left
@@ -113,16 +113,18 @@ def kept_documents(docs: DataFrame, host: str = "source", **args) -> DataFrame:
     filtered: a filter on ``kept`` would otherwise be pushed into the base measures and compute their
     arrays anew for every element.
     """
-    use = docs.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__host", F.col(host))
+    own = free_prefix(docs)
+    text, home, k1, k2, common, new = (f"{own}{c}" for c in ("text", "host", "k1", "k2", "common", "new"))
+    use = docs.withColumn(text, F.coalesce("text", F.lit(""))).withColumn(home, F.col(host))
     verdict = stored(rules(docs, host, **args).select("k1", "k2", "kept", "common"), "verdicts")
-    verdict = verdict.where("kept").groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.first("common").alias("__common"))
-    keys = use.withColumn("__k1", row_key("doc_id", "__host", "__text")).withColumn("__k2", F.hash("doc_id", "__text", "__host"))
-    stays = lambda x: ~F.array_contains("__common", line_hash(line_words(x)))
+    verdict = verdict.where("kept").groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.first("common").alias(common))
+    keys = use.withColumn(k1, row_key("doc_id", home, text)).withColumn(k2, F.hash("doc_id", text, home))
+    stays = lambda x: ~F.array_contains(common, line_hash(line_words(x)))
     left = F.array_join(F.filter(F.split("text", "\n"), stays), "\n")
-    out = keys.join(verdict, ["__k1", "__k2"]).withColumn("__new", F.when(F.col("__common").isNotNull(), left).otherwise(F.col("text")))
-    size = {"n_chars": F.when(F.col("__common").isNotNull(), F.length("__new").cast("long")).otherwise(F.col("n_chars"))}
+    out = keys.join(verdict, [k1, k2]).withColumn(new, F.when(F.col(common).isNotNull(), left).otherwise(F.col("text")))
+    size = {"n_chars": F.when(F.col(common).isNotNull(), F.length(new).cast("long")).otherwise(F.col("n_chars"))}
     out = out.withColumns(size) if "n_chars" in docs.columns else out
-    return out.withColumn("text", F.col("__new")).select(*docs.columns)
+    return out.withColumn("text", F.col(new)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -130,8 +132,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def oracle(table: str = "documents", host: str = "source", limit: int = LIMIT, least_left: float = LEAST_LEFT) -> str:
-    """For DuckDB, over rows with distinct ids. It still counts documents by the least hash among their other
-    lines: the same result where that decides no line differently."""
+    """The same rules in SQL, for DuckDB, over rows with distinct ids."""
     blank = "chr(9) || chr(11) || chr(12) || chr(13)"
     return f"""
 WITH docs AS (SELECT doc_id, {host} AS host, coalesce(text, '') AS text FROM {table}),
@@ -144,11 +145,12 @@ rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([i, i
 base AS (SELECT doc_id, len(w) AS n_words, length(translate(text, {blank} || chr(10) || ' ', '')) AS word_chars,
     length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM w),
-l0 AS (SELECT doc_id, host, unnest(string_split(translate(text, '{UPPER}' || {blank}, '{LOWER}' || '    '), chr(10))) AS l FROM docs),
-l1 AS (SELECT doc_id, host, list_filter(string_split(l, ' '), lambda x: x <> '') AS x FROM l0),
-l2 AS (SELECT doc_id, host, md5(array_to_string(x, ' ')) AS line, len(x) AS n FROM l1 WHERE len(x) > 0),
-least2 AS (SELECT doc_id, list_sort(list_distinct(list(line)))[1:2] AS m FROM l2 GROUP BY doc_id),
-l3 AS (SELECT l2.*, CASE WHEN m[1] = line THEN coalesce(m[2], '-') ELSE m[1] END AS text_id FROM l2 JOIN least2 USING (doc_id)),
+cut AS (SELECT doc_id, host, string_split(translate(text, '{UPPER}' || {blank}, '{LOWER}' || '    '), chr(10)) AS ls FROM docs),
+l0 AS (SELECT doc_id, host, unnest(ls) AS l, unnest(range(len(ls))) AS pos FROM cut),
+l1 AS (SELECT doc_id, host, pos, list_filter(string_split(l, ' '), lambda x: x <> '') AS x FROM l0),
+l2 AS (SELECT doc_id, host, pos, md5(array_to_string(x, ' ')) AS line, len(x) AS n FROM l1 WHERE len(x) > 0),
+ids AS (SELECT doc_id, md5(string_agg(line, ',' ORDER BY pos)) AS text_id FROM l2 GROUP BY doc_id),
+l3 AS (SELECT l2.*, text_id FROM l2 JOIN ids USING (doc_id)),
 common AS (SELECT host, line FROM l3 GROUP BY host, line HAVING count(DISTINCT text_id) > {limit}),
 removed AS (SELECT doc_id, sum(n) AS n FROM l3 JOIN common ON l3.line = common.line AND l3.host IS NOT DISTINCT FROM common.host
     GROUP BY doc_id)

@@ -1,4 +1,5 @@
 import duckdb
+import pytest
 from casewatch.llm import line_rules
 
 PROSE = " ".join(f"w{i}" for i in range(60))
@@ -58,12 +59,25 @@ def test_common_lines_leave_the_text(spark):
     assert got == sorted([(i, t, len(t)) for i, t in enumerate(own)] + [(0, own[0], len(own[0])), (50, rows[-1][1], 9)])
 
 
-def test_sql_over_repeated_words(spark):
-    rows = [(i, " ".join(f"w{(i * j * j) % 11}" for j in range(i)), f"s{i % 3}") for i in range(80)]
+def test_clashing_names_survive(spark):
+    docs = spark.createDataFrame([(1, PROSE, "a", "x", "y", 5)], "doc_id long, text string, source string, __text string, ___host string, __k1 int")
+    kept = line_rules.kept_documents(docs)
+    assert kept.columns == docs.columns and kept.collect() == docs.collect()
+
+
+line = lambda c, i: f"{c}{i} {c}{i + 1} {c}{i + 2}"
+TEMPLATE = [(d, "\n".join([line("s", i) for i in range(10)] + [line(f"d{d}x", i) for i in range(40)]), "h") for d in range(30)]
+COPIES = [(100 + d, TEMPLATE[d % 2][1].upper(), "other") for d in range(30)]
+REPEATED = [(i, " ".join(f"w{(i * j * j) % 11}" for j in range(i)), f"s{i % 3}") for i in range(80)]
+
+
+@pytest.mark.parametrize("rows, limit", [(REPEATED, 1), (TEMPLATE + COPIES, 20), (TEMPLATE + COPIES, 1)])
+def test_sql_gives_the_same(spark, rows, limit):
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
-    cursor = con.execute(line_rules.oracle(limit=1))
+    cursor = con.execute(line_rules.oracle(limit=limit))
     names = [d[0] for d in cursor.description]
-    got = run(spark, rows, limit=1)
+    got = run(spark, rows, limit=limit)
+    assert rows is REPEATED or any(r.n_removed_words for r in got.values())
     assert {r[0]: r for r in cursor.fetchall()} == {d: tuple(r[n] for n in names) for d, r in got.items()}
