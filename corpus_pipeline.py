@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewatch.llm import contextual_pii, decontaminate, line_rules, pieces, signature_join
-from casewatch.llm.common import row_key, stored, table
+from casewatch.llm.common import free_prefix, row_key, stored, table
 from casewatch.session import tune
 
 
@@ -16,13 +16,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; a row that repeats a document stays once."""
-    found = signature_join.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(found, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    key = "__row"
-    while key in docs.columns:
-        key += "_"
-    return left.withColumn(key, row_key("doc_id", "text")).dropDuplicates([key]).select(*docs.columns)
+    """One document of each group of near duplicates, that with the smallest id; a row that repeats a document stays once.
+
+    A document is an id with a text: it goes into the search under a key of both, so of two texts under one id only
+    the one that repeats another document leaves. A null id comes after all others; documents without words repeat
+    nothing; empty tables give none; columns keep whatever names they have.
+    """
+    key = free_prefix(docs) + "row"
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
+    groups = signature_join.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias(key), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("key"))
+    stays = groups.join(keyed.select(key, "doc_id").distinct(), key).groupBy("component_id").agg(F.min(order)["key"].alias(key))
+    return keyed.join(stays, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
