@@ -29,3 +29,12 @@ def test_whole_run(spark):
     near = brute.near_components(rows, 5, 80)
     kept = {r.doc_id for r in out}
     assert len({near[d][1] for d in kept}) == len(kept)  # no two of one group
+
+
+def test_two_texts_of_one_id(spark):
+    rows = [(1, WORDS[0] + " more"), (2, WORDS[1]), (2, WORDS[0]), (2, WORDS[1]), (3, None), (3, None)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, gone int, __row string")
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in out.collect()) == [(1, rows[0][1]), (2, WORDS[1]), (3, "")]
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), SF).count() == 0
