@@ -16,13 +16,14 @@ import os
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewatch.llm.common import Memo, emit, parts, per_batch, raw
+from casewatch.llm.common import emit, parts, per_batch, raw
 from casewatch.session import scratch
 
 MAGIC, BLOCK = b"DACF", 512
@@ -114,28 +115,59 @@ class Codes:
 class WordCoder:
     """Ids of whole texts by a vocabulary that never joins across white space.
 
-    Each word is encoded once and remembered. Texts are cut at ASCII white space only, which the
-    vocabulary drops; anything else stays inside the word that the library gets.
+    Texts are cut at ASCII white space only, which the vocabulary drops; anything else stays inside the word
+    that the library gets. The words of a batch are numbered first; only its distinct words are looked
+    up, and only those not remembered go to the library. Two generations of at most about ``most`` words are remembered.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 300_000, together: int = 4096):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.coder = Tokenizer.from_file(path)
-        self.memo = Memo(lambda w: self.code([w])[0], most)
+        self.coder, self.most, self.together = Tokenizer.from_file(path), most, together
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def code(self, words: list[bytes]) -> list[bytes]:
-        found = self.coder.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        """The ids of distinct words, 4 bytes each."""
+        coded = list(map(self.known.get, words))
+        missing = [i for i, ids in enumerate(coded) if ids is None]
+        if self.older and missing:
+            for i, ids in zip(missing, map(self.older.get, map(words.__getitem__, missing))):
+                coded[i] = ids
+            self.known.update((words[i], coded[i]) for i in missing if coded[i] is not None)
+            missing = [i for i in missing if coded[i] is None]
+        for at in range(0, len(missing), self.together):
+            some = missing[at : at + self.together]
+            found = self.coder.encode_batch([words[i].decode() for i in some], add_special_tokens=False)
+            ids = [e.ids for e in found]
+            sizes = 4 * np.cumsum([0, *map(len, ids)])
+            flat = np.fromiter(chain.from_iterable(ids), "<u4", sizes[-1] // 4).tobytes()
+            for i, (a, b) in zip(some, pairwise(sizes.tolist())):
+                coded[i] = self.known[words[i]] = flat[a:b]
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        return coded
+
+    def column(self, texts: list[bytes], end: bytes = b"") -> pa.Array:
+        """The ids of each text, and ``end`` behind them, as a binary column."""
+        if not texts:
+            return pa.array([], pa.binary())
+        split = [t.split() for t in texts]
+        sizes = np.cumsum([0, *(len(words) + 1 for words in split)])
+        for words in split:
+            words.append(b"")  # no word is empty: this one stands for the end
+        words = pa.array(list(chain.from_iterable(split)), pa.binary()).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        place = distinct.index(b"")
+        coded = self.code(distinct[:place] + distinct[place + 1 :])
+        coded.insert(place, end)
+        ids = pa.array(coded, pa.binary()).take(words.indices)
+        bounds = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)[sizes]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), ids.buffers()[2]])
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        memo = self.memo
-        unseen = list({w for words in split for w in words} - memo.keys() - memo.old.keys())
-        for word, ids in zip(unseen, self.code(unseen)):  # many words in one call of the library
-            memo.old[word] = ids
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+        return self.column(texts).to_pylist()
 
 
 @lru_cache(maxsize=2)
@@ -177,7 +209,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batch):
-        ids = [x + end for x in coder(path)(raw(batch, "text"))]
+        ids = coder(path).column(raw(batch, "text"), end)
         doc = batch.column("doc_id")
         bucket = np.searchsorted(cuts, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right")
         yield emit(coded, bucket=bucket.astype(np.int32), doc_id=doc, ids=ids)
