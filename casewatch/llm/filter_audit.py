@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewatch.llm.common import stored
+
 FILTERS = "ABCDE"
 MEASURES = ("n", "good", "toxic")
 STATES = "part string, subset int, n long, good long, toxic long"
@@ -43,7 +45,7 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marked = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
     rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), mask.alias("mask"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    rows = rows.groupBy("doc_id", "digest", "part", "mask").agg(F.count(F.lit(1)).alias("n"))
+    rows = stored(rows.groupBy("doc_id", "digest", "part", "mask").agg(F.count(F.lit(1)).alias("n")), "masks")  # texts are read once
     rows = rows.join(marked, "doc_id", "left").select("doc_id", "digest", "part", "mask", "n", *[(F.coalesce(c, F.lit(0)) * F.col("n")).alias(c) for c in ("good", "toxic")])
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     firsts = rows.join(first, ["digest", "doc_id"], "left_semi")
