@@ -44,8 +44,15 @@ class Shelf:
 
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(df)][0])
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.paths[id(df)][0])
+
+    def clear(self) -> None:
+        """Delete all tables of the job."""
+        self._delete(self.base)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parts(spark: SparkSession, n_bytes: int, each: int) -> int:

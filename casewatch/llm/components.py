@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewatch.llm.common import stored
+from casewatch.llm.common import Shelf
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, shelf: Shelf | None = None) -> DataFrame:
     """``node``, ``root`` (the smallest node reachable) for every node of ``edges`` (a, b).
 
     Alternates large-star and small-star steps until the edges are a forest of stars, in about
     log(n) rounds. Minima are aggregated before each shuffle and hot nodes are split by the
-    adaptive skew join; each round is a written table, so no lineage grows and nothing is collected
-    but whether the edges are stars. Loops and null ends are left out; no edges give no rows.
+    adaptive skew join; each round is a written table (on ``shelf``, one of its own if none is given) that
+    replaces the one before, so no lineage grows and nothing is collected but whether the edges are
+    stars. Loops and null ends are left out; no edges give no rows.
     """
-    now = stored(
+    shelf = shelf or Shelf(edges.sparkSession, "components")
+    now = shelf.put(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
     while True:
@@ -35,4 +37,5 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))
         )
-        now = stored(small.where("u <> v").distinct(), "edges")
+        before, now = now, shelf.put(small.where("u <> v").distinct(), "edges")
+        shelf.drop(before)

@@ -10,9 +10,13 @@
    counts the lists in which the two meet, takes for each class the pivots it meets most often,
    counts the collisions of such a pair over all coordinates, and confirms what passes on the full
    shingle sets. Confirmed pairs unite classes; a list whose classes are all in one component is
-   finished. So a group of n near copies costs n comparisons a round, never n squared. When the
-   pairs that are left across components are few, or a round has hardly made them fewer, all of
-   them are compared, which makes the components exact.
+   finished. So a group of n near copies costs n comparisons a round, never n squared.
+4. What a few rounds leave open is settled exactly. Short lists give all their pairs. In a longer
+   list every class is known by its difference from the list's pivot, the shingles that only one of
+   the two has. Linked classes differ little from each other, so unless both are linked with the
+   pivot, their differences have much in common (see ``across``); classes meet under the rarest
+   shingles of their differences alone. Copies that were changed at random share too few, and
+   leave without a comparison, however many they are.
 """
 
 from __future__ import annotations
@@ -25,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewatch.llm.common import Memo, emit, lists, pieces_of, raw, stored
+from casewatch.llm.common import Memo, Shelf, emit, lists, pieces_of, raw, stored
 from casewatch.llm.components import components
 
 COORDINATES = 32
 MISSED = 1e-7
-ROUNDS = 24  # each but the last has left a fifth fewer pairs open
+ROUNDS = 4
 TRIED = 4  # pivots a class is compared with in a round; the others' turn comes in later rounds
-FEW = 8  # pairs for each row of a posting list that are compared without another round
+SHORT = 8  # classes of a list whose pairs are all compared: at most three and a half for each of its rows
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -150,6 +154,56 @@ def confirmed(pairs: DataFrame, described: DataFrame, percent: int, least: int)
     )
 
 
+def across(left: DataFrame, lists_: DataFrame, described: DataFrame, percent: int, shelf: Shelf) -> DataFrame:
+    """The pairs (a, b) to compare so that no link between components is missed.
+
+    ``left`` has key, node, root; ``lists_`` has key, n and pivot of the lists to settle. Let D(x) be
+    the shingles in which x differs from the pivot p, and c = (100 - percent) / (100 + percent). Sets x and y are
+    linked just if they differ in no more than c(|x| + |y|) shingles, and they differ in
+    |D(x)| + |D(y)| - 2 |D(x) & D(y)|. If both are linked with p they are in one component. If not, D(x) and
+    D(y) have o >= (|D(x)| + |D(y)| - c(|x| + |y|)) / 2 > 0 shingles in common, all of them among those that
+    classes of several components differ in. With these sorted by frequency, the first common one
+    has o of either class's shingles at or after it, which bounds its place in both: closely in the smaller
+    of the two differences, where it is rare.
+    """
+    less, more = F.lit(100 - percent), F.lit(100 + percent)
+    few = left.join(lists_.where(F.col("n") <= SHORT).select("key"), "key", "left_semi")
+    x, y = (few.select("key", F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in "ab")
+    pairs = x.join(y, "key").where("a < b AND a_root <> b_root").select("a", "b")
+
+    many = left.join(lists_.where(F.col("n") > SHORT).select("key", "pivot"), "key").where("node <> pivot")
+    many = many.select("node", "root", "pivot").distinct()
+    sets = described.select("node", "shingles")
+    many = many.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("of_pivot")), "pivot")
+    many = many.select(
+        "node", "root", "pivot", F.size("shingles").alias("size"), F.size("of_pivot").alias("pivot_size"),
+        F.array_union(F.array_except("shingles", "of_pivot"), F.array_except("of_pivot", "shingles")).alias("apart"),
+    )
+    many = shelf.put(many.withColumn("n", F.size("apart")).withColumn(
+        "linked", F.col("n") * more <= less * (F.col("size") + F.col("pivot_size"))), "apart")
+    linked = many.where("linked").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+
+    rows = many.select("node", "root", "pivot", "size", "pivot_size", "n", "linked", F.explode("apart").alias("s"))
+    common = rows.groupBy("pivot", "s").agg(
+        F.count("*").alias("often"), F.min("root").alias("low"), F.max("root").alias("high"), F.every("linked").alias("all")
+    ).where("low <> high AND NOT all").select("pivot", "s", "often")
+    rows = rows.join(common, ["pivot", "s"]).groupBy("node", "root", "pivot", "size", "pivot_size", "n", "linked").agg(
+        F.sort_array(F.collect_list(F.struct("often", "s"))).alias("shared"))
+    rows = rows.select("*", F.posexplode("shared").alias("at", "e")).withColumn("rest", F.size("shared") - F.col("at"))
+    rest, n, size = F.col("rest"), F.col("n"), F.col("size")
+    half = 2 * more * rest >= more * n + less * (F.col("pivot_size") - size)  # the other is not linked with the pivot
+    rows = rows.where((percent * (n - rest) <= less * size) & (~F.col("linked") | half))
+    rows = shelf.put(rows.select("pivot", F.col("e.s").alias("s"), "node", "root", "size", "n", "linked", "rest"), "posted")
+    side = lambda x, df: df.select("pivot", "s", *[F.col(c).alias(f"{x}_{c}") for c in rows.columns[2:]])
+    low, high = side("x", rows.where(2 * percent * (n - rest) <= less * size)), side("y", rows)
+    need = (F.col("x_n") + F.col("y_n")) * more - less * (F.col("x_size") + F.col("y_size"))
+    met = low.join(high, ["pivot", "s"]).where(
+        (F.struct("x_n", "x_node") < F.struct("y_n", "y_node")) & (F.col("x_root") != F.col("y_root"))
+        & ~(F.col("x_linked") & F.col("y_linked")) & (2 * more * F.least("x_rest", "y_rest") >= need))
+    met = met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+    return pairs.unionByName(linked).unionByName(met)
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, rounds: int = ROUNDS
 ) -> DataFrame:
@@ -166,32 +220,30 @@ def near_duplicates(
     rows = stored(describe(docs, width, coordinates), "signatures")
     use = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = use.groupBy("h1", "h2").agg(F.min_by("signature", "doc_id").alias("signature"), F.min("doc_id").alias("node"))
-    lists_ = stored(postings(classes.select("node", "signature"), least), "postings")
+    base = Shelf(docs.sparkSession, "lists")
+    lists_ = base.put(postings(classes.select("node", "signature"), least), "postings")
     nodes = lists_.select("node").distinct()
     texts = docs.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi")
     signed = rows.select(F.col("doc_id").alias("node"), "n_shingles", "signature").join(nodes, "node", "left_semi")
-    described = stored(full_sets(texts, width).join(signed, "node"), "sets")
+    described = base.put(full_sets(texts, width).join(signed, "node"), "sets")
 
-    labels, turn, before = None, 0, None
-    left = lists_.withColumn("root", F.col("node"))
-    while True:
+    labels, left, done = None, lists_.withColumn("root", F.col("node")), None
+    for turn in range(rounds + 1):
+        shelf = Shelf(docs.sparkSession, "round")
         if labels is not None:  # only lists that were open before, each round written once
             known = left.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            left = stored(known.select("key", "node", "weight", "root"), "left")
-        by_root = left.groupBy("key", "root").agg(F.count("*").alias("n"))
+            left = shelf.put(known.select("key", "node", "weight", "root"), "left")
+        heavy = F.struct(-F.col("weight"), "node")
+        by_root = left.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("node", heavy).alias("pivot"))
         by_key = by_root.groupBy("key").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("roots")
+            F.sum("n").alias("n"), F.count("*").alias("roots"), F.min_by("pivot", F.struct(-F.col("n"), "root")).alias("pivot")
         ).where("roots > 1")
-        by_key = stored(by_key, "open")
-        work = by_key.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs")).first()
-        if not work["rows"]:
+        by_key = shelf.put(by_key, "open")
+        if by_key.isEmpty():
             break
         left = left.join(by_key.select("key"), "key", "left_semi")
-        settled = before is not None and work["pairs"] > 0.8 * before  # what is left does not belong together
-        last, before = turn >= rounds or settled or work["pairs"] <= FEW * work["rows"], work["pairs"]
-        if last:
-            x, y = (left.select("key", F.col("node").alias(n), F.col("root").alias(f"{n}_root")) for n in "ab")
-            pairs = x.join(y, "key").where("a < b AND a_root <> b_root").select("a", "b")
+        if turn == rounds:
+            pairs = across(left, by_key, described, percent, shelf)
         else:
             order = F.struct(F.col("weight") * (turn % 2 - 1), F.xxhash64("node", F.lit(turn)))  # the heaviest and any in turn
             pivot = left.groupBy("key").agg(F.min_by(F.struct("node", "root"), order).alias("p"))
@@ -204,10 +256,11 @@ def near_duplicates(
         found = confirmed(pairs.distinct(), described, percent, least)
         if labels is not None:  # what is known, as a forest of stars
             found = found.unionByName(labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-        labels = components(stored(found, "links"))
-        turn += 1
-        if last:
-            break
+        labels = components(shelf.put(found, "links"), shelf)
+        if done is not None:
+            done.clear()
+        done = shelf
+    base.clear()
 
     out = rows.join(
         classes.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "node"),

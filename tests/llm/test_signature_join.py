@@ -69,3 +69,37 @@ def test_threshold_leaves_a_wide_margin():
         k = sj.threshold(float(similarity))
         fewer = [sum(comb(32, i) * similarity**i * (1 - similarity) ** (32 - i) for i in range(n)) for n in (k, k + 1)]
         assert fewer[0] <= sj.MISSED < fewer[1]
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+@pytest.mark.parametrize("words", [2, 10**6])
+def test_copies_around_the_threshold_in_one_large_group(spark, words, rounds):
+    rng = random.Random(words)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(80):
+        text = base[: rng.randrange(70, 91)]
+        for _ in range(rng.randrange(0, 9)):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(words)}"
+        rows += [(2 * i, " ".join(text))]
+        text[-1] = "end"
+        rows += [(2 * i + 1, " ".join(text))] if i % 3 == 0 else []
+    got = run(spark, rows, width=3, percent=85, rounds=rounds)
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute.near_components(rows, 3, 85)
+
+
+def test_changed_copies_leave_without_a_comparison(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 200):  # ten words of its own in each: no two are linked
+        text = [*base]
+        for at in rng.sample(range(120), 10):
+            text[at] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    compared = []
+    plain = sj.confirmed
+    monkeypatch.setattr(sj, "confirmed", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
+    got = run(spark, rows, width=3, percent=85, rounds=0)
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute.near_components(rows, 3, 85)
+    assert sum(compared) < 200 * 199 / 2 / 10
