@@ -35,13 +35,17 @@ class Shelf:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.paths = spark, scratch(spark, name), {}
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """``by``: columns whose values get folders of their own."""
         path = f"{self.base}/{len(self.paths)}-{name}"
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(kept)] = (path, kept)
         return kept
 
+    def path(self, df: DataFrame) -> str:
+        return self.paths[id(df)][0]
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             self._delete(self.paths[id(df)][0])
@@ -55,6 +59,15 @@ class Shelf:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def arrow_uri(spark: SparkSession, path: str) -> str:
+    """A path as Spark resolves it, in the form that Arrow reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    scheme, _, rest = full.partition(":")
+    scheme = "s3" if scheme in ("s3a", "s3n") else scheme
+    return f"{scheme}://" + (rest[2:] if rest.startswith("//") else rest)
+
+
 def parts(spark: SparkSession, n_bytes: int, each: int) -> int:
     """Partitions for so many bytes, no fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes or 0) // each))

@@ -3,7 +3,7 @@
 Texts are read once into chunks: the documents of a map task as numbers into the chunk's own word
 list. Everything that grows with the vocabulary stays in distributed tables; a chunk gets the
 parameters of its own words only, from a file of the shared folder written for it, so no vocabulary
-is broadcast or collected and no text is shuffled.
+is broadcast or collected and no text is shuffled. A round deletes what the round before it wrote.
 
 Training is Baum-Welch: each task adds up the expected transitions and emissions of its chunk,
 Spark sums them over all chunks, and the sums are the next parameters. A word that training saw at
@@ -16,7 +16,7 @@ proper probability. Scoring runs the scaled forward recursion over each whole te
 
 from __future__ import annotations
 
-import uuid
+import random
 import zlib
 from math import log2
 
@@ -26,8 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewatch.llm.common import emit, pieces_of, raw, stored
-from casewatch.session import scratch
+from casewatch.llm.common import Shelf, arrow_uri, emit, pieces_of, raw, stored
 
 STATES = 4
 ROUNDS = 4
@@ -38,9 +37,9 @@ CHUNK = 16 << 20  # bytes of text in a chunk
 END = b"\n"  # no word holds white space
 
 CHUNKS = pa.schema([(n, t) for n, t in (
-    ("chunk", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())),
+    ("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())),
     ("ids", pa.binary()), ("words", pa.binary()))])
-CHUNKS_SQL = "chunk string, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, words binary"
+CHUNKS_SQL = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, words binary"
 
 
 def held_out(doc_id) -> bool:
@@ -60,7 +59,7 @@ def chunks(docs: DataFrame) -> DataFrame:
 
         def flush():
             words = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
-            return emit(CHUNKS, chunk=[uuid.uuid4().hex], doc_ids=[docs_], held=[[held_out(d) for d in docs_]],
+            return emit(CHUNKS, chunk=[random.SystemRandom().getrandbits(63)], doc_ids=[docs_], held=[[held_out(d) for d in docs_]],
                         lengths=[[len(x) for x in ids]], ids=[np.concatenate(ids).astype("<u4").tobytes()], words=[words.tobytes()])
 
         for batch in pieces_of(batches, 128):
@@ -100,7 +99,7 @@ def _each(batches):
 
 def counts(held: DataFrame) -> DataFrame:
     """chunk, at (number in the chunk), word, c (in the chunk's training documents)."""
-    out = pa.schema([("chunk", pa.string()), ("at", pa.int32()), ("word", pa.int64()), ("c", pa.int64())])
+    out = pa.schema([("chunk", pa.int64()), ("at", pa.int32()), ("word", pa.int64()), ("c", pa.int64())])
 
     def run(batches):
         for x in _each(batches):
@@ -109,24 +108,28 @@ def counts(held: DataFrame) -> DataFrame:
                 some = slice(lo, lo + 50_000)
                 yield emit(out, chunk=[x.name] * len(c[some]), at=np.arange(len(c))[some], word=x.words[some], c=c[some])
 
-    return held.mapInArrow(run, "chunk string, at int, word long, c long")
+    return held.mapInArrow(run, "chunk long, at int, word long, c long")
 
 
-def filed(rows: DataFrame, name: str) -> str:
-    """Write rows by chunk, each chunk's below a folder of its own."""
-    path = scratch(rows.sparkSession, name)
-    rows.repartition("chunk").write.partitionBy("chunk").parquet(path)
-    return path
+def filed(rows: DataFrame, shelf: Shelf, name: str) -> tuple[str, DataFrame]:
+    """Write rows by chunk, each chunk's below a folder of its own; where Arrow finds them, and the table."""
+    kept = shelf.put(rows.repartition("chunk"), name, "chunk")
+    return arrow_uri(rows.sparkSession, shelf.path(kept)), kept
 
 
-def fetched(path: str, chunk: str) -> pa.Table:
-    """The rows filed for a chunk."""
+def fetched(uri: str, chunk: int, n: int) -> pa.Table:
+    """The ``n`` rows filed for a chunk; an error if they are not all there."""
     from pyarrow.fs import FileSelector, FileSystem
     from pyarrow.parquet import read_table
 
-    fs, root = FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    files = [f.path for f in fs.get_file_info(FileSelector(f"{root}/chunk={chunk}", allow_not_found=True)) if f.path.endswith(".parquet")]
-    return pa.concat_tables([read_table(f, filesystem=fs, partitioning=None) for f in files]) if files else pa.table({})
+    if not n:
+        return pa.table({})
+    fs, root = FileSystem.from_uri(uri)
+    files = [f.path for f in fs.get_file_info(FileSelector(f"{root}/chunk={chunk}")) if f.path.endswith(".parquet")]
+    got = pa.concat_tables([read_table(f, filesystem=fs, partitioning=None) for f in files])
+    if got.num_rows != n:
+        raise OSError(f"{uri}/chunk={chunk} holds {got.num_rows} of {n} rows")
+    return got
 
 
 def symbol_of(c: np.ndarray, frequent: int) -> np.ndarray:
@@ -218,11 +221,12 @@ def score(
     classes = int(log2(frequent)) + 2 if frequent > 1 else 1
     held = stored(chunks(docs), "chunks")
     local = counts(held)
-    total = stored(local.groupBy("word").agg(F.sum("c").alias("c")), "counts")
+    shelf = Shelf(spark, "rounds")
+    total = shelf.put(local.groupBy("word").agg(F.sum("c").alias("c")), "counts")
     size = total.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_train, types = int(size["n"]), int(size["v"])
     mass = float(n_train + types + 1)
-    filed_counts = filed(local.select("chunk", "at", "word").join(total, "word").select("chunk", "at", "word", "c"), "counts-by-chunk")
+    filed_counts, _ = filed(local.select("chunk", "at", "word").join(total, "word").select("chunk", "at", "c"), Shelf(spark, "counts"), "by-chunk")
     level = F.floor(F.log2(F.col("c"))).cast("int") + 1
     rare = {r["k"]: (r["n"], r["m"]) for r in total.where((F.col("c") > 0) & (F.col("c") < frequent)).groupBy(level.alias("k")).agg(
         F.count("*").alias("n"), F.sum(F.col("c") + 1).alias("m")).collect()}  # a row for each power of two below ``frequent``
@@ -236,7 +240,7 @@ def score(
     start = np.full(states, 1 / states)
     moves = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)  # states begin as lasting ones
     unigram = often.select("word", ((F.col("c") + 1) / mass).alias("p"))
-    frequent_rows = stored(local.select("chunk", "at", "word").join(often.select("word"), "word", "left_semi"), "frequent")
+    frequent_rows = shelf.put(local.select("chunk", "at", "word").join(often.select("word"), "word", "left_semi"), "frequent")
     out = pa.schema([("kind", pa.int32()), ("word", pa.int64()), *[(f"e{s}", pa.float64()) for s in range(states)]])
     columns = [f"e{s}" for s in range(states)]
 
@@ -251,22 +255,23 @@ def score(
 
     def emissions(x: Chunk, path_counts: str, path: str, by_class: np.ndarray):
         """For each of the chunk's words: count, symbol (frequent words after the classes), emission, class share."""
-        got = fetched(path_counts, x.name)
+        got = fetched(path_counts, x.name, len(x.words))
         c = np.zeros(len(x.words), np.int64)
-        if got.num_rows:
-            c[got.column("at").to_numpy()] = got.column("c").to_numpy()
+        c[got.column("at").to_numpy()] = got.column("c").to_numpy()
         symbol = symbol_of(c, frequent)
         table = np.zeros((len(c), states))
         table[symbol >= 0] = by_class[symbol[symbol >= 0]]
-        got = fetched(path, x.name)
+        got = fetched(path, x.name, int((symbol < 0).sum()))
         if got.num_rows:
             table[got.column("at").to_numpy()] = np.stack([got.column(n).to_numpy() for n in columns], 1)
         share = np.where(symbol >= 0, (c + 1) / np.maximum(shared[np.maximum(symbol, 0)], 1), 1.0)
         return c, symbol, table, share
 
+    before = None  # the sums of the round before
     for turn in range(rounds + 1):
         by_word, by_class = parameters(sums, class_sums, back_off)
-        path = filed(frequent_rows.join(by_word, "word").drop("word"), f"emissions-{turn}")
+        own_shelf = Shelf(spark, "emissions") if turn == rounds else shelf  # the last are still to be read
+        path, filed_rows = filed(frequent_rows.join(by_word, "word").drop("word"), own_shelf, "emissions")
         if turn == rounds:
             break
 
@@ -289,7 +294,9 @@ def score(
                 yield emit(out, kind=kind, word=[*range(classes), *range(states), 0], **{f"e{s}": few[:, s] for s in range(states)})
 
         kinds = "kind int, word long, " + ", ".join(f"{c} double" for c in columns)
-        added = stored(held.mapInArrow(count, kinds).groupBy("kind", "word").agg(*[F.sum(c).alias(c) for c in columns]), "sums")
+        added = shelf.put(held.mapInArrow(count, kinds).groupBy("kind", "word").agg(*[F.sum(c).alias(c) for c in columns]), "sums")
+        shelf.drop(filed_rows, *([before] if before is not None else []))
+        before = added
         sums = added.where("kind = 0").drop("kind")
         few = {(r["kind"], r["word"]): [r[c] for c in columns] for r in added.where("kind > 0").collect()}  # classes and states only
         row = lambda k, w: few.get((k, w), [0.0] * states)
@@ -299,6 +306,7 @@ def score(
         start = np.array(row(3, 0)) + 1
         start /= start.sum()
 
+    shelf.clear()
     made = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                       ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
