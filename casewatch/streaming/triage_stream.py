@@ -34,16 +34,41 @@ def decided_attempts(
 ) -> DataFrame:
     """The attempts of each report up to the deciding one, once that has arrived: (key, attempt, raw, drug_norm, cached).
 
-    ``outputs`` is a stream of (key, attempt, raw) and may have drug_norm and cached. The state of a report is at most
-    ``max_attempts`` attempts while it is open, and a mark once it is decided, by which repeats and late
-    attempts are dropped. Attempts may come in any order and more than once; of different rows for one attempt the
-    first to arrive counts, within a micro-batch the least. With ``idle_ms`` a report's state, open or
-    decided, is forgotten when nothing has arrived for it in that time; without, it stays.
+    ``outputs`` is a stream of (key, attempt, raw) and may have drug_norm and cached. Attempts may come in any order
+    and more than once; of different rows for one attempt the first to arrive counts, within a micro-batch the
+    least. The state of a report is one row for each of its ``max_attempts`` attempts, kept by a streaming
+    aggregation; the query runs in update mode. With ``idle_ms`` a report's state, open or decided, is forgotten when
+    nothing has arrived for it in that time; it is then kept by a function with timers, which costs
+    milliseconds a report. Without, it stays.
     """
     extra = {"drug_norm": F.lit(None).cast("string"), "cached": F.lit(False)}
     rows = outputs.where(F.col("attempt").between(1, max_attempts) & F.col(key).isNotNull())
     rows = rows.withColumns({c: v for c, v in extra.items() if c not in rows.columns})
     scored = score_outputs(rows, vocabulary).select(key, F.col("attempt").cast("int"), "raw", "drug_norm", "cached", "confidence")
+    if idle_ms is not None:
+        return _until_idle(scored, key, min_confidence, max_attempts, idle_ms)
+
+    # a batch has one time, also when it is run again; what is decided never changes after its last attempt arrived
+    now = F.current_timestamp()
+    row = F.struct("arrived", "confidence", "raw", "drug_norm", F.coalesce("cached", F.lit(False)).alias("cached"))
+    numbers = range(1, max_attempts + 1)
+    held = scored.withColumn("arrived", now).groupBy(key).agg(*[F.min(F.when(F.col("attempt") == i, row)).alias(f"_{i}") for i in numbers])
+    # null as soon as an attempt is missing, as for ``decide``
+    last = F.lit(max_attempts)
+    for i in reversed(numbers):
+        confident = F.col(f"_{i}.confidence") >= min_confidence
+        last = F.when(F.col(f"_{i}").isNull(), F.lit(None)).when(confident, F.lit(i)).otherwise(last)
+    used = held.withColumn("_last", last).where("_last is not null").select(
+        key, F.slice(F.array(*[f"_{i}" for i in numbers]), 1, F.col("_last")).alias("_used"), now.alias("_now")
+    )
+    fresh = used.where(F.exists("_used", lambda t: t["arrived"] == F.col("_now")))
+    return fresh.select(key, F.posexplode("_used").alias("_at", "_try")).select(
+        key, (F.col("_at") + 1).alias("attempt"), "_try.raw", "_try.drug_norm", "_try.cached"
+    )
+
+
+def _until_idle(scored: DataFrame, key: str, min_confidence: float, max_attempts: int, idle_ms: int) -> DataFrame:
+    """The same for state that is forgotten: the attempts of an open report, or a mark once it is decided."""
     columns = [key, "attempt", "raw", "drug_norm", "cached"]
 
     def update(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -67,12 +92,10 @@ def decided_attempts(
                     key: [name[0]] * last, "attempt": list(used), **{c: [held[a][i] for a in used] for i, c in enumerate(columns[2:], 1)}})
             done = last is not None
             state.update(("" if done else json.dumps(held), done))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
+        state.setTimeoutDuration(idle_ms)
 
     out = f"`{key}` {scored.schema[key].dataType.simpleString()}, attempt int, raw string, drug_norm string, cached boolean"
-    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return scored.groupBy(key).applyInPandasWithState(update, out, HELD, "append", timeout)
+    return scored.groupBy(key).applyInPandasWithState(update, out, HELD, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def stream_triage(
@@ -92,10 +115,14 @@ def stream_triage(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def run(batch: DataFrame, version: int) -> None:
-        append_version(triage_batch(batch), f"{out}/results", version)
+        batch.persist()  # triage reads it more than once; each reading would update the state again
+        try:
+            append_version(triage_batch(batch), f"{out}/results", version)
+        finally:
+            batch.unpersist()
 
     (
-        decided_attempts(reader.parquet(source), key, vocabulary, **rules).writeStream.foreachBatch(run)
+        decided_attempts(reader.parquet(source), key, vocabulary, **rules).writeStream.outputMode("update").foreachBatch(run)
         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     )
 

@@ -151,3 +151,21 @@ def test_shuffled_repeated_and_late_deliveries_equal_the_batch(spark, tmp_path):
 @pytest.mark.parametrize("seen, want", [({}, None), ({2: 0.9}, None), ({1: 0.9}, 1), ({1: 0.1, 2: 0.75}, 2), ({1: 0.1, 3: 0.9}, None), ({1: 0, 2: 0, 3: 0}, 3)])
 def test_the_deciding_attempt(seen, want):
     assert triage_stream.decide({a: [c] for a, c in seen.items()}, 0.75, 3) == want
+
+
+def test_stream_state_is_updated_once_a_batch_and_keeps_the_first_arrival(spark, tmp_path):
+    good = '{"drugs": ["ibuprofen"], "reactions": ["a"], "severity": "serious"}'
+    source, out, seen = str(tmp_path / "in"), str(tmp_path / "out"), []
+
+    def keep(batch):
+        seen.append(batch.is_cached)
+        return batch
+
+    for data in ([("1", 2, good), ("2", 1, "junk")], [("1", 2, "late"), ("2", 1, good)], [("1", 1, "junk"), ("2", 2, good)], [("1", 1, good), ("2", 3, good)]):
+        spark.createDataFrame(data, "report_id string, attempt int, raw string").coalesce(1).write.mode("append").parquet(source)
+        triage_stream.stream_triage(spark, source, out, keep)
+    assert rows(triage_stream.stream_results(spark, out).select("report_id", "attempt", "raw")) == [
+        ("1", 1, "junk"), ("1", 2, good), ("2", 1, "junk"), ("2", 2, good)]
+    assert seen and all(seen)
+    arrivals = spark.readStream.schema("report_id string, attempt int, raw string").parquet(source)
+    assert "Pandas" not in triage_stream.decided_attempts(arrivals)._jdf.queryExecution().analyzed().toString()
