@@ -11,7 +11,11 @@ from casewatch import constants as K
 from casewatch.operators.best import BLOCK_ROWS, MAX_BROADCAST_ROWS, best_partner, measured
 
 # Similarities held at once while a batch of queries meets the catalog.
-CELLS = 8_000_000
+CELLS = 2_000_000
+# Numbers of a catalog that is broadcast; each Python worker holds them twice.
+MAX_CATALOG_BYTES = 32 << 20
+# Twice what rounding to 12 places can move (1 + cosine) / 2, as a cosine: only cells this near the highest are rounded.
+NEAR = 4e-12
 
 
 def nearest_term(
@@ -50,6 +54,22 @@ def nearest_term(
             norms = np.linalg.norm(rows, axis=1, keepdims=True)
             return rows / np.where(norms == 0, 1.0, norms)
 
+        def rounded(cosines):
+            return np.round((1.0 + cosines) / 2.0, 12)
+
+        def nearest(cosines):
+            # rounding makes equal entries tie, whatever order the products were summed in
+            top = cosines.max(axis=1)
+            if np.isnan(top).any():
+                near = rounded(cosines)
+                place = near.argmax(axis=1)
+                return place, near[np.arange(len(place)), place]
+            best = rounded(top)
+            row, at = np.nonzero(cosines >= (top - NEAR)[:, None])
+            ties = rounded(cosines[row, at]) == best[row]
+            _, first = np.unique(row[ties], return_index=True)
+            return at[ties][first], best
+
         part = part.sort_values("_term", ignore_index=True)
         known, terms = unit(part["_vec"]).T, part["_term"].to_numpy()
         step = max(1, CELLS // len(part))
@@ -61,11 +81,9 @@ def nearest_term(
                 raise ValueError(f"a query vector has not the {len(known)} numbers of the catalog's")
             asked, places, scores = unit(rows["_vec"]), [], []
             for start in range(0, len(rows), step):
-                # rounding makes equal entries tie, whatever order the products were summed in
-                near = np.round((1.0 + asked[start : start + step] @ known) / 2.0, 12)
-                place = near.argmax(axis=1)
+                place, best = nearest(asked[start : start + step] @ known)
                 places.append(place)
-                scores.append(near[np.arange(len(place)), place])
+                scores.append(best)
             return pd.DataFrame({
                 text: rows[text].to_numpy(), "_score": np.concatenate(scores),
                 "_place": terms[np.concatenate(places)],
@@ -73,7 +91,7 @@ def nearest_term(
 
         return score
 
-    best = best_partner(spoken, entries, text, prepare, schema, rows, held, max_catalog_rows, block_rows)
+    best = best_partner(spoken, entries, text, prepare, schema, rows, held, max_catalog_rows, block_rows, MAX_CATALOG_BYTES)
     matched = F.when(F.col("_score") >= threshold, F.col("_place"))
     mapped = best.select(
         text, matched.alias("matched_term"),

@@ -231,3 +231,22 @@ def test_vectors_of_other_lengths_are_a_clear_error(spark):
         nearest.nearest_term(asked, spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0, 0.0])], kind))
     with pytest.raises(PySparkException, match="has not the 3 numbers"):
         nearest.nearest_term(asked, spark.createDataFrame([("b", [1.0, 0.0, 0.0])], kind)).collect()
+
+
+def test_a_large_vector_catalog_meets_the_queries_as_stored_blocks(spark, monkeypatch):
+    import numpy as np
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    draw = np.random.default_rng(5)
+    vectors = draw.integers(-2, 3, (60, 3)).astype(float).tolist()  # many equal and parallel ones
+    catalog = spark.createDataFrame([(f"t{i}", v) for i, v in enumerate(vectors)], "term string, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(f"q{i}", v) for i, v in enumerate(draw.integers(-2, 3, (50, 3)).astype(float).tolist())], "text string, embedding array<double>")
+    want = nearest.nearest_term(asked, catalog)
+    assert "CartesianProduct" not in plan(want)
+    small = nearest.nearest_term(asked, catalog, max_catalog_rows=0, block_rows=7)
+    assert "CartesianProduct" in plan(small) and "Generate" not in plan(small)
+    assert rows(small) == rows(want)
+    monkeypatch.setattr(nearest, "MAX_CATALOG_BYTES", 60 * 24 - 1)
+    assert "CartesianProduct" in plan(nearest.nearest_term(asked, catalog))
