@@ -99,9 +99,19 @@ def mentions(
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def with_hash(df: DataFrame, text_col: str = "review_text") -> DataFrame:
+    """With ``_hash``, the SHA-256 of the text; rows without a text have keys of their own."""
+    return df.withColumn("_hash", spread_nulls(F.sha2(F.col(text_col), 256), *df.columns))
+
+
+def distinct_texts(hashed: DataFrame, text_col: str = "review_text") -> DataFrame:
+    """(``_hash``, ``_text``), one row a text; copies are combined before the shuffle."""
+    return hashed.where(F.col(text_col).isNotNull()).groupBy("_hash").agg(F.first(text_col).alias("_text"))
+
+
 def score_texts(
     df: DataFrame, score: Callable[[list[str]], list[str]], text_col: str = "review_text",
-    out: str = "raw_output", store: OutputStore | None = None,
+    out: str = "raw_output", store: OutputStore | None = None, unique: DataFrame | None = None,
 ) -> DataFrame:
     """Add the output of ``score`` for each text, scoring identical texts once.
 
@@ -112,11 +122,15 @@ def score_texts(
 
     With a ``store``, texts it holds from earlier batches are not scored again, new outputs are
     added to it, and a column ``cached`` says which rows came from it.
+
+    With ``unique``, as by ``distinct_texts``, ``df`` has ``_hash`` and needs no text column: of the unique texts
+    those of its rows are scored.
     """
-    hashed = df.withColumn("_hash", spread_nulls(F.sha2(F.col(text_col), 256), *df.columns))
-    unique = hashed.where(F.col(text_col).isNotNull()).groupBy("_hash").agg(
-        F.first(text_col).alias("_text")
-    )
+    if unique is None:
+        hashed = with_hash(df, text_col)
+        unique = distinct_texts(hashed, text_col)
+    else:
+        hashed, unique = df, unique.join(df.select("_hash"), "_hash", "left_semi")
 
     def alone(text: str) -> str | None:
         try:

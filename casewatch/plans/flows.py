@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,27 +75,38 @@ def review_flow(
 def score_attempts(
     todo: DataFrame, score: Score, out: str, vocabulary: names.Vocabulary = K.DRUG_KEYWORDS,
     min_confidence: float = K.MIN_CONFIDENCE, max_attempts: int = K.MAX_ATTEMPTS,
-    cache: str | None = None, batch: int = 0,
+    cache: str | None = None, batch: int = 0, delivered: DataFrame | None = None,
 ) -> DataFrame:
     """Raw outputs (report_id, drug_norm, raw, cached, attempt) of reviews (review_id, review_text, drug_norm).
 
     ``score(texts, attempt)`` is a user's function. Each attempt is stored before the next,
     which scores only the reviews whose output fell short: nothing is scored twice. ``cache`` is
     the folder of an ``OutputStore``: what an earlier ``batch`` scored at the same attempt is taken from there.
+
+    The texts are shuffled once, by their hash, and kept for all attempts; other joins move ids and hashes only.
+    ``delivered`` is a table with ``_hash`` that holds the texts of ``todo``: they are then taken from there, so that the
+    joins that made ``todo`` move no texts either.
     """
     spark = todo.sparkSession
+    hashed = todo if delivered is not None else texts.with_hash(todo)
+    every = hashed.select("review_id", "drug_norm", "_hash").persist(StorageLevel.DISK_ONLY)
+    unique = texts.distinct_texts(hashed if delivered is None else delivered)
+    unique = unique.join(every.select("_hash"), "_hash", "left_semi").persist(StorageLevel.DISK_ONLY)
+    todo = every
     for attempt in range(1, max_attempts + 1):
         def run(batch: list[str], attempt: int = attempt) -> list[str]:
             return score(batch, attempt)
 
         store = texts.OutputStore(cache, batch, attempt) if cache else None
-        rows = texts.score_texts(todo, run, store=store).select(
+        rows = texts.score_texts(todo, run, store=store, unique=unique).select(
             F.col("review_id").alias("report_id"), "drug_norm", F.col("raw_output").alias("raw"),
             F.col("cached") if cache else F.lit(False).alias("cached"),
         )
         stored = sinks.replace_table(rows, f"{out.rstrip('/')}/attempt={attempt}")
         short = score_outputs(stored, vocabulary).where(F.col("confidence") < min_confidence)
         todo = todo.join(short.select(F.col("report_id").alias("review_id")), "review_id", "left_semi")
+    unique.unpersist()
+    every.unpersist()
     return spark.read.parquet(out)
 
 
@@ -126,11 +138,15 @@ def triage_flow(
     results = f"{out.rstrip('/')}/results"
     done = sinks.read_if_present(spark, results)
     version = sinks.next_version(done)
+    delivered = texts.with_hash(review_table)  # hashed before the joins, which then move no texts
     if done is None:
-        done = spark.createDataFrame([], "review_id string")
-    todo = reviews.unprocessed(review_table, done, limit)
+        done = review_table.select("review_id").limit(0)
+    todo = reviews.unprocessed(delivered, done, limit)
     base = out.rstrip("/")
-    outputs = score_attempts(todo, score, f"{base}/outputs/batch={version}", vocabulary, cache=f"{base}/cache", batch=version)
+    # a batch with a limit is small beside the table: its texts come from its own rows
+    rows = delivered.where("has_ae_mention") if limit is None else todo
+    outputs = score_attempts(
+        todo, score, f"{base}/outputs/batch={version}", vocabulary, cache=f"{base}/cache", batch=version, delivered=rows)
     decided = triage(outputs, terms(outputs), signals, vocabulary)
     sinks.append_version(sinks.stamped(decided, "processed_at"), results, version)
     return spark.read.parquet(f"{results}/version={version}")

@@ -69,7 +69,7 @@ def unprocessed(
     todo = reviews.where("has_ae_mention").join(results.select("review_id"), "review_id", "left_anti")
     if only is not None:
         todo = todo.join(only.select("review_id"), "review_id", "left_semi")
-    todo = todo.select("review_id", "review_text", "drug_norm")
+    todo = todo.select("review_id", "review_text", "drug_norm", *[c for c in todo.columns if c == "_hash"])
     return todo if limit is None else todo.orderBy("review_id").limit(limit)
 
 

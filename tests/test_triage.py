@@ -287,3 +287,18 @@ def test_cached_reviews_are_counted(spark, tmp_path):
     assert reports.run_summary(batch("a1", "a2")).first().cached == 0
     summary = reports.run_summary(batch("b1", "b3")).first()
     assert (summary.n, summary.cached) == (2, 1)
+
+
+def test_attempts_take_each_text_from_the_delivery_by_its_hash(spark, tmp_path):
+    table = texts.with_hash(spark.createDataFrame(
+        [("1", "d", "long enough"), ("2", "d", "long enough"), ("3", "e", "no"), ("4", "e", None), ("5", "e", "done before")],
+        "review_id string, drug_norm string, review_text string"))
+
+    def score(batch, attempt):
+        return ['{"drugs": ["ibuprofen"], "reactions": ["a"], "severity": "serious"}' if len(t) > 4 or attempt == 2 else f"junk {t}" for t in batch]
+
+    todo = table.where("review_id <> '5'")
+    whole = rows(flows.score_attempts(todo.drop("_hash"), score, str(tmp_path / "a")).select("report_id", "attempt", "raw"))
+    light = flows.score_attempts(todo.drop("review_text"), score, str(tmp_path / "b"), delivered=table)
+    assert rows(light.select("report_id", "attempt", "raw")) == whole
+    assert [r[:2] for r in whole] == [("1", 1), ("2", 1), ("3", 1), ("3", 2), ("4", 1), ("4", 2), ("4", 3)]
