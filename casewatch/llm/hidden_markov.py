@@ -2,11 +2,13 @@
 
 Texts are read once into chunks: the documents of a map task as numbers into the chunk's own word
 list. Everything that grows with the vocabulary stays in distributed tables; a chunk gets the
-parameters of its own words only, from a file of the shared folder written for it, so no vocabulary
-is broadcast or collected and no text is shuffled. A round deletes what the round before it wrote.
+sums of its own words only, from a file of the shared folder written for it, so no vocabulary
+is broadcast or collected and no text is shuffled. Words are dealt into buckets by hash; a chunk sends
+a bucket one row, with the sums of its frequent words as single-precision numbers, and gets one
+back. A round deletes what the round before it wrote.
 
 Training is Baum-Welch: each task adds up the expected transitions and emissions of its chunk,
-Spark sums them over all chunks, and the sums are the next parameters. A word that training saw at
+Spark groups them by bucket, and the sums over all chunks are the next parameters. A word that training saw at
 least ``frequent`` times has emissions of its own; rarer ones share those of their count's power
 of two, divided among them by their counts, and unseen words share the one unseen type of the
 unigram model. As in that model every type has one count more, divided among the states as their
@@ -26,20 +28,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewatch.llm.common import Shelf, arrow_uri, emit, pieces_of, raw, stored
+from casewatch.llm.common import Shelf, arrow_uri, emit, parts, pieces_of, raw, stored
 
 STATES = 4
 ROUNDS = 4
 FREQUENT = 50
 BACK_OFF = 5.0  # pseudo-count of the unigram distribution in every state
 SEGMENT = 512  # tokens of a training sequence; a longer text is several
-CHUNK = 16 << 20  # bytes of text in a chunk
+CHUNK = 32 << 20  # bytes of text in a chunk
+BUCKET = 64 << 20  # bytes of a bucket of words in a round, at about PAIR for each chunk and word
+PAIR = 32
 END = b"\n"  # no word holds white space
 
 CHUNKS = pa.schema([(n, t) for n, t in (
     ("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())),
-    ("ids", pa.binary()), ("words", pa.binary()))])
-CHUNKS_SQL = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, words binary"
+    ("ids", pa.binary()), ("words", pa.binary()), ("n_words", pa.int64()))])
+CHUNKS_SQL = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<int>, ids binary, words binary, n_words long"
 
 
 def held_out(doc_id) -> bool:
@@ -60,7 +64,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         def flush():
             words = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
             return emit(CHUNKS, chunk=[random.SystemRandom().getrandbits(63)], doc_ids=[docs_], held=[[held_out(d) for d in docs_]],
-                        lengths=[[len(x) for x in ids]], ids=[np.concatenate(ids).astype("<u4").tobytes()], words=[words.tobytes()])
+                        lengths=[[len(x) for x in ids]], ids=[squeezed(np.concatenate(ids).astype("<u4"))], words=[words.tobytes()], n_words=[len(words)])
 
         for batch in pieces_of(batches, 128):
             texts = raw(batch, "text")
@@ -85,7 +89,7 @@ class Chunk:
     def __init__(self, row):
         self.name, self.doc_ids = row["chunk"], row["doc_ids"]
         self.held, self.lengths = np.array(row["held"], bool), np.array(row["lengths"], np.int64)
-        self.ids, self.words = np.frombuffer(row["ids"], "<u4"), np.frombuffer(row["words"], np.int64)
+        self.ids, self.words = expanded(row["ids"], "<u4"), np.frombuffer(row["words"], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
 
     def training(self) -> np.ndarray:
@@ -97,39 +101,115 @@ def _each(batches):
         yield Chunk(batch.to_pylist()[0])
 
 
-def counts(held: DataFrame) -> DataFrame:
-    """chunk, at (number in the chunk), word, c (in the chunk's training documents)."""
-    out = pa.schema([("chunk", pa.int64()), ("at", pa.int32()), ("word", pa.int64()), ("c", pa.int64())])
+def squeezed(a: np.ndarray) -> bytes:
+    """The bytes of an array, those of like weight together, compressed."""
+    flat = np.ascontiguousarray(a.view(np.uint8).reshape(a.size, a.itemsize).T).tobytes()
+    return len(flat).to_bytes(8, "little") + pa.compress(flat, "zstd", asbytes=True) if flat else b""
+
+
+def expanded(b: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    if not b:
+        return np.empty(0, kind)
+    flat = pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(kind.itemsize, -1).T).view(kind)[:, 0]
+
+
+def noise(words: np.ndarray, s: int) -> np.ndarray:
+    """Between 0.1 and 1.1 by ``xxhash64(word, s)`` as Spark computes it for a long and an int."""
+    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+    def mix(h):
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+    with np.errstate(over="ignore"):
+        h = mix(turn((np.uint64(42) + p5 + np.uint64(8)) ^ (turn(words.view(np.uint64) * p2, 31) * p1), 27) * p1 + p4)
+        h = mix(turn((h + p5 + np.uint64(4)) ^ (np.uint64(s) * p1), 23) * p2 + p3)
+    return 0.1 + h.view(np.int64) % 1_000_003 / 1_000_003
+
+
+def buckets_of(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the words by bucket and word, and where each of the ``n`` buckets begins in it."""
+    order = np.argsort(words.view(np.uint64), kind="stable")
+    bucket = (words.view(np.uint64)[order] >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+    return order, np.searchsorted(bucket, np.arange(n + 1))
 
-    def run(batches):
-        for x in _each(batches):
-            c = np.bincount(x.ids[x.training()], minlength=len(x.words))
-            for lo in range(0, len(c), 50_000):
-                some = slice(lo, lo + 50_000)
-                yield emit(out, chunk=[x.name] * len(c[some]), at=np.arange(len(c))[some], word=x.words[some], c=c[some])
 
-    return held.mapInArrow(run, "chunk long, at int, word long, c long")
+FEW = -1  # the "chunk" of a row of sums over all words or chunks
 
 
-def filed(rows: DataFrame, shelf: Shelf, name: str) -> tuple[str, DataFrame]:
-    """Write rows by chunk, each chunk's below a folder of its own; where Arrow finds them, and the table."""
+def counts(held: DataFrame, buckets: int, frequent: int, states: int) -> DataFrame:
+    """chunk, bucket, c (count in all training documents of each of the chunk's words of the bucket), place (of the
+    frequent ones among those of the bucket), few.
+
+    A chunk meets the others in one row for each bucket of words. Rows of chunk ``FEW`` have sums over the
+    bucket's words: tokens, types, types and count mass of each rare class, first emission sums.
+    """
+    cells = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("c", pa.binary())])
+    out = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("c", pa.binary()), ("place", pa.binary()), ("few", pa.list_(pa.float64()))])
+    classes = classes_of(frequent)
+
+    def run(batches):
+        for x in _each(batches):
+            c = np.bincount(x.ids[x.training()], minlength=len(x.words)).astype("<u4")
+            order, at = buckets_of(x.words, buckets)
+            own = [(b, order[at[b] : at[b + 1]]) for b in range(buckets) if at[b] < at[b + 1]]
+            yield emit(cells, bucket=[b for b, _ in own], chunk=[x.name] * len(own),
+                       words=[x.words[some].tobytes() for _, some in own], c=[squeezed(c[some]) for _, some in own])
+
+    def add(table):
+        chunk, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
+        words = [np.frombuffer(w, "<u8") for w in table.column("words").to_pylist()]  # in the order of the chunks
+        distinct, of = np.unique(np.concatenate(words), return_inverse=True)
+        c = np.concatenate([expanded(x, "<u4") for x in table.column("c").to_pylist()])
+        total = np.bincount(of, c, len(distinct)).astype("<i8")  # sums below 2 ** 53 are exact
+        symbol = symbol_of(total, frequent)
+        place = np.where(symbol < 0, np.cumsum(symbol < 0) - 1, -1)
+        mass = np.bincount(symbol[symbol > 0], total[symbol > 0] + 1, classes)
+        often = [float((total * noise(distinct, s))[symbol < 0].sum()) for s in range(states)]
+        types = np.bincount(symbol[symbol > 0], minlength=classes)
+        few = [float(total.sum()), float((total > 0).sum()), *types.astype(float), *mass.astype(float), *often]
+        of = np.split(of, np.cumsum([len(w) for w in words])[:-1])
+        return pa.Table.from_batches([emit(
+            out, chunk=[*chunk, FEW], bucket=[bucket] * (len(chunk) + 1), c=[*(squeezed(total[i]) for i in of), None],
+            place=[*(squeezed(gaps(place[i][place[i] >= 0])) for i in of), None], few=[None] * len(chunk) + [few])])
+
+    rows = held.mapInArrow(run, "bucket int, chunk long, words binary, c binary")
+    return rows.groupBy("bucket").applyInArrow(add, "chunk long, bucket int, c binary, place binary, few array<double>")
+
+
+def gaps(places: np.ndarray) -> np.ndarray:
+    """Ascending numbers as steps from one to the next."""
+    return np.diff(places, prepend=0).astype("<u4")
+
+
+def summed(rows: DataFrame, shelf: Shelf, name: str) -> tuple[str, DataFrame, np.ndarray]:
+    """Write rows by chunk, each chunk's below a folder of its own: where Arrow finds them, the table, and the sum of its few."""
     kept = shelf.put(rows.repartition("chunk"), name, "chunk")
-    return arrow_uri(rows.sparkSession, shelf.path(kept)), kept
+    few = kept.where(F.col("chunk") == FEW).select(F.posexplode("few").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
+    return arrow_uri(rows.sparkSession, shelf.path(kept)), kept, np.array([r["x"] for r in few.orderBy("at").collect()])
 
 
-def fetched(uri: str, chunk: int, n: int) -> pa.Table:
-    """The ``n`` rows filed for a chunk; an error if they are not all there."""
+def fetched(uri: str, chunk: int, n: int) -> list[dict]:
+    """The ``n`` rows filed for a chunk, by bucket; an error if they are not all there."""
     from pyarrow.fs import FileSelector, FileSystem
     from pyarrow.parquet import read_table
 
     if not n:
-        return pa.table({})
+        return []
     fs, root = FileSystem.from_uri(uri)
     files = [f.path for f in fs.get_file_info(FileSelector(f"{root}/chunk={chunk}")) if f.path.endswith(".parquet")]
     got = pa.concat_tables([read_table(f, filesystem=fs, partitioning=None) for f in files])
     if got.num_rows != n:
         raise OSError(f"{uri}/chunk={chunk} holds {got.num_rows} of {n} rows")
-    return got
+    return got.sort_by("bucket").to_pylist()
+
+
+def classes_of(frequent: int) -> int:
+    return int(log2(frequent)) + 2 if frequent > 1 else 1
 
 
 def symbol_of(c: np.ndarray, frequent: int) -> np.ndarray:
@@ -218,103 +298,109 @@ def score(
     as often as they stand; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    classes = int(log2(frequent)) + 2 if frequent > 1 else 1
-    held = stored(chunks(docs), "chunks")
-    local = counts(held)
-    shelf = Shelf(spark, "rounds")
-    total = shelf.put(local.groupBy("word").agg(F.sum("c").alias("c")), "counts")
-    size = total.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    n_train, types = int(size["n"]), int(size["v"])
+    classes = classes_of(frequent)
+    held, shelf = stored(chunks(docs), "chunks"), Shelf(spark, "rounds")
+    size = held.agg(F.sum("n_words").alias("pairs")).first()["pairs"]
+    buckets = parts(spark, (size or 0) * PAIR, BUCKET)
+    filed_counts, _, few = summed(counts(held, buckets, frequent, states), Shelf(spark, "counts"), "by-chunk")
+    few = few if len(few) else np.zeros(2 + 2 * classes + states)
+    n_train, types = int(few[0]), int(few[1])
     mass = float(n_train + types + 1)
-    filed_counts, _ = filed(local.select("chunk", "at", "word").join(total, "word").select("chunk", "at", "c"), Shelf(spark, "counts"), "by-chunk")
-    level = F.floor(F.log2(F.col("c"))).cast("int") + 1
-    rare = {r["k"]: (r["n"], r["m"]) for r in total.where((F.col("c") > 0) & (F.col("c") < frequent)).groupBy(level.alias("k")).agg(
-        F.count("*").alias("n"), F.sum(F.col("c") + 1).alias("m")).collect()}  # a row for each power of two below ``frequent``
-    types_of = np.array([1.0] + [float(rare.get(k, (0, 0))[0]) for k in range(1, classes)])
-    shared = np.array([1.0] + [float(rare.get(k, (0, 0))[1]) for k in range(1, classes)])  # count mass of each class
-
-    noise = lambda s: 0.1 + F.pmod(F.xxhash64("word", F.lit(s)), F.lit(1_000_003)) / 1_000_003
-    often = total.where(F.col("c") >= frequent)
-    sums = often.select("word", *[(F.col("c") * noise(s)).alias(f"e{s}") for s in range(states)])
+    types_of, shared = few[2 : 2 + classes].copy(), few[2 + classes : 2 + 2 * classes].copy()  # types and count mass of each class
+    types_of[0] = shared[0] = 1.0
+
+    often = few[2 + 2 * classes :]  # emission sums of all frequent words
     class_sums = np.random.default_rng(11).uniform(0.1, 1.1, (classes, states)) * (shared - types_of)[:, None]
     start = np.full(states, 1 / states)
     moves = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)  # states begin as lasting ones
-    unigram = often.select("word", ((F.col("c") + 1) / mass).alias("p"))
-    frequent_rows = shelf.put(local.select("chunk", "at", "word").join(often.select("word"), "word", "left_semi"), "frequent")
-    out = pa.schema([("kind", pa.int32()), ("word", pa.int64()), *[(f"e{s}", pa.float64()) for s in range(states)]])
-    columns = [f"e{s}" for s in range(states)]
-
-    def parameters(sums, class_sums, back):
-        """Emission table and class emissions, normalised for each state."""
-        whole = np.array([x or 0.0 for x in sums.agg(*[F.sum(c) for c in columns]).first()]) + class_sums.sum(0)
+    cells = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("place", pa.binary()), ("v", pa.binary()), ("few", pa.list_(pa.float64()))])
+    out = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("v", pa.binary()), ("few", pa.list_(pa.float64()))])
+
+    def parameters(often, class_sums):
+        """What normalises the emissions of each state: its share of the types' one count more, and its mass; class emissions."""
+        whole = often + class_sums.sum(0)
         share = whole / whole.sum() if whole.sum() else np.full(states, 1 / states)
-        all_ = whole + share * (types + 1) + back
-        by_word = sums.join(unigram, "word").select("word", *[
-            ((F.col(c) + float(k) + back * F.col("p")) / float(w)).alias(c) for c, k, w in zip(columns, share, all_)])
-        return by_word, (class_sums + types_of[:, None] * share + back * (shared / mass)[:, None]) / all_
-
-    def emissions(x: Chunk, path_counts: str, path: str, by_class: np.ndarray):
-        """For each of the chunk's words: count, symbol (frequent words after the classes), emission, class share."""
-        got = fetched(path_counts, x.name, len(x.words))
+        all_ = whole + share * (types + 1) + back_off
+        return share, all_, (class_sums + types_of[:, None] * share + back_off * (shared / mass)[:, None]) / all_
+
+    def emissions(x: Chunk, path: str | None, share: np.ndarray, all_: np.ndarray, by_class: np.ndarray):
+        """For each of the chunk's words: count, symbol (frequent words after the classes), emission, class share; the
+        frequent words in the order of their buckets, and by bucket their number and their places there."""
+        order, at = buckets_of(x.words, buckets)
+        rows = fetched(filed_counts, x.name, int((np.diff(at) > 0).sum()))
         c = np.zeros(len(x.words), np.int64)
-        c[got.column("at").to_numpy()] = got.column("c").to_numpy()
+        c[order] = np.concatenate([expanded(r["c"], "<i8") for r in rows])
         symbol = symbol_of(c, frequent)
         table = np.zeros((len(c), states))
         table[symbol >= 0] = by_class[symbol[symbol >= 0]]
-        got = fetched(path, x.name, int((symbol < 0).sum()))
-        if got.num_rows:
-            table[got.column("at").to_numpy()] = np.stack([got.column(n).to_numpy() for n in columns], 1)
-        share = np.where(symbol >= 0, (c + 1) / np.maximum(shared[np.maximum(symbol, 0)], 1), 1.0)
-        return c, symbol, table, share
-
-    before = None  # the sums of the round before
-    for turn in range(rounds + 1):
-        by_word, by_class = parameters(sums, class_sums, back_off)
-        own_shelf = Shelf(spark, "emissions") if turn == rounds else shelf  # the last are still to be read
-        path, filed_rows = filed(frequent_rows.join(by_word, "word").drop("word"), own_shelf, "emissions")
-        if turn == rounds:
-            break
-
-        def count(batches, path=path, by_class=by_class, start=start, moves=moves):
+        own = order[symbol[order] < 0]
+        places = [(r["bucket"], r["place"]) for r in rows if r["place"]]
+        if path is None:
+            sums = np.stack([c[own] * noise(x.words[own], s) for s in range(states)], 1)
+        else:
+            sums = np.concatenate([np.empty((0, states)), *(expanded(r["v"], "<f4").reshape(-1, states) for r in fetched(path, x.name, len(places)))])
+        table[own] = (sums + share + back_off * ((c[own] + 1) / mass)[:, None]) / all_
+        class_share = np.where(symbol >= 0, (c + 1) / np.maximum(shared[np.maximum(symbol, 0)], 1), 1.0)
+        return c, symbol, table, class_share, own, places
+
+    def added(table):
+        """The sums of a bucket's words over all chunks, back to each chunk that has them."""
+        bucket, cell = table.column("bucket")[0].as_py(), table.column("chunk").to_numpy() != FEW
+        few = [np.array(x) for x in table.column("few").to_pylist() if x is not None]
+        table = table.filter(pa.array(cell))
+        places = [np.cumsum(expanded(x, "<u4"), dtype=np.int64) for x in table.column("place").to_pylist()]
+        sums = np.zeros((max((int(x[-1]) for x in places), default=-1) + 1, states))
+        for x, v in zip(places, table.column("v").to_pylist()):
+            sums[x] += expanded(v, "<f4").reshape(-1, states)
+        sums = sums.astype("<f4")
+        chunk = [*table.column("chunk").to_pylist(), *([FEW] if few else [])]
+        return pa.Table.from_batches([emit(
+            out, chunk=chunk, bucket=[bucket] * len(chunk), v=[*(squeezed(sums[x].ravel()) for x in places), *([None] if few else [])],
+            few=[*[None] * len(places), *([sum(few)] if few else [])])])
+
+    path = before = None  # the sums of the round before
+    for turn in range(rounds):
+        share, all_, by_class = parameters(often, class_sums)
+
+        def count(batches, path=path, share=share, all_=all_, by_class=by_class, start=start, moves=moves):
             for x in _each(batches):
-                c, symbol, table, _ = emissions(x, filed_counts, path, by_class)
+                c, symbol, table, _, own, places = emissions(x, path, share, all_, by_class)
                 lo, n = segments(x.starts[~x.held], x.lengths[~x.held], segment)
-                if not len(lo):
-                    continue
-                emitted, moved, first = expected(x.ids, lo, n, table, start, moves, len(c))
-                own = np.flatnonzero(symbol < 0)
-                for at in range(0, len(own), 50_000):
-                    some = own[at : at + 50_000]
-                    yield emit(out, kind=np.zeros(len(some), np.int32), word=x.words[some],
-                               **{f"e{s}": emitted[some, s] for s in range(states)})
+                emitted, moved, first = expected(x.ids, lo, n, table, start, moves, len(c)) if len(lo) else (
+                    np.zeros((len(c), states)), np.zeros((states, states)), np.zeros(states))
                 by = np.zeros((classes, states))
                 np.add.at(by, symbol[symbol >= 0], emitted[symbol >= 0])
-                few = np.vstack((by, moved, first))
-                kind = [1] * classes + [2] * states + [3]
-                yield emit(out, kind=kind, word=[*range(classes), *range(states), 0], **{f"e{s}": few[:, s] for s in range(states)})
-
-        kinds = "kind int, word long, " + ", ".join(f"{c} double" for c in columns)
-        added = shelf.put(held.mapInArrow(count, kinds).groupBy("kind", "word").agg(*[F.sum(c).alias(c) for c in columns]), "sums")
-        shelf.drop(filed_rows, *([before] if before is not None else []))
-        before = added
-        sums = added.where("kind = 0").drop("kind")
-        few = {(r["kind"], r["word"]): [r[c] for c in columns] for r in added.where("kind > 0").collect()}  # classes and states only
-        row = lambda k, w: few.get((k, w), [0.0] * states)
-        class_sums = np.array([row(1, k) for k in range(classes)])
-        moves = np.array([row(2, s) for s in range(states)]) + 1
+                few = np.concatenate([by.ravel(), moved.ravel(), first, emitted[own].sum(0)])
+                ends = np.cumsum([len(expanded(p, "<u4")) for _, p in places])[:-1] if places else []
+                v = [squeezed(e.astype("<f4").ravel()) for e in np.split(emitted[own], ends)] if places else []
+                yield emit(cells, bucket=[*(b for b, _ in places), x.name % buckets], chunk=[*[x.name] * len(places), FEW],
+                           place=[*(p for _, p in places), None], v=[*v, None], few=[*[None] * len(places), few])
+
+        rows = held.mapInArrow(count, "bucket int, chunk long, place binary, v binary, few array<double>")
+        rows = rows.groupBy("bucket").applyInArrow(added, "chunk long, bucket int, v binary, few array<double>")
+        own_shelf = Shelf(spark, "emissions") if turn == rounds - 1 else shelf  # the last are still to be read
+        path, filed_rows, few = summed(rows, own_shelf, "emissions")
+        if before is not None:
+            shelf.drop(before)
+        before = filed_rows
+        few = few if len(few) else np.zeros(classes * states + states * states + 2 * states)
+        by, moved, first, often = np.split(few, np.cumsum([classes * states, states * states, states]))
+        class_sums = by.reshape(classes, states)
+        moves = moved.reshape(states, states) + 1
         moves /= moves.sum(1, keepdims=True)
-        start = np.array(row(3, 0)) + 1
+        start = first + 1
         start /= start.sum()
 
+    share, all_, by_class = parameters(often, class_sums)
     shelf.clear()
     made = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                       ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def final(batches):
         for x in _each(batches):
-            c, _, table, share = emissions(x, filed_counts, path, by_class)
+            c, _, table, class_share, *_ = emissions(x, path, share, all_, by_class)
             base = np.log10((c + 1) / mass)[x.ids]
-            rest = np.log10(share)[x.ids]
+            rest = np.log10(class_share)[x.ids]
             likely = forward(x.ids, x.starts, x.lengths, table, start, moves) / np.log(10)
             known = (c > 0)[x.ids]
             add = lambda v: np.add.reduceat(v, x.starts)  # noqa: E731  each text has its end token

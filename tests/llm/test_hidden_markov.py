@@ -87,3 +87,39 @@ def test_one_word_probabilities_sum_to_one(spark):
 
 def test_empty_table(spark):
     assert hm.score(frame(spark, corpus()).limit(0)).count() == 0
+
+
+def test_first_sums_are_those_of_sparks_hash(spark):
+    words = np.array([0, -1, 5, 2**63 - 1, -(2**63)], np.int64)
+    from pyspark.sql import functions as F
+    d = spark.createDataFrame([(int(w),) for w in words], "word long")
+    for s in range(3):
+        want = d.select("word", 0.1 + F.pmod(F.xxhash64("word", F.lit(s)), F.lit(1_000_003)) / 1_000_003).collect()
+        assert dict(map(tuple, want)) == dict(zip(words.tolist(), hm.noise(words, s).tolist()))
+
+
+def test_arrays_come_back():
+    for a in (np.arange(1000, dtype="<u4"), np.array([], "<f4"), np.array([2**40, -1], "<i8")):
+        assert np.array_equal(hm.expanded(hm.squeezed(a), a.dtype), a)
+
+
+def test_a_chunk_moves_a_row_for_each_bucket_and_not_for_each_word(spark):
+    rows = [(i, " ".join(f"w{(i * 37 + j) % 3000}" for j in range(200))) for i in range(300)]
+    held = hm.stored(hm.chunks(frame(spark, rows)), "chunks")
+    n = held.count()
+    made = hm.counts(held, 7, 2, 4).collect()
+    assert len(made) <= 7 * (n + 1)
+    assert all(hm.expanded(r.place, "<u4").sum() < 3001 for r in made if r.place)  # in one order on both sides, also across 2 ** 63
+    made = hm.counts(held, 7, 20, 4).collect()
+    few = np.sum([r.few for r in made if r.chunk == hm.FEW], 0)
+    c = Counter(w for d, t in rows if not hm.held_out(d) for w in [*t.encode().split(), hm.END])
+    rare = [x for x in c.values() if x < 20]
+    assert few[:2].tolist() == [sum(c.values()), len(c)]
+    assert few[2 : 2 + hm.classes_of(20)].sum() == len(rare) and few[2 + hm.classes_of(20) : 2 + 2 * hm.classes_of(20)].sum() == sum(rare) + len(rare)
+
+
+def test_scores_do_not_depend_on_the_chunks(spark):
+    rows = corpus()
+    one = {r.doc_id: r.score for r in hm.score(frame(spark, rows).coalesce(1), frequent=5).collect()}
+    many = {r.doc_id: r.score for r in hm.score(frame(spark, rows).repartition(7), frequent=5).collect()}
+    assert one.keys() == many.keys() and all(many[d] == pytest.approx(one[d], rel=1e-5) for d in one)
