@@ -12,7 +12,9 @@ ids; uint8 null flags of those; uint64 starts (documents + 1); then the levels.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from functools import lru_cache
@@ -20,10 +22,11 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewatch.llm.common import emit, parts, per_batch, raw
+from casewatch.llm.common import emit, parts, per_batch, pieces_of
 from casewatch.session import scratch
 
 MAGIC, BLOCK = b"DACF", 512
@@ -112,23 +115,45 @@ class Codes:
 
 # --- encoding ----------------------------------------------------------------------------
 
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-/:-@\[-`{-~]"  # lower-cased the same way everywhere; ASCII punctuation
+PLAIN = f"^(?P<core>{LETTERS}+)(?P<tail>{MARKS}*)$"
+CUTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def cuts_marks(coder) -> bool:
+    """Whether the vocabulary lower-cases and codes a run of letters apart from the punctuation behind it."""
+    rules = json.loads(coder.to_str())
+    flat = lambda x, key: [y for part in x.get(key, [x]) for y in ([part] if part is x else flat(part, key))] if x else []
+    norm, cuts = flat(rules["normalizer"], "normalizers"), flat(rules["pre_tokenizer"], "pretokenizers")
+    return (
+        [x["type"] for x in norm] == ["NFC", "Replace", "Lowercase"] and norm[1]["pattern"] == {"Regex": "\\s+"}
+        and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": CUTS} and cuts[0]["invert"]
+        and cuts[0]["behavior"] == "Removed" and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+        and not rules["post_processor"]
+        and not any(re.fullmatch(f"{LETTERS}*{MARKS}*", x["content"]) for x in rules["added_tokens"])
+    )
+
+
 class WordCoder:
     """Ids of whole texts by a vocabulary that never joins across white space.
 
     Texts are cut at ASCII white space only, which the vocabulary drops; anything else stays inside the word
-    that the library gets. The words of a batch are numbered first; only its distinct words are looked
-    up, and only those not remembered go to the library. Two generations of at most about ``most`` words are remembered.
+    that the library gets. The words of a batch are numbered first and only its distinct words looked up.
+    Where the vocabulary itself cuts there, a word of plain letters is coded apart from the punctuation behind it, in
+    lower case. Only what is not remembered goes to the library, many words to a call. Two
+    generations of at most about ``most`` words are remembered.
     """
 
-    def __init__(self, path: str, most: int = 300_000, together: int = 4096):
+    def __init__(self, path: str, most: int = 300_000, together: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.coder, self.most, self.together = Tokenizer.from_file(path), most, together
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.cuts_marks = cuts_marks(self.coder)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def code(self, words: list[bytes]) -> list[bytes]:
+    def code(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words, 4 bytes each."""
         coded = list(map(self.known.get, words))
         missing = [i for i, ids in enumerate(coded) if ids is None]
@@ -137,34 +162,47 @@ class WordCoder:
                 coded[i] = ids
             self.known.update((words[i], coded[i]) for i in missing if coded[i] is not None)
             missing = [i for i in missing if coded[i] is None]
-        for at in range(0, len(missing), self.together):
-            some = missing[at : at + self.together]
-            found = self.coder.encode_batch([words[i].decode() for i in some], add_special_tokens=False)
+        for at in range(0, len(missing), 64 * self.together):
+            some = missing[at : at + 64 * self.together]
+            groups = [[words[i] for i in some[lo : lo + self.together]] for lo in range(0, len(some), self.together)]
+            found = self.coder.encode_batch(groups, is_pretokenized=True, add_special_tokens=False)
             ids = [e.ids for e in found]
-            sizes = 4 * np.cumsum([0, *map(len, ids)])
-            flat = np.fromiter(chain.from_iterable(ids), "<u4", sizes[-1] // 4).tobytes()
+            flat = np.fromiter(chain.from_iterable(ids), "<u4", sum(map(len, ids))).tobytes()
+            of = np.fromiter(chain.from_iterable(e.word_ids for e in found), np.int64, len(flat) // 4)
+            of += self.together * np.repeat(np.arange(len(ids)), list(map(len, ids)))
+            sizes = np.concatenate(([0], 4 * np.cumsum(np.bincount(of, minlength=len(some)))))
             for i, (a, b) in zip(some, pairwise(sizes.tolist())):
                 coded[i] = self.known[words[i]] = flat[a:b]
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
         return coded
 
-    def column(self, texts: list[bytes], end: bytes = b"") -> pa.Array:
-        """The ids of each text, and ``end`` behind them, as a binary column."""
-        if not texts:
+    def coded(self, words: pa.Array) -> pa.Array:
+        """The ids of the words of an array, as a binary array."""
+        numbered = words.dictionary_encode()
+        return pa.array(self.code(numbered.dictionary.to_pylist()), pa.binary()).take(numbered.indices)
+
+    def column(self, texts: pa.Array | list[bytes], end: bytes = b"") -> pa.Array:
+        """The ids of each text, and ``end`` behind them, as a binary column; a null text is empty."""
+        if not len(texts):
             return pa.array([], pa.binary())
-        split = [t.split() for t in texts]
-        sizes = np.cumsum([0, *(len(words) + 1 for words in split)])
-        for words in split:
-            words.append(b"")  # no word is empty: this one stands for the end
-        words = pa.array(list(chain.from_iterable(split)), pa.binary()).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        place = distinct.index(b"")
-        coded = self.code(distinct[:place] + distinct[place + 1 :])
-        coded.insert(place, end)
-        ids = pa.array(coded, pa.binary()).take(words.indices)
-        bounds = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)[sizes]
-        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), ids.buffers()[2]])
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_binary())
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        numbered = split.values.dictionary_encode()
+        distinct = numbered.dictionary  # also the empty string that stands where a text begins or ends with a blank
+        if self.cuts_marks:
+            plain = pc.extract_regex(distinct, PLAIN)
+            core = pc.coalesce(pc.utf8_lower(pc.struct_field(plain, "core")), distinct)
+            tail = pc.fill_null(pc.struct_field(plain, "tail"), "")
+            coded = pc.binary_join_element_wise(self.coded(core), self.coded(tail), pa.scalar(b"", pa.binary()))
+        else:
+            coded = self.coded(distinct)
+        ids = coded.take(numbered.indices)
+        bounds = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)[split.offsets.to_numpy()] // 4
+        flat, last = np.frombuffer(ids.buffers()[2], "<u4", bounds[-1]), np.frombuffer(end, "<u4")
+        flat = np.insert(flat, np.repeat(bounds[1:], len(last)), np.tile(last, len(texts)))
+        bounds = (4 * (bounds + len(last) * np.arange(len(bounds)))).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(flat.tobytes())])
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         return self.column(texts).to_pylist()
@@ -208,11 +246,12 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1
     coded = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
     end = np.array([end_id], "<u4").tobytes()
 
-    def encode(batch):
-        ids = coder(path).column(raw(batch, "text"), end)
-        doc = batch.column("doc_id")
-        bucket = np.searchsorted(cuts, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right")
-        yield emit(coded, bucket=bucket.astype(np.int32), doc_id=doc, ids=ids)
+    def encode(batches):
+        for batch in pieces_of(batches, 2048):  # more texts at a time have fewer distinct words
+            ids = coder(path).column(batch.column("text"), end)
+            doc = batch.column("doc_id")
+            bucket = np.searchsorted(cuts, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right")
+            yield emit(coded, bucket=bucket.astype(np.int32), doc_id=doc, ids=ids)
 
     made = pa.schema([("file", pa.string()), ("bucket", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
@@ -230,7 +269,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = 1
             out.write(pack(doc, ids))
         yield emit(made, file=[name], bucket=[bucket], n_docs=[len(doc)], n_ids=[sum(map(len, ids))])
 
-    rows = docs.mapInArrow(per_batch(encode), "bucket int, doc_id long, ids binary")
+    rows = docs.mapInArrow(encode, "bucket int, doc_id long, ids binary")
     rows = rows.repartitionById(max(n, len(cuts) + 1), "bucket").sortWithinPartitions("doc_id", "ids")
     rows.mapInArrow(save, "file string, bucket int, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
@@ -251,7 +290,8 @@ def read(manifest: DataFrame) -> DataFrame:
                 doc, starts = codes.documents()
                 for lo in range(0, len(doc), 2048):
                     some = range(lo, min(lo + 2048, len(doc)))
-                    crc = [zlib.crc32(codes.run(starts[i], starts[i + 1]).astype("<u4").tobytes()) for i in some]
+                    ids = codes.run(starts[lo], starts[some.stop]).astype("<u4")
+                    crc = [zlib.crc32(ids[starts[i] - starts[lo] : starts[i + 1] - starts[lo]].tobytes()) for i in some]
                     yield emit(out, doc_id=[doc[i] for i in some], start=[base + int(starts[i]) for i in some],
                                n_tokens=[int(starts[i + 1] - starts[i]) for i in some], ids_crc32=crc)
 

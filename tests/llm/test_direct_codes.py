@@ -72,3 +72,29 @@ def test_small_buckets_keep_the_order(spark):
     manifest = dac.write(docs, scratch(spark, "ids"), target=64)
     assert manifest.count() > 4
     assert sorted(tuple(r) for r in dac.read(manifest).collect()) == wanted(sorted(rows))
+
+
+def test_case_and_punctuation_cost_no_further_call_of_the_library():
+    coder, asked = dac.WordCoder(dac.default_vocabulary()), []
+
+    class Library:
+        def encode_batch(self, groups, library=coder.coder, **args):
+            asked.extend(w for group in groups for w in group)
+            return library.encode_batch(groups, **args)
+
+    library, coder.coder = coder.coder, Library()
+    texts = ["Wörd wörd, WÖRD!! wörd...", "", " \t", "İstanbul ΣΑΣ don't it's! a_b x9y (z) é ÷a <|endoftext|> 's", "He's. A' \x1cb \x85", "wörd,"]
+    got = coder([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [w for w in asked if "ö" in w.lower()] == ["wörd"] and len(asked) == len(set(asked))
+    assert coder([b""]) == [b""] and coder.column([b"", b" "], b"\1\0\0\0").to_pylist() == [b"\1\0\0\0"] * 2
+
+
+def test_a_vocabulary_with_other_rules_gets_words_as_they_stand(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    library = Tokenizer(models.WordLevel({"A": 0, "a": 1, "a.": 2, "?": 3}, unk_token="?"))
+    library.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    library.save(str(tmp_path / "words.json"))
+    coder = dac.WordCoder(str(tmp_path / "words.json"))
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder([b"A a a.  b", b""])] == [[0, 1, 2, 3], []]
