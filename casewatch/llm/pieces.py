@@ -6,8 +6,8 @@ pieces before that boundary are committed and forgotten, so the state stays a sh
 text on which two paths never meet, such as one letter thousands of times, keeps its pointers.)
 Some boundaries are certain from the vocabulary alone: no piece runs across a meta space that
 follows another character, nor across a character that occurs in no longer piece. A text is cut
-there first, and the pieces between two such boundaries are remembered, so a repeated word costs
-one lookup.
+there first, and the pieces between two such boundaries are remembered for a partition, so a repeated
+word costs one lookup.
 
 The model file gives pieces and scores; the search reads any of them as a unigram model, also a
 file whose scores are merge ranks. Equal scores: the longer last piece wins. A character without
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewatch.llm.common import Memo, emit, lists, per_batch
+from casewatch.llm.common import Memo, emit, lists, per_batch, pieces_of
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -159,15 +159,19 @@ def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", tex
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = pa.schema([("doc_id", _arrow_type(source)), ("text", pa.string()), ("ids", pa.list_(pa.int32()))])
 
-    def run(batch):
+    def run(batches):
         use = model(path)
-        found = [use.encode(t) for t in batch.column("text").to_pylist()]
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in found])))
-        ids = np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32)
-        yield emit(schema, doc_id=batch.column("doc_id"), text=batch.column("text"), ids=lists(offsets, ids))
+        try:
+            for batch in pieces_of(batches):
+                found = [use.encode(t) for t in batch.column("text").to_pylist()]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+                ids = np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32)
+                yield emit(schema, doc_id=batch.column("doc_id"), text=batch.column("text"), ids=lists(offsets, ids))
+        finally:
+            use.memo.forget()
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(per_batch(run), f"doc_id {kind}, text string, ids array<int>")
+    return source.mapInArrow(run, f"doc_id {kind}, text string, ids array<int>")
 
 
 def decode(codes: DataFrame, path: str | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from casewatch.llm import pieces
 
@@ -114,3 +115,16 @@ def test_restores_every_document(spark):
     docs = spark.read.parquet(SF)
     out = pieces.digest(docs)
     assert out.where("restored").count() == docs.count()
+
+
+def test_idle_workers_remember_nothing(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('word', id, ' and w', id * 7) AS text").repartition(4)
+    assert pieces.digest(docs).where("restored").count() == 400
+    path = pieces.default_model()
+
+    def held(batches):
+        for batch in batches:
+            memo = pieces.model(path).memo
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(memo) + len(memo.old)], pa.int64())})
+
+    assert spark.range(0, 32, 1, 16).mapInArrow(held, "n long").agg({"n": "max"}).first()[0] == 0
