@@ -1,7 +1,8 @@
 """Language-model scores by a hidden Markov model.
 
 Texts are read once into chunks: the documents of a map task as numbers into the chunk's own word
-list. Everything that grows with the vocabulary stays in distributed tables; a chunk gets the
+list. What moves in a round is a number for each chunk and each of its frequent words, so chunks are as large as a task's memory
+allows: map tasks read as many input partitions as fill one, while there are tasks enough for all cores. Everything that grows with the vocabulary stays in distributed tables; a chunk gets the
 sums of its own words only, from a file of the shared folder written for it, so no vocabulary
 is broadcast or collected and no text is shuffled. Words are dealt into buckets by hash; a chunk sends
 a bucket one row, with the sums of its frequent words as single-precision numbers, and gets one
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 import random
 import zlib
+from array import array
+from collections.abc import Iterator
 from math import log2
 
 import numpy as np
@@ -35,7 +38,8 @@ ROUNDS = 4
 FREQUENT = 50
 BACK_OFF = 5.0  # pseudo-count of the unigram distribution in every state
 SEGMENT = 512  # tokens of a training sequence; a longer text is several
-CHUNK = 32 << 20  # bytes of text in a chunk
+CHUNK = 48 << 20  # bytes of text in a chunk; up to half more where input partitions do not fit
+TOKENS = 4 << 20  # tokens of the documents that are scored at a time
 BUCKET = 64 << 20  # bytes of a bucket of words in a round, at about PAIR for each chunk and word
 PAIR = 32
 END = b"\n"  # no word holds white space
@@ -52,31 +56,36 @@ def held_out(doc_id) -> bool:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """The documents as word numbers, a chunk to a row."""
+    """The documents as word numbers, a chunk to a row. Input partitions are read in one task up to the size of a chunk."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"]
+    docs = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-int(size or 0) // CHUNK)))
+
     class Numbers(dict):
         def __missing__(self, word):
             value = self[word] = len(self)
             return value
 
     def run(batches):
-        numbers, docs_, ids, size = Numbers(), [], [], 0
+        numbers, docs_, lengths, ids, size = Numbers(), [], [], array("I"), 0
 
         def flush():
             words = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
-            return emit(CHUNKS, chunk=[random.SystemRandom().getrandbits(63)], doc_ids=[docs_], held=[[held_out(d) for d in docs_]],
-                        lengths=[[len(x) for x in ids]], ids=[squeezed(np.concatenate(ids).astype("<u4"))], words=[words.tobytes()], n_words=[len(words)])
+            numbers.clear()  # the list is long: not beside the copies of the ids
+            return emit(CHUNKS, chunk=[random.SystemRandom().getrandbits(63)], doc_ids=[docs_], held=[[held_out(d) for d in docs_]], lengths=[lengths],
+                        ids=[squeezed(np.frombuffer(ids, np.uint32).astype("<u4", copy=False))], words=[words.tobytes()], n_words=[len(words)])
 
         for batch in pieces_of(batches, 128):
             texts = raw(batch, "text")
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
                 words = text.lower().split()
                 words.append(END)
-                ids.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+                ids.extend(map(numbers.__getitem__, words))
+                lengths.append(len(words))
                 docs_.append(doc)
                 size += len(text)
-            if size > CHUNK:
+            if size > CHUNK * 3 // 2:
                 yield flush()
-                numbers, docs_, ids, size = Numbers(), [], [], 0
+                docs_, lengths, ids, size = [], [], array("I"), 0
         if docs_:
             yield flush()
 
@@ -92,26 +101,33 @@ class Chunk:
         self.ids, self.words = expanded(row["ids"], "<u4"), np.frombuffer(row["words"], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
 
-    def training(self) -> np.ndarray:
-        return np.repeat(~self.held, self.lengths)
+    def runs(self, size: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """The documents in runs of about ``size`` tokens: which they are, their ids, starts among these, and lengths."""
+        ends = np.flatnonzero(np.diff(np.cumsum(self.lengths) // size)) + 1
+        for a, b in zip([0, *ends], [*ends, len(self.lengths)]):
+            starts, lengths = self.starts[a:b], self.lengths[a:b]
+            yield slice(a, b), self.ids[starts[0] : starts[-1] + lengths[-1]], starts - starts[0], lengths
 
 
 def _each(batches):
     for batch in pieces_of(batches, 1):
-        yield Chunk(batch.to_pylist()[0])
+        yield Chunk({n: batch.column(n)[0].as_buffer() if n in ("ids", "words") else batch.column(n)[0].as_py() for n in batch.schema.names})
 
 
 def squeezed(a: np.ndarray) -> bytes:
     """The bytes of an array, those of like weight together, compressed."""
-    flat = np.ascontiguousarray(a.view(np.uint8).reshape(a.size, a.itemsize).T).tobytes()
-    return len(flat).to_bytes(8, "little") + pa.compress(flat, "zstd", asbytes=True) if flat else b""
+    if not a.size:
+        return b""
+    flat = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(a.size, a.itemsize).T)
+    return flat.nbytes.to_bytes(8, "little") + pa.compress(pa.py_buffer(flat), "zstd", asbytes=True)
 
 
-def expanded(b: bytes, kind) -> np.ndarray:
+def expanded(b: bytes | pa.Buffer, kind) -> np.ndarray:
     kind = np.dtype(kind)
-    if not b:
+    if not len(b):
         return np.empty(0, kind)
-    flat = pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True)
+    b = memoryview(b)
+    flat = pa.decompress(b[8:], int.from_bytes(b[:8], "little"), "zstd")
     return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(kind.itemsize, -1).T).view(kind)[:, 0]
 
 
@@ -154,7 +170,9 @@ def counts(held: DataFrame, buckets: int, frequent: int, states: int) -> DataFra
 
     def run(batches):
         for x in _each(batches):
-            c = np.bincount(x.ids[x.training()], minlength=len(x.words)).astype("<u4")
+            c = np.zeros(len(x.words), "<u4")
+            for run, ids, _, lengths in x.runs(TOKENS):
+                c += np.bincount(ids[np.repeat(~x.held[run], lengths)], minlength=len(c)).astype("<u4")
             order, at = buckets_of(x.words, buckets)
             own = [(b, order[at[b] : at[b + 1]]) for b in range(buckets) if at[b] < at[b + 1]]
             yield emit(cells, bucket=[b for b, _ in own], chunk=[x.name] * len(own),
@@ -399,13 +417,12 @@ def score(
     def final(batches):
         for x in _each(batches):
             c, _, table, class_share, *_ = emissions(x, path, share, all_, by_class)
-            base = np.log10((c + 1) / mass)[x.ids]
-            rest = np.log10(class_share)[x.ids]
-            likely = forward(x.ids, x.starts, x.lengths, table, start, moves) / np.log(10)
-            known = (c > 0)[x.ids]
-            add = lambda v: np.add.reduceat(v, x.starts)  # noqa: E731  each text has its end token
-            yield emit(made, doc_id=x.doc_ids, held_out=x.held, n_tokens=x.lengths, n_known=add(known.astype(np.int64)),
-                       train_tokens=np.full(len(x.held), n_train), base_score=add(base), score=likely + add(rest))
+            base, rest, known = np.log10((c + 1) / mass), np.log10(class_share), (c > 0).astype(np.int64)
+            for run, ids, starts, lengths in x.runs(TOKENS):
+                likely = forward(ids, starts, lengths, table, start, moves) / np.log(10)
+                add = lambda v: np.add.reduceat(v[ids], starts)  # noqa: E731  each text has its end token
+                yield emit(made, doc_id=x.doc_ids[run], held_out=x.held[run], n_tokens=lengths, n_known=add(known),
+                           train_tokens=np.full(len(lengths), n_train), base_score=add(base), score=likely + add(rest))
 
     return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                  "base_score double, score double") if held.isEmpty() else held.mapInArrow(

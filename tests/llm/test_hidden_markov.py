@@ -123,3 +123,21 @@ def test_scores_do_not_depend_on_the_chunks(spark):
     one = {r.doc_id: r.score for r in hm.score(frame(spark, rows).coalesce(1), frequent=5).collect()}
     many = {r.doc_id: r.score for r in hm.score(frame(spark, rows).repartition(7), frequent=5).collect()}
     assert one.keys() == many.keys() and all(many[d] == pytest.approx(one[d], rel=1e-5) for d in one)
+
+
+def test_small_input_partitions_share_a_chunk(spark):
+    """What moves grows with the chunks, so their number must not follow that of the input's partitions."""
+    rows = [(i, f"some words w{i}") for i in range(200)]
+    docs = frame(spark, rows).repartition(60)
+    held = hm.chunks(docs).collect()
+    assert len(held) <= spark.sparkContext.defaultParallelism < 60
+    assert sorted(d for r in held for d in r.doc_ids) == list(range(200))
+
+
+def test_scores_do_not_depend_on_the_runs_of_documents(spark, monkeypatch):
+    docs = frame(spark, corpus())
+    want = sorted((tuple(r) for r in hm.score(docs, frequent=20).collect()), key=str)
+    monkeypatch.setattr(hm, "TOKENS", 10)
+    got = sorted((tuple(r) for r in hm.score(docs, frequent=20).collect()), key=str)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-6)
