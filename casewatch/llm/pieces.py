@@ -17,6 +17,7 @@ a piece becomes its UTF-8 bytes where the model has byte pieces, else the unknow
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -45,10 +46,10 @@ class PieceModel:
         self.prefix = prefix
         self.table = {p: (i, s) for i, (p, s, kind) in enumerate(pieces) if kind == "normal"}
         self.longest = max(map(len, self.table), default=1)
-        self.starts = {p[:n] for p in self.table for n in range(1, len(p) + 1)}
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == "unknown"), 0)
         self.bytes = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == "byte"}
         self.unknown_score = min((s for _, s in self.table.values()), default=0.0) - UNKNOWN_PENALTY
+        self.tree = self.grown()
         self.surface = np.array([
             p.replace(SPACE, " ").encode() if kind == "normal"
             else bytes([int(p[1:-1], 16)]) if kind == "byte" else b" \xe2\x81\x87 " if kind == "unknown" else b""
@@ -60,7 +61,7 @@ class PieceModel:
         self.certain = re.compile(
             r"(?s).+" if joins_space else f"{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" + (f"|{line}" if line else "")
         )
-        self.memo = Memo(lambda span: np.array([*self.search((span,))], np.uint32).tobytes())
+        self.memo = Memo(lambda span: array("I", self.whole(span)).tobytes())
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -75,9 +76,38 @@ class PieceModel:
             return "control" if sp.is_control(i) or sp.is_unused(i) else "normal"
         return cls([(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())])
 
+    def grown(self) -> dict:
+        """The pieces letter by letter: letter -> (score, the tree behind it); no piece ends at a score of minus infinity."""
+        scores, inner, leaf = {}, {}, {}
+        for piece, (_, score) in self.table.items():
+            for n in range(1, len(piece)):
+                scores.setdefault(piece[:n], self.unknown_score if n == 1 else -np.inf)
+            scores[piece] = score
+        scores.pop("", None)
+        for piece in sorted(scores, key=len, reverse=True):  # what lies behind a letter is there before it
+            inner.setdefault(piece[:-1], {})[piece[-1]] = scores[piece], inner.get(piece, leaf)
+        return inner.get("", leaf)
+
+    def reach(self, text: str, score: list[float], back: list[int], at: int, end: int) -> None:
+        """The best scores and last pieces' starts of all places that a piece from ``at`` up to ``end`` leads to."""
+        tree, longest, unknown = self.tree, self.longest, self.unknown_score
+        for at in range(at, end):
+            here, stop, node = score[at], at, tree
+            for letter in text[at : at + longest]:
+                found = node.get(letter)
+                if found is None:
+                    if stop == at and here + unknown > score[at + 1]:
+                        score[at + 1], back[at + 1] = here + unknown, at
+                    break
+                stop += 1
+                value, node = found
+                value += here
+                if value > score[stop]:  # the earlier start, so the longer piece, keeps ties
+                    score[stop], back[stop] = value, at
+
     def search(self, blocks: Iterable[str]) -> Iterator[int]:
         """Ids of the best segmentation of the joined blocks, committed while they are read."""
-        table, starts, longest = self.table, self.starts, self.longest
+        longest = self.longest
         text, at, score, back = "", 0, [0.0], [0]  # all of them from the last committed boundary on
         blocks = iter(blocks)
         last, look = False, 8 * longest
@@ -90,19 +120,9 @@ class PieceModel:
             score += [-np.inf] * (size - len(score))
             back += [0] * (size - len(back))
             while at < end:
-                here, stop, piece = score[at], at + 1, text[at]
-                if piece not in table and here + self.unknown_score > score[stop]:
-                    score[stop], back[stop] = here + self.unknown_score, at
-                while piece in starts:
-                    if piece in table:
-                        value = here + table[piece][1]
-                        if value > score[stop]:  # the earlier start, so the longer piece, keeps ties
-                            score[stop], back[stop] = value, at
-                    if stop == at + longest or stop >= size - 1:
-                        break
-                    stop += 1
-                    piece = text[at:stop]
-                at += 1
+                stop = min(end, max(look, at + 1))
+                self.reach(text, score, back, at, stop)
+                at = stop
                 if at >= look:
                     paths = {i for i in range(at, min(at + longest, size)) if score[i] > -np.inf}
                     while len(paths) > 1:  # step the path that reaches furthest back, until all meet
@@ -118,6 +138,14 @@ class PieceModel:
                         at, end, size = at - met, end - met, size - met
         yield from self.trace(text, back, len(text))
 
+    def whole(self, text: str) -> Iterable[int]:
+        """Ids of one text; one shorter than the window has no boundary to commit on the way."""
+        if len(text) >= 8 * self.longest:
+            return self.search((text,))
+        score, back = [0.0] + [-np.inf] * len(text), [0] * (len(text) + 1)
+        self.reach(text, score, back, 0, len(text))
+        return self.trace(text, back, len(text))
+
     def trace(self, text: str, back: list[int], to: int) -> list[int]:
         cuts = [to]
         while cuts[-1]:

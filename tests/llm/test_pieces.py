@@ -128,3 +128,27 @@ def test_idle_workers_remember_nothing(spark):
             yield pa.RecordBatch.from_pydict({"n": pa.array([len(memo) + len(memo.old)], pa.int64())})
 
     assert spark.range(0, 32, 1, 16).mapInArrow(held, "n long").agg({"n": "max"}).first()[0] == 0
+
+
+def test_short_texts_equal_all_segmentations():
+    """Words are searched letter by letter along the pieces; against every way to cut them, ties and unknown letters included."""
+    rng = random.Random(3)
+
+    def best(own, text):
+        if not text:
+            return 0.0, []
+        found = []
+        for n in range(1, min(own.longest, len(text)) + 1):
+            last = text[-n:]
+            if last in own.table or n == 1:
+                score, cut = best(own, text[:-n])
+                found.append((score + (own.table[last][1] if last in own.table else own.unknown_score), n, cut + [last]))
+        score, _, cut = max(found)  # the longer last piece keeps ties
+        return score, cut
+
+    for _ in range(30):
+        words = {"".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 12))}
+        own = pieces.PieceModel([("?", 0.0, "unknown"), *((w, float(-rng.randint(0, 4)), "normal") for w in sorted(words))])
+        for text in ["", *("".join(rng.choices("abcd", k=rng.randint(1, 9))) for _ in range(20))]:
+            want = [i for p in best(own, text)[1] for i in own.ids(p)]
+            assert [*own.whole(text)] == want == [*own.search((text,))]
