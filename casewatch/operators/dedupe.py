@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewatch.operators.ranks import ranked
+from casewatch.session import scratch
+
+MOST_IN_A_TASK = 1_000_000  # rows of one key that a single task sorts
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
@@ -29,15 +32,31 @@ def latest_version(df: DataFrame, key: str = "caseid", version: str = "caseversi
     return keep_first(df, [key], [F.col(version).desc_nulls_last()])
 
 
-def number_within(df: DataFrame, key: str, term: str, out: str) -> DataFrame:
+def number_within(df: DataFrame, key: str, term: str, out: str, most: int = MOST_IN_A_TASK) -> DataFrame:
     """Number the rows of each key from 1 in the order of ``term``.
 
-    Terms must be unique within their key. Rows are range-partitioned by key and term and ranked by
-    partition, so a key of any size spreads over tasks, whatever its terms look like.
+    Terms must be unique within their key. Rows are stored once and counted by key. Keys of up to ``most`` rows meet
+    whole; the rows of larger ones are range-partitioned by key and term and ranked by partition, so a key of any
+    size spreads over tasks, whatever its terms look like.
     """
+    path = scratch(df.sparkSession, "unnumbered")
+    df.write.parquet(path)
+    rows = df.sparkSession.read.schema(df.schema).parquet(path)
+    order = [F.col(term).asc_nulls_first()]
+
+    def whole(some: DataFrame) -> DataFrame:
+        return some.select(*df.columns, F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias(out))
+
+    sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    listed = scratch(df.sparkSession, "large-keys")
+    sizes.where(F.col("_n") > most).select("_key").write.parquet(listed)
+    large = df.sparkSession.read.parquet(listed)
+    if large.isEmpty():
+        return whole(rows)
+    same = F.col(key).eqNullSafe(F.col("_key"))
     rest = [c for c in df.columns if c != key]
-    numbered = ranked(df, key, [F.col(term).asc_nulls_first()], *rest, out=out, name="numbered")
-    return numbered.select(*df.columns, F.col(out).cast("int"))
+    spread = ranked(rows.join(large, same, "left_semi"), key, order, *rest, out=out, name="numbered")
+    return whole(rows.join(large, same, "left_anti")).unionByName(spread.select(*df.columns, F.col(out).cast("int")))
 
 
 def upsert(base: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 from conftest import rows
 from pyspark.sql import functions as F
 
+from casewatch.operators.dedupe import number_within
 from casewatch.operators.ranks import placed, ranked, running_sums, runs
 
 GROUPS = "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 101 = 0 THEN NULL ELSE concat('g', id % 50) END"
@@ -32,3 +33,22 @@ def test_running_sums_over_levels_of_blocks(spark):
     df = spark.range(1000).select("id", (F.col("id") % 7).alias("a"), F.lit(1).cast("long").alias("b"))
     got = {r.id: (r.a, r.b) for r in running_sums(df, "id", 1000, ["a", "b"], block=5).collect()}
     assert got == {i: (sum(j % 7 for j in range(i + 1)), i + 1) for i in range(1000)}
+
+
+def test_small_and_large_keys_are_numbered_alike(spark):
+    df = spark.range(4000).select(F.expr(GROUPS).alias("g"), (F.col("id") * 7919 % 4001).cast("string").alias("t"), F.lit("x").alias("kept"))
+    df = df.unionByName(spark.createDataFrame([("g1", None, "x"), (None, None, "x")], df.schema))
+    want = []
+    terms = {}
+    for r in df.collect():
+        terms.setdefault(r.g, []).append(r.t)
+    for g, ts in terms.items():
+        want += [(g, t, "x", i) for i, t in enumerate(sorted(ts, key=lambda t: (t is not None, t)), 1)]
+    want.sort(key=lambda r: tuple(map(str, r)))
+    for most in (10_000, 100, 30, 0):  # all whole, one key spread, some, all
+        got = number_within(df, "g", "t", "n", most)
+        assert got.schema["n"].dataType.simpleString() == "int"
+        assert rows(got) == want
+    plan = number_within(df, "g", "t", "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Repartition") == 0  # small keys meet in one shuffle
+    assert number_within(df.limit(0), "g", "t", "n").count() == 0
