@@ -12,6 +12,8 @@ Only DataFrame expressions; what is shuffled are candidate words with a digit or
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +21,12 @@ from casewatch.llm.common import free_prefix, row_key, stored
 
 KINDS = ["email", "ip", "card", "phone"]
 # A run that no @ follows holds no email at any start within it, so starts inside a run are skipped;
-# \G admits the place where the match before ended.
+# \G admits the place where the match before ended. Groups repeat possessively: Java tries a greedy group by recursion,
+# and a stack that overflows on a long match ends the executor, not the task.
 FORMATS = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+",
+    "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 MAY_HOLD = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9]"}
@@ -32,6 +35,7 @@ ROUNDS = 3
 SUPPORT = 3  # distinct known instances that a pattern must have
 TRUST = 0.5
 SHORTEST = 5
+BLOCK = 256  # matches whose places are summed in one list
 
 
 def _digits(text: Column) -> Column:
@@ -61,14 +65,36 @@ def matches(text: str, pattern: str) -> tuple[Column, Column]:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, not again for each element of a list in ``body``."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def placed(found: str, between: str) -> Column:
-    """Structs (m, start) of matches: a start is the length of all pieces and matches before it."""
-    step = lambda s, p: F.struct(
-        (s["at"] + F.length(p["p"]) + F.length(p["m"])).alias("at"),
-        F.concat(s["out"], F.array(F.struct(p["m"].alias("m"), (s["at"] + F.length(p["p"])).alias("start")))).alias("out"))
-    pairs = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(between, i).alias("p")))
-    none = F.array().cast("array<struct<m:string,start:int>>")
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+    """Structs (m, start) of matches: a start is the length of all pieces and matches before it.
+
+    Lengths are summed within blocks of matches, then over blocks: a list that grows is copied at each step.
+    """
+    places, none = F.array().cast("array<int>"), F.array().cast("array<struct<m:string,start:int>>")
+
+    def block(pairs: Column, first: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            start = s["at"] + F.length(F.get(pairs, i)["p"])
+            m = F.get(pairs, i)["m"]
+            return F.struct((start + F.length(m)).alias("at"), F.concat(s["out"], F.array(F.struct(m.alias("m"), start.alias("start")))).alias("out"))
+        last = F.least(first + BLOCK, F.size(pairs)) - 1
+        return F.aggregate(F.sequence(first, last), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def together(blocks: Column) -> Column:
+        step = lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        offsets = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), places.alias("out")), step)["out"]
+        return F.flatten(F.zip_with(blocks, offsets, lambda b, o: F.transform(
+            b["out"], lambda x: F.struct(x["m"].alias("m"), (x["start"] + o).alias("start")))))
+
+    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
+    every = let(pairs, lambda x: let(F.transform(
+        F.sequence(F.lit(0), F.size(x) - 1, F.lit(BLOCK)), lambda first: block(x, first)), together))
+    return F.when(F.size(found) > 0, every).otherwise(none)
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -92,15 +118,50 @@ def candidates(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     docs = docs.withColumn("m_word", F.when(F.col("text").rlike("[0-9@]"), found).otherwise(none))
     docs = docs.withColumn("p_word", F.when(F.size("m_word") > 0, between).otherwise(none))
-    blank = F.transform("p_word", lambda p: F.regexp_extract(p, r"([^\x20\x09-\x0D]*+[\x20\x09-\x0D]*+){0,2}\z", 0))
-    docs = docs.withColumn("tail", blank)
+    tail = lambda p: F.regexp_extract(p, r"([^\x20\x09-\x0D]*+[\x20\x09-\x0D]*+){0,2}\z", 0)
     context = lambda p: F.array_join(F.slice(F.concat(
         F.array(F.lit("#"), F.lit("#")),
         F.array_remove(F.split(F.lower(p), r"[\x20\x09-\x0D]+"), "")), -2, 2), " ")
-    return docs.withColumn("words", F.transform(
-        placed("m_word", "p_word"),
-        lambda x, i: F.struct(x["m"].alias("m"), x["start"].alias("start"), context(F.get("tail", i)).alias("before")),
-    )).drop("m_word", "p_word", "tail")
+    return docs.withColumn("words", F.zip_with(
+        placed("m_word", "p_word"), F.slice("p_word", 1, F.size("m_word")),
+        lambda x, p: F.struct(x["m"].alias("m"), x["start"].alias("start"), context(tail(p)).alias("before")),
+    )).drop("m_word", "p_word")
+
+
+def smaller(places: Column, starts: Column) -> Column:
+    """For each of the ascending ``places``, how many of ``starts`` lie before it."""
+    mark = lambda side: lambda x: F.struct(x.alias("at"), F.lit(side).alias("side"))
+    marks = F.sort_array(F.concat(F.transform(places, mark(0)), F.transform(starts, mark(1))))
+    own = F.filter(F.transform(marks, lambda x, i: F.struct(x["side"].alias("side"), i.alias("i"))), lambda x: x["side"] == 0)
+    return F.transform(own, lambda x, j: x["i"] - j)
+
+
+def within_spans(docs: DataFrame) -> DataFrame:
+    """``docs`` (with base and words) with more of each word: ``whole``, the first span that begins in it, as (start, m),
+    and ``reach``, the last end of the spans that begin before it.
+
+    Spans of a kind are ascending and do not overlap, so each word needs two of them; the spans of a text are never
+    copied or searched for each of its words.
+    """
+    def word(w: Column, whole: Column, reach: Column) -> Column:
+        return F.struct(*[w[c].alias(c) for c in ("m", "start", "before")], whole.alias("whole"), reach.alias("reach"))
+
+    def near(spans: Column) -> Column:
+        """For each word, the first span that does not begin before it and the end of the one ahead of that."""
+        starts = lambda xs: F.transform(xs, lambda x: x["start"])
+        return F.transform(smaller(starts(F.col("words")), starts(spans)), lambda n: F.struct(
+            F.get(spans, n)["start"].alias("start"), F.get(spans, n)["m"].alias("m"), F.get(spans, n - 1)["end"].alias("reach")))
+
+    def add(w: Column, b: Column) -> Column:
+        whole = F.when(b["start"] < w["start"] + F.length(w["m"]), F.struct(b["start"].alias("start"), b["m"].alias("m")))
+        return word(w, F.least(w["whole"], whole), F.greatest(w["reach"], b["reach"]))
+
+    none = F.lit(None).cast("struct<start:int,m:string>")
+    out = F.transform("words", lambda w: word(w, none, F.lit(0)))
+    for kind in KINDS:
+        of_kind = F.filter("base", lambda b: b["kind"] == kind)  # noqa: B023 (called at once)
+        out = F.zip_with(out, let(of_kind, near), add)
+    return docs.withColumn("words", out)
 
 
 def learn(words: DataFrame, rounds: int, support: int, trust: float) -> DataFrame:
@@ -129,16 +190,14 @@ def spans_of(
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns(
         {"k1": row_key("doc_id", "text"), "k2": F.hash("text", "doc_id")})
-    read = stored(candidates(base_spans(docs)).select("doc_id", "k1", "k2", "base", "words"), "spans")
-    words = read.where(F.size("words") > 0).select("k1", "k2", "base", F.explode("words").alias("w")).select(
-        "k1", "k2", "w.before", "base", F.col("w.start").alias("at"), (F.col("w.start") + F.length("w.m")).alias("stop"),
+    read = stored(within_spans(candidates(base_spans(docs))).select("doc_id", "k1", "k2", "base", "words"), "spans")
+    words = read.where(F.size("words") > 0).select("k1", "k2", F.explode("words").alias("w")).select(
+        "k1", "k2", "w.before", F.col("w.whole.m").alias("whole"), "w.reach",
         F.regexp_replace("w.m", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("instance"),
         (F.col("w.start") + F.length(F.regexp_extract("w.m", r"^[^\p{L}\p{N}]*", 0))).alias("start"),
     ).withColumn("end", F.col("start") + F.length("instance"))
-    inside = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    begins = F.filter("base", lambda b: (b["start"] >= F.col("at")) & (b["start"] < F.col("stop")))
-    first = F.array_min(F.transform(begins, lambda b: F.struct(b["start"].alias("start"), b["m"].alias("m"))))["m"]
-    words = words.withColumns({"covered": inside, "whole": first}).drop("base", "at", "stop")
+    # a span over a word in which none begins has begun before it
+    words = words.withColumn("covered", F.col("reach") > F.col("start")).drop("reach")
     # SHORTEST is for words that no format covers; before no word at all, also for the first word of a seed
     long = F.length("instance") >= SHORTEST
     words = words.where(F.when(F.col("whole").isNull(), ~F.col("covered") & long).otherwise((F.col("before") != "# #") | long))
